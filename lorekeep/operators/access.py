@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.search import broadcast_if_small
+from lorekeep.operators.joins import broadcast_if_small, written
 
 # Message subtypes that are ordinary talk (none at all is, too).
 TALK_SUBTYPES = ["me_message", "message_changed"]
@@ -77,7 +77,7 @@ def allowed_channels(rules: DataFrame, channels: DataFrame) -> DataFrame:
 
 def allowed_members(rules: DataFrame, channels: DataFrame, members: DataFrame) -> DataFrame:
     """Users in any allowed channel."""
-    allowed = broadcast_if_small(allowed_channels(rules, channels))
+    allowed = broadcast_if_small(written(allowed_channels(rules, channels)))
     return members.join(allowed, "channel_id", "left_semi").select("user_id").distinct()
 
 
@@ -115,9 +115,9 @@ def authorise_messages(
     permitted users.  Under a rule for everyone no channel is an allowed one,
     so only direct messages are answered then.
     """
-    heard = broadcast_if_small(allowed_channels(rules, channels).withColumn("heard", F.lit(True)))
+    heard = broadcast_if_small(written(allowed_channels(rules, channels)).withColumn("heard", F.lit(True)))
     addressed = is_direct(F.col("channel_id")) | (is_mentioned(F.col("text"), self_id) & F.col("heard"))
-    permitted = broadcast_if_small(permitted_users(rules, users, channels, members))
+    permitted = broadcast_if_small(written(permitted_users(rules, users, channels, members)))
     return (
         eligible(messages, self_id)
         .join(heard, "channel_id", "left")
@@ -136,7 +136,7 @@ def authorise_requests(
     self_id: str,
 ) -> DataFrame:
     """Commands or button presses with an ``allowed`` flag; the channel is not asked."""
-    permitted = permitted_users(rules, users, channels, members).withColumn("permitted", F.lit(True))
+    permitted = written(permitted_users(rules, users, channels, members)).withColumn("permitted", F.lit(True))
     allowed = F.coalesce(F.col("permitted"), F.lit(False)) & is_from_other(F.col("user_id"), self_id)
     return requests.join(broadcast_if_small(permitted), "user_id", "left").select(
         *requests.columns, allowed.alias("allowed")

@@ -48,36 +48,35 @@ def _is_indexed() -> Column:
     return (F.col("field") != "content") | ~F.col("term").isin(STOP_WORDS)
 
 
-def _spread(rows: DataFrame, key: list[str], partitions: int | None) -> DataFrame:
-    return rows.repartition(partitions, *key) if partitions else rows.repartition(*key)
-
-
 def term_counts(
     rows: DataFrame,
     key: str | list[str],
     title: str = "title",
     content: str = "content",
+    place_by: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Analysed terms: key, field, term, tf.
 
-    Counting words before stemming halves the rows that are stemmed.
+    Rows are placed by their key, or by the one column of it named in
+    ``place_by``.  Counting words before stemming halves the rows to be stemmed.
     """
     key = [key] if isinstance(key, str) else key
-    surface = _surface(_spread(rows, key, partitions), key, F.col(title), F.col(content))
+    columns = [place_by] if place_by else key
+    placed = rows.repartition(partitions, *columns) if partitions else rows.repartition(*columns)
     return (
-        with_stem(surface, "token", "term")
+        with_stem(_surface(placed, key, F.col(title), F.col(content)), "token", "term")
         .filter(_is_indexed())
         .groupBy(*key, "field", "term")
         .agg(F.sum("n").alias("tf"))
     )
 
 
-def with_field_length(counts: DataFrame, key: str) -> DataFrame:
+def with_field_length(counts: DataFrame, key: list[str]) -> DataFrame:
     """Add ``dl``, the terms of the field, and mark one row per key and field."""
-    field = Window.partitionBy(key, "field")
+    field = Window.partitionBy(*key, "field")
     return counts.withColumn("dl", F.sum("tf").over(field)).withColumn(
-        "first_of_field", F.row_number().over(field.orderBy("term")) == 1
+        "first_of_field", F.col("term") == F.min("term").over(field)
     )
 
 

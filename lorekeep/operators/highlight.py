@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import analyse_positions
-from lorekeep.operators.search import QUERY, broadcast_if_small
+from lorekeep.operators.joins import broadcast_if_small, written
+from lorekeep.operators.search import QUERY
 
 # Words shown on either side of a hit, and passages shown.
 REACH = 6
@@ -21,21 +22,28 @@ CLOSE_TAG = "</em>"
 
 def _page_words(page: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """Words in place of the documents on any page, each document once."""
-    shown = broadcast_if_small(page.select(key).distinct())
-    return analyse_positions(documents.select(key, "content").join(shown, key, "left_semi"), key)
+    shown = broadcast_if_small(written(page.select(key).distinct()))
+    return written(analyse_positions(documents.select(key, "content").join(shown, key, "left_semi"), key))
 
 
-def matched_words(page: DataFrame, terms: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """Where a page's documents hold a content term of their query."""
+def _hits(page: DataFrame, terms: DataFrame, words: DataFrame, key: str) -> DataFrame:
     asked = terms.filter(F.col("field") == "content").select(QUERY, "term").distinct()
     wanted = page.select(QUERY, key).join(asked, QUERY)
-    return _page_words(page, documents, key).join(wanted, [key, "term"]).select(QUERY, key, "pos", "word", "term")
+    return words.join(wanted, [key, "term"]).select(QUERY, key, "pos", "word", "term")
+
+
+def matched_words(page: DataFrame, terms: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Where a page's documents hold a content term of their query."""
+    page = written(page)
+    return _hits(page, terms, _page_words(page, documents, key), key)
 
 
 def fragments(page: DataFrame, terms: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """First passages around the hits, overlapping ones merged, in their order."""
+    page = written(page)
+    words = _page_words(page, documents, key)
     within = Window.partitionBy(QUERY, key).orderBy("pos")
-    hits = matched_words(page, terms, documents, key).select(QUERY, key, "pos")
+    hits = _hits(page, terms, words, key).select(QUERY, key, "pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(within) > 2 * REACH, F.lit(True))
     numbered = hits.withColumn("apart", apart).withColumn(
         "fragment", F.sum(F.col("apart").cast("long")).over(within)
@@ -46,10 +54,9 @@ def fragments(page: DataFrame, terms: DataFrame, documents: DataFrame, key: str)
         F.explode(F.sequence(F.greatest(F.col("low") - REACH, F.lit(0)), F.col("high") + REACH)).alias("pos"),
     )
     marks = hits.withColumn("hit", F.lit(True))
-    words = _page_words(page, documents, key).select(key, "pos", "word")
     marked = F.when(F.col("hit"), F.concat(F.lit(OPEN_TAG), "word", F.lit(CLOSE_TAG))).otherwise(F.col("word"))
     return (
-        places.join(words, [key, "pos"])
+        places.join(words.select(key, "pos", "word"), [key, "pos"])
         .join(marks, [QUERY, key, "pos"], "left")
         .groupBy(QUERY, key, "fragment")
         .agg(F.array_sort(F.collect_list(F.struct("pos", marked.alias("w")))).alias("ws"))

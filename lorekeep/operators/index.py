@@ -1,23 +1,28 @@
 """The inverted index as written tables.
 
 =============  ==============================================================
-``postings``   field, bucket, term, part, key, tf, dl
-``terms``      field, bucket, term, df, cf, parts
+``postings``   shard, key, field, term, tf, dl, first_of_field
+``terms``      field, term, df, cf
 ``fields``     field, n_docs, n_terms, n_postings, avgdl (one row per field)
 =============  ==============================================================
 
-A term that occurs in very many documents is split into ``parts`` by document,
-so that no join key of the postings ever stands for more than a bounded number
-of rows.  A term counts as very frequent when it takes more than one
-``MAX_SPLIT_TERMS``-th of its field's postings, hence there are never more than
-``MAX_SPLIT_TERMS`` such terms per field and their list may be broadcast.
+Postings are sharded by document: ``shard`` is a hash of the key, and the table
+is bucketed by it and sorted by term inside.  Two things follow.
 
-Both large tables are written in hash buckets of their join key, so a search
-for a few terms reads only the buckets of those terms.
+* The texts are shuffled once, by shard.  Counting, stemming, field lengths and
+  the bucketed write all find their rows in place after that.
+* A search adds up, ranks and cuts its hits within each bucket, without moving
+  a posting.  A term that occurs in a third of all documents is spread over all
+  shards as evenly as the documents are.
+
+The width of it all is the number of buckets, as one task writes or reads one
+bucket.  It grows with the number of documents unless it is given.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,26 +30,28 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import term_counts, with_field_length
 
-MAX_SPLIT_TERMS = 20_000
-MIN_SPLIT_POSTINGS = 1_000_000
-POSTINGS_PER_BUCKET = 20_000_000
-MAX_BUCKETS = 2_048
+SHARDS_PER_BUCKET = 4
+DOCUMENTS_PER_BUCKET = 50_000
+MIN_DOCUMENTS_PER_BUCKET = 250
+MAX_BUCKETS = 20_000
+
 
-TABLE_SCHEMAS = {
-    "postings": "field string, bucket int, term string, part int, {key}, tf bigint, dl bigint",
-    "terms": "field string, bucket int, term string, df bigint, cf bigint, parts int",
-    "fields": "field string, n_docs bigint, n_terms bigint, n_postings bigint, avgdl double",
-    "lengths": "field string, {key}, dl bigint",
-}
+def shard_of(key: Column, buckets: int) -> Column:
+    """Several shards for each bucket, so that buckets come out evenly filled."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets * SHARDS_PER_BUCKET)).cast("int")
 
 
-def bucket_of(term: Column, part: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term, part), F.lit(buckets)).cast("int")
+def bucket_count(documents: int, parallelism: int) -> int:
+    """Buckets for a corpus: of a size that suits a task, and where there are
+    documents enough, some for every core."""
+    by_size = -(-documents // DOCUMENTS_PER_BUCKET)
+    by_cores = min(2 * parallelism, -(-documents // MIN_DOCUMENTS_PER_BUCKET))
+    return max(1, min(MAX_BUCKETS, max(by_size, by_cores)))
 
 
-def field_statistics(counts: DataFrame) -> DataFrame:
+def field_statistics(postings: DataFrame) -> DataFrame:
     """Documents, terms and average length of each field, over the whole corpus."""
-    sums = counts.groupBy("field").agg(
+    sums = postings.groupBy("field").agg(
         F.sum(F.col("first_of_field").cast("bigint")).alias("n_docs"),
         F.sum("tf").alias("n_terms"),
         F.count("*").alias("n_postings"),
@@ -52,55 +59,58 @@ def field_statistics(counts: DataFrame) -> DataFrame:
     return sums.withColumn("avgdl", F.col("n_terms") / F.col("n_docs"))
 
 
-def term_statistics(counts: DataFrame, fields: DataFrame, min_split: int = MIN_SPLIT_POSTINGS) -> DataFrame:
-    """Document and collection frequency of each term, and its number of parts."""
-    limit = F.greatest(F.lit(min_split), F.ceil(F.col("n_postings") / MAX_SPLIT_TERMS))
-    return (
-        counts.groupBy("field", "term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .join(F.broadcast(fields.select("field", "n_postings")), "field")
-        .select("field", "term", "df", "cf", F.ceil(F.col("df") / limit).cast("int").alias("parts"))
-    )
-
-
-def split_postings(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """Give each posting the part of its term; most terms have only part 0."""
-    split = F.broadcast(terms.filter("parts > 1").select("field", "term", "parts"))
-    part = F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1))).cast("int")
-    return counts.join(split, ["field", "term"], "left").select("field", "term", part.alias("part"), key, "tf", "dl")
+def term_statistics(postings: DataFrame) -> DataFrame:
+    """Document and collection frequency of each term."""
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @dataclass(frozen=True)
 class Index:
-    """A written index: where it is, its document key and its bucket counts."""
+    """A written index: where it is, the table of its postings, its document key."""
 
     spark: SparkSession
     path: str
+    table: str
     key: str
     buckets: int
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
     @property
     def postings(self) -> DataFrame:
-        return self.table("postings")
+        return self.spark.table(self.table)
 
     @property
     def terms(self) -> DataFrame:
-        return self.table("terms")
+        return self.spark.read.parquet(f"{self.path}/terms")
 
     @property
     def fields(self) -> DataFrame:
-        return self.table("fields")
+        return self.spark.read.parquet(f"{self.path}/fields")
 
     @property
     def lengths(self) -> DataFrame:
-        return self.table("lengths")
+        """Length of each document's fields."""
+        return self.postings.filter("first_of_field").select("field", self.key, "dl")
+
+
+def _new_table_name() -> str:
+    return f"lorekeep_postings_{uuid.uuid4().hex}"
+
+
+def _write_postings(postings: DataFrame, table: str, path: str, buckets: int) -> None:
+    (
+        postings.write.mode("overwrite")
+        .bucketBy(buckets, "shard").sortBy("term")
+        .option("path", f"{path}/postings").format("parquet")
+        .saveAsTable(table)
+    )
+
 
-    def document_count(self) -> int:
-        """Documents of the larger field: one value from the table of two rows."""
-        return self.fields.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
+def _write_statistics(postings: DataFrame, path: str) -> None:
+    field_statistics(postings).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    (
+        term_statistics(postings).sortWithinPartitions("term")
+        .write.mode("overwrite").parquet(f"{path}/terms")
+    )
 
 
 def build_index(
@@ -109,57 +119,42 @@ def build_index(
     key: str,
     title: str = "title",
     content: str = "content",
-    partitions: int | None = None,
     buckets: int | None = None,
-    min_split: int = MIN_SPLIT_POSTINGS,
 ) -> Index:
     """Write the index of ``documents`` to ``path``, replacing what is there.
 
-    The analysed terms are written once and all tables are made from that copy:
-    the text is read and shuffled one time, and a lost executor costs no
-    re-analysis.  ``partitions`` is the width of that one shuffle of the text.
+    Statistics are made from the written postings, so the texts are read and
+    shuffled one time and a lost executor costs no second analysis.
     """
     spark = documents.sparkSession
-    counts = with_field_length(term_counts(documents, key, title, content, partitions), key)
-    counts.write.mode("overwrite").parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
-
-    field_statistics(counts).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-    fields = spark.read.parquet(f"{path}/fields")
-    if buckets is None:
-        n_postings = fields.agg(F.coalesce(F.max("n_postings"), F.lit(0))).first()[0]
-        buckets = max(1, min(MAX_BUCKETS, -(-n_postings // POSTINGS_PER_BUCKET)))
-
-    _write_buckets(
-        term_statistics(counts, fields, min_split).withColumn("bucket", bucket_of(F.col("term"), F.lit(0), buckets)),
-        f"{path}/terms",
-        ["term"],
-    )
-    terms = spark.read.parquet(f"{path}/terms")
-    _write_buckets(
-        split_postings(counts, terms, key).withColumn("bucket", bucket_of(F.col("term"), F.col("part"), buckets)),
-        f"{path}/postings",
-        ["term", key],
-    )
-    counts.filter("first_of_field").select("field", key, "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    return Index(spark, path, key, buckets)
-
-
-def _write_buckets(rows: DataFrame, path: str, order: list[str]) -> None:
-    """Cluster by bucket; the rebalance lets Spark cut a large bucket in files."""
-    (
-        rows.hint("rebalance", "field", "bucket")
-        .sortWithinPartitions("field", "bucket", *order)
-        .write.mode("overwrite")
-        .partitionBy("field", "bucket")
-        .parquet(path)
+    buckets = buckets or bucket_count(documents.count(), spark.sparkContext.defaultParallelism)
+    keys = ["shard", key]
+    texts = documents.select(shard_of(F.col(key), buckets).alias("shard"), key, title, content)
+    counts = term_counts(texts, keys, title, content, place_by="shard", partitions=buckets)
+    index = Index(spark, path, _new_table_name(), key, buckets)
+    _write_postings(with_field_length(counts, keys), index.table, path, buckets)
+    _write_statistics(index.postings, path)
+    meta = json.dumps({"key": key, "buckets": buckets})
+    spark.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return index
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that an earlier session wrote."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    index = Index(spark, path, _new_table_name(), meta["key"], meta["buckets"])
+    columns = spark.read.parquet(f"{path}/postings").schema
+    ddl = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in columns)
+    spark.sql(
+        f"CREATE TABLE {index.table} ({ddl}) USING parquet "
+        f"CLUSTERED BY (shard) SORTED BY (term) INTO {index.buckets} BUCKETS LOCATION '{path}/postings'"
     )
+    return index
 
 
 def clear_index(index: Index) -> None:
     """Leave every table of the index readable and without rows."""
-    key = index.lengths.schema[index.key]
-    key_ddl = f"{key.name} {key.dataType.simpleString()}"
-    for name, schema in TABLE_SCHEMAS.items():
-        empty = index.spark.createDataFrame([], schema.format(key=key_ddl))
-        empty.write.mode("overwrite").parquet(f"{index.path}/{name}")
+    empty = index.spark.createDataFrame([], index.postings.schema)
+    index.spark.sql(f"DROP TABLE {index.table}")
+    _write_postings(empty, index.table, index.path, index.buckets)
+    _write_statistics(empty, index.path)

@@ -1,9 +1,10 @@
 """Ranked search of many queries at once over a written index.
 
 The plan for a table of queries: analyse the texts, look up the statistics of
-their terms, join the postings of those terms, add up BM25 per document, keep
-the best field, then number the hits of each query.  Only matched postings are
-shuffled, and once.
+their terms, meet the postings of those terms bucket by bucket, add up BM25 per
+document, keep the best field, and number the hits of each query.  Postings are
+bucketed by shards of documents, so all of that happens in place; only each
+shard's best rows are shuffled, to be ranked against those of other shards.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import term_counts
-from lorekeep.operators.index import Index, bucket_of
-from lorekeep.sources.shared import shared_folder
+from lorekeep.operators.index import Index
+from lorekeep.operators.joins import broadcast_if_small, written
 
 # Ranking constants of the reference behaviour.
 K1 = 1.2
@@ -21,132 +22,93 @@ B = 0.75
 TITLE_BOOST = 3.0
 PAGE_SIZE = 5
 
-MAX_BROADCAST_ROWS = 200_000
-HITS_PER_SALT = 250_000
-MAX_SALTS = 4_096
+MAX_PUSHED_TERMS = 200
 QUERY = "query_id"
 
 
-def broadcast_if_small(rows: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast rows that have been counted to be few; else leave the join to
-    Spark, which shuffles it and splits skewed partitions at run time."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+def _having_terms(table: DataFrame, terms: DataFrame) -> DataFrame:
+    """Narrow an index table, sorted by term, to a short list of terms.
 
-
-def _probe(terms: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of an index lookup, after one look at the asking side.
-
-    Its row count decides on the broadcast; its buckets, of which there are
-    never more than the index has, prune the folders of the table.
+    With few terms the scan skips what cannot hold them; many are left to the join.
     """
-    found = terms.agg(F.count("*"), F.collect_set("bucket")).first()
-    asking = F.broadcast(terms) if found[0] <= MAX_BROADCAST_ROWS else terms
-    return asking, table.filter(F.col("bucket").isin(sorted(found[1])))
-
+    few = [row[0] for row in terms.select("term").distinct().limit(MAX_PUSHED_TERMS + 1).collect()]
+    return table.filter(F.col("term").isin(few)) if len(few) <= MAX_PUSHED_TERMS else table
 
-def _written(rows: DataFrame) -> DataFrame:
-    """The rows cut from their lineage, kept in the session's shared folder."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
 
-
-def query_terms(queries: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
     """Terms of each query text per field, with how often they are asked for."""
-    keys = [QUERY, *(carry or [])]
-    texts = queries.select(*keys, F.col("text").alias("title"), F.col("text").alias("content"))
-    return term_counts(texts, keys).withColumnRenamed("tf", "qtf")
+    texts = queries.select(QUERY, F.col("text").alias("title"), F.col("text").alias("content"))
+    return term_counts(texts, QUERY).withColumnRenamed("tf", "qtf")
 
 
 def weighted_terms(terms: DataFrame, index: Index) -> DataFrame:
-    """Query terms known to the index, with weight and length norm of BM25.
-
-    One row per part of the term, ready to meet the postings.
-    """
-    bucket = bucket_of(F.col("term"), F.lit(0), index.buckets)
-    asking, statistics = _probe(_written(terms.withColumn("bucket", bucket)), index.terms)
+    """Query terms known to the index, with weight and length norm of BM25."""
+    asked = written(terms)
     # Two rows, one for each field.
     fields = F.broadcast(index.fields.select("field", "n_docs", "avgdl"))
-    found = asking.join(statistics, ["field", "bucket", "term"]).join(fields, "field")
+    known = broadcast_if_small(asked).join(_having_terms(index.terms, asked), ["field", "term"]).join(fields, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    carried = [c for c in terms.columns if c not in ("field", "term", "qtf")]
-    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return (
-        found.withColumn("weight", F.col("qtf") * idf)
-        .select(*carried, "field", "term", "weight", "avgdl", parts.alias("part"))
-        .withColumn("bucket", bucket_of(F.col("term"), F.col("part"), index.buckets))
-    )
+    return written(known.select(QUERY, "field", "term", (F.col("qtf") * idf).alias("weight"), "avgdl"))
+
 
+def contributions(queries: DataFrame, index: Index) -> DataFrame:
+    """What each matched posting adds to its document's score for its field.
 
-def contributions(weighted: DataFrame, index: Index) -> DataFrame:
-    """What each matched posting adds to its document's score for its field."""
-    asking, postings = _probe(_written(weighted), index.postings)
-    matched = asking.join(postings, ["field", "bucket", "term", "part"])
+    Rows stay in the bucket of their shard when the terms are few enough to be
+    broadcast; beyond that the join is Spark's to shuffle and to split.
+    """
+    weighted = weighted_terms(query_terms(queries), index)
+    postings = _having_terms(index.postings, weighted)
+    matched = broadcast_if_small(weighted).join(postings, ["field", "term"])
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    kept = [c for c in weighted.columns if c not in ("bucket", "part", "weight", "avgdl")]
-    return matched.select(*kept, index.key, gain.alias("gain"))
+    return matched.select(QUERY, "shard", index.key, "field", "term", gain.alias("gain"))
 
 
 def match_documents(queries: DataFrame, index: Index) -> DataFrame:
     """Documents holding any term of the query in any field."""
-    hits = contributions(weighted_terms(query_terms(queries), index), index)
-    return hits.groupBy(QUERY, index.key).agg(F.count("*").alias("matched_terms"))
+    hits = contributions(queries, index).groupBy(QUERY, "shard", index.key)
+    return hits.agg(F.count("*").alias("matched_terms")).drop("shard")
 
 
 def field_scores(queries: DataFrame, index: Index) -> DataFrame:
     """BM25 of each matched document per field, not boosted."""
-    hits = contributions(weighted_terms(query_terms(queries), index), index)
-    return hits.groupBy(QUERY, index.key, "field").agg(F.round(F.sum("gain"), 6).alias("score"))
+    hits = contributions(queries, index).groupBy(QUERY, "shard", index.key, "field")
+    return hits.agg(F.round(F.sum("gain"), 6).alias("score")).drop("shard")
 
 
-def _best_field() -> Column:
+def ranked(queries: DataFrame, index: Index) -> DataFrame:
+    """Every hit with its score: the better of boosted title and content."""
     title = F.sum(F.when(F.col("field") == "title", F.col("gain"))) * TITLE_BOOST
     content = F.sum(F.when(F.col("field") == "content", F.col("gain")))
-    return F.round(F.greatest(title, content), 6)
-
-
-def ranked(queries: DataFrame, index: Index, carry: list[str] | None = None) -> DataFrame:
-    """Every hit with its score: the better of boosted title and content.
-
-    Rows come out partitioned by query and ``salt``, a hash of the document, so
-    that a query that hits a large share of all documents is spread too.
-    """
-    hits = contributions(weighted_terms(query_terms(queries, carry), index), index)
-    salts = max(8, min(MAX_SALTS, -(-index.document_count() // HITS_PER_SALT)))
-    salt = F.pmod(F.xxhash64(index.key), F.lit(salts)).cast("int")
-    return (
-        hits.withColumn("salt", salt)
-        .repartition(QUERY, "salt")
-        .groupBy(QUERY, *(carry or []), "salt", index.key)
-        .agg(_best_field().alias("score"))
-    )
+    hits = contributions(queries, index).groupBy(QUERY, "shard", index.key)
+    return hits.agg(F.round(F.greatest(title, content), 6).alias("score"))
 
 
 def totals(queries: DataFrame, index: Index) -> DataFrame:
     """Number of all hits of each query, whatever page is shown."""
-    hits = contributions(weighted_terms(query_terms(queries), index), index)
-    return hits.select(QUERY, index.key).distinct().groupBy(QUERY).agg(F.count("*").alias("total"))
+    return match_documents(queries, index).groupBy(QUERY).agg(F.count("*").alias("total"))
 
 
 def top_hits(hits: DataFrame, key: str, upto: Column) -> DataFrame:
     """Number the hits of each query by score and keep ranks to ``upto``.
 
-    First within each salt, then over the few rows the salts let through; the
-    count of a salt rides on its first row, which gives the exact total.
+    First within each shard, then over the few rows the shards let through; the
+    count of a shard rides on its first row, which gives the exact total.
     """
     order = [F.desc("score"), F.asc(key)]
-    salted = Window.partitionBy(QUERY, "salt")
+    by_shard = Window.partitionBy(QUERY, "shard")
     by_query = Window.partitionBy(QUERY)
     shortlist = (
-        hits.withColumn("salt_rank", F.row_number().over(salted.orderBy(*order)))
-        .withColumn("salt_hits", F.count("*").over(salted))
-        .filter(F.col("salt_rank") <= F.greatest(upto, F.lit(1)))
+        hits.withColumn("shard_rank", F.row_number().over(by_shard.orderBy(*order)))
+        .withColumn("shard_hits", F.count("*").over(by_shard))
+        .filter(F.col("shard_rank") <= F.greatest(upto, F.lit(1)))
     )
     return (
-        shortlist.withColumn("total", F.sum(F.when(F.col("salt_rank") == 1, F.col("salt_hits"))).over(by_query))
+        shortlist.withColumn("total", F.sum(F.when(F.col("shard_rank") == 1, F.col("shard_hits"))).over(by_query))
         .withColumn("rank", F.row_number().over(by_query.orderBy(*order)).cast("long"))
         .filter(F.col("rank") <= upto)
-        .drop("salt", "salt_rank", "salt_hits")
+        .drop("shard", "shard_rank", "shard_hits")
     )
 
 
@@ -155,24 +117,26 @@ def search(queries: DataFrame, index: Index, start: int | Column = 0, size: int
 
     ``start`` and ``size`` are numbers, or columns of ``queries``.
     """
-    paged = queries.withColumn("page_start", _number(start)).withColumn("page_end", _number(start) + _number(size))
-    carry = ["page_start", "page_end"]
-    hits = top_hits(ranked(paged, index, carry), index.key, F.col("page_end"))
-    return hits.filter(F.col("rank") > F.col("page_start")).select(QUERY, "rank", index.key, "score", "total")
-
-
-def _number(value: int | Column) -> Column:
-    return F.lit(value).cast("long") if isinstance(value, int) else value.cast("long")
+    hits = ranked(queries, index)
+    if isinstance(start, int) and isinstance(size, int):
+        first, last = F.lit(start), F.lit(start + size)
+    else:
+        start, size = (F.lit(n) if isinstance(n, int) else n for n in (start, size))
+        bounds = queries.select(QUERY, start.alias("page_start"), (start + size).alias("page_end"))
+        hits = hits.join(broadcast_if_small(bounds), QUERY)
+        first, last = F.col("page_start"), F.col("page_end")
+    page = top_hits(hits, index.key, last).filter(F.col("rank") > first)
+    return page.select(QUERY, "rank", index.key, "score", "total")
 
 
 def search_results(page: DataFrame, documents: DataFrame, key: str, url: Column) -> DataFrame:
     """The page's hits with their documents; a hit without one is left out.
 
-    ``total`` stays the number of all hits.  A page is small: when counted to
-    be so it is broadcast and the documents are not shuffled.
+    ``total`` stays the number of all hits.  A page is small; counted to be so,
+    it is broadcast and the documents are not shuffled.
     """
     shown = documents.select(key, "id", "title", "file_name", "updated_by", "updated_on", url.alias("url"))
-    return broadcast_if_small(page).join(shown, key)
+    return broadcast_if_small(written(page)).join(shown, key)
 
 
 def search_status(queries: DataFrame, page: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def write_documents(documents: DataFrame, path: str) -> DataFrame:
     return documents.sparkSession.read.parquet(path)
 
 
-def build_library(files: DataFrame, commits: DataFrame, path: str, partitions: int | None = None) -> Library:
+def build_library(files: DataFrame, commits: DataFrame, path: str, buckets: int | None = None) -> Library:
     """The whole batch job: files with path, text and html; commits by path."""
     accepted, _ = documents_of(files, commits)
     documents = write_documents(accepted, f"{path}/documents")
-    return Library(build_index(documents, f"{path}/index", "id", partitions=partitions), documents)
+    return Library(build_index(documents, f"{path}/index", "id", buckets=buckets), documents)

@@ -227,14 +227,15 @@ def _(t):
 def _(t):
     built = _fresh_library(t).index
 
-    def counted(name):
-        rows = built.table(name).agg(F.count("*").alias("n_rows"))
-        return rows.select(F.lit(name).alias("table_name"), "n_rows")
+    def counts():
+        named = {"postings": built.postings, "terms": built.terms, "fields": built.fields}
+        rows = [df.agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(n)) for n, df in named.items()]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
     before = new_table_path(t.spark, "counts")
-    counted("postings").unionByName(counted("terms")).unionByName(counted("fields")).write.parquet(before)
+    counts().write.parquet(before)
     index.clear_index(built)
-    after = counted("postings").unionByName(counted("terms")).unionByName(counted("fields"))
+    after = counts()
     return t.spark.read.parquet(before).withColumnRenamed("n_rows", "rows_before").join(
         after.withColumnRenamed("n_rows", "rows_after"), "table_name"
     )

@@ -45,7 +45,7 @@ MEASURE_OVER_0 = f"{_HEAD}[^aeiou]"
 MEASURE_OVER_1 = f"{_HEAD}{_CONSONANTS}{_VOWELS}[^aeiou]"
 MEASURE_IS_1 = f"{_HEAD}{_CONSONANTS}(?:{_VOWELS})?$"
 SHORT_SYLLABLE = "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$"
-DOUBLE_Y = "[^aeiouy](?:yy)+$"
+DOUBLE_Y = "(?:[^aeiouy]|(?:^|[aeiou])y)(?:yy)+$"
 NOT_UNDOUBLED = ["a", "e", "i", "o", "u", "y", "l", "s", "z"]
 
 _WORD = "_word"

@@ -17,16 +17,13 @@ _SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder; one of our own only for a local, unset session."""
-    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
+    context = spark.sparkContext
+    folder = spark.conf.get(_SETTING, None)
+    if context.getCheckpointDir() is None:
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
+    return (folder or context.getCheckpointDir()).rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

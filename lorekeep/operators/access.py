@@ -59,7 +59,8 @@ def parse_rules(rules: DataFrame) -> DataFrame:
 
 def answers_everyone(rules: DataFrame) -> bool:
     """Whether the list says everyone: the star, or no rule at all."""
-    return not rules.filter("kind <> 'all'").limit(1).count() or bool(rules.filter("kind = 'all'").limit(1).count())
+    kinds = {row[0] for row in rules.select("kind").distinct().collect()}  # four at most
+    return not kinds or "all" in kinds
 
 
 def _rule_names(rules: DataFrame, kind: str) -> DataFrame:
@@ -75,10 +76,9 @@ def allowed_channels(rules: DataFrame, channels: DataFrame) -> DataFrame:
     return channels.filter("bot_is_member").join(names, "channel_name", "left_semi").select("channel_id").distinct()
 
 
-def allowed_members(rules: DataFrame, channels: DataFrame, members: DataFrame) -> DataFrame:
-    """Users in any allowed channel."""
-    allowed = broadcast_if_small(written(allowed_channels(rules, channels)))
-    return members.join(allowed, "channel_id", "left_semi").select("user_id").distinct()
+def allowed_members(open_channels: DataFrame, members: DataFrame) -> DataFrame:
+    """Users in any of the allowed channels."""
+    return members.join(broadcast_if_small(open_channels), "channel_id", "left_semi").select("user_id").distinct()
 
 
 def members_of(channels: DataFrame) -> DataFrame:
@@ -95,11 +95,11 @@ def allowed_users(rules: DataFrame, users: DataFrame) -> DataFrame:
     return known.join(names, "user_name", "left_semi").select("user_id", "user_name")
 
 
-def permitted_users(rules: DataFrame, users: DataFrame, channels: DataFrame, members: DataFrame) -> DataFrame:
+def permitted_users(rules: DataFrame, users: DataFrame, open_channels: DataFrame, members: DataFrame) -> DataFrame:
     """Known users who are allowed by name or as members of an allowed channel."""
     by_name = allowed_users(rules, users).select("user_id")
     known = users.filter(F.col("user_name").isNotNull()).select("user_id")
-    by_channel = known.join(allowed_members(rules, channels, members), "user_id", "left_semi")
+    by_channel = known.join(allowed_members(open_channels, members), "user_id", "left_semi")
     return by_name.unionByName(by_channel).distinct()
 
 
@@ -115,9 +115,10 @@ def authorise_messages(
     permitted users.  Under a rule for everyone no channel is an allowed one,
     so only direct messages are answered then.
     """
-    heard = broadcast_if_small(written(allowed_channels(rules, channels)).withColumn("heard", F.lit(True)))
+    open_channels = written(allowed_channels(rules, channels))
+    heard = broadcast_if_small(open_channels.withColumn("heard", F.lit(True)))
     addressed = is_direct(F.col("channel_id")) | (is_mentioned(F.col("text"), self_id) & F.col("heard"))
-    permitted = broadcast_if_small(written(permitted_users(rules, users, channels, members)))
+    permitted = broadcast_if_small(written(permitted_users(rules, users, open_channels, members)))
     return (
         eligible(messages, self_id)
         .join(heard, "channel_id", "left")
@@ -136,7 +137,8 @@ def authorise_requests(
     self_id: str,
 ) -> DataFrame:
     """Commands or button presses with an ``allowed`` flag; the channel is not asked."""
-    permitted = written(permitted_users(rules, users, channels, members)).withColumn("permitted", F.lit(True))
+    open_channels = written(allowed_channels(rules, channels))
+    permitted = written(permitted_users(rules, users, open_channels, members)).withColumn("permitted", F.lit(True))
     allowed = F.coalesce(F.col("permitted"), F.lit(False)) & is_from_other(F.col("user_id"), self_id)
     return requests.join(broadcast_if_small(permitted), "user_id", "left").select(
         *requests.columns, allowed.alias("allowed")

@@ -21,9 +21,13 @@ CLOSE_TAG = "</em>"
 
 
 def _page_words(page: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """Words in place of the documents on any page, each document once."""
+    """Words in place of the documents on any page, each document once.
+
+    Only those few texts are shuffled, so that their analysis is spread evenly.
+    """
     shown = broadcast_if_small(written(page.select(key).distinct()))
-    return written(analyse_positions(documents.select(key, "content").join(shown, key, "left_semi"), key))
+    texts = documents.select(key, "content").join(shown, key, "left_semi").repartition(key)
+    return written(analyse_positions(texts, key))
 
 
 def _hits(page: DataFrame, terms: DataFrame, words: DataFrame, key: str) -> DataFrame:

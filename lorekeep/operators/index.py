@@ -33,7 +33,7 @@ from lorekeep.operators.analysis import term_counts, with_field_length
 SHARDS_PER_BUCKET = 4
 DOCUMENTS_PER_BUCKET = 50_000
 MIN_DOCUMENTS_PER_BUCKET = 250
-MAX_BUCKETS = 20_000
+MAX_BUCKETS = 100_000
 
 
 def shard_of(key: Column, buckets: int) -> Column:

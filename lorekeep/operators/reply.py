@@ -9,6 +9,9 @@ from lorekeep.functions.colors import score_color
 from lorekeep.functions.urls import new_page_url
 from lorekeep.operators.search import PAGE_SIZE, QUERY
 
+# Fixed value: rows that the search server lets one query page through.
+RESULT_WINDOW = 10_000
+
 FAILURE = "The search could not be run just now."
 CONFUSED = "That button says nothing that can be acted on."
 DEFAULT_COLOR = "default"
@@ -19,6 +22,14 @@ def shown_rows(page: Column) -> Column:
     return (page.cast("long") + 1) * PAGE_SIZE
 
 
+def can_be_run(text: Column, page: Column) -> Column:
+    """A query needs a text and a page within the result window.
+
+    The window also bounds the rows that one reply collects.
+    """
+    return (F.trim(F.coalesce(text, F.lit(""))) != "") & shown_rows(page).between(0, RESULT_WINDOW)
+
+
 def quote_query(text: Column) -> Column:
     """The query in emphasis, without signs that would end it."""
     return F.concat(F.lit("_"), F.translate(text, "`*_\n", ""), F.lit("_"))
@@ -63,7 +74,7 @@ def attachment(score: Column) -> Column:
 
 
 def attachments(results: DataFrame) -> DataFrame:
-    """Result rows of each query in rank order; at most a page of them."""
+    """Result rows of each query in rank order; at most the result window of them."""
     rows = F.array_sort(F.collect_list(F.struct("rank", attachment(F.col("score")).alias("row"))))
     return results.groupBy(QUERY).agg(
         F.first("total").alias("total"),
@@ -105,7 +116,7 @@ def replies(queries: DataFrame, results: DataFrame, base: str) -> DataFrame:
     answered = attachments(results)
     joined = queries.join(answered, QUERY, "left")
     text, page, total = F.col("text"), F.col("page"), F.col("total")
-    failed = text.isNull() | (F.trim(text) == "") | (shown_rows(page) < 0)
+    failed = ~can_be_run(text, page)
     empty = F.col("n_rows").isNull()
     has_more = F.col("n_rows") < total
     user = F.col("user_id")

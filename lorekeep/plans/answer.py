@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.urls import document_url
 from lorekeep.operators.access import authorise_messages
-from lorekeep.operators.reply import replies, shown_rows
+from lorekeep.operators.joins import written
+from lorekeep.operators.reply import can_be_run, replies, shown_rows
 from lorekeep.operators.search import QUERY, search, search_results
 from lorekeep.plans.build import Library
 
 
 def find(queries: DataFrame, library: Library, base: str) -> DataFrame:
     """Result rows of queries (query_id, text, page), the page cumulative."""
-    page = search(queries, library.index, 0, shown_rows(F.col("page")))
+    runnable = queries.filter(can_be_run(F.col("text"), F.col("page")))
+    page = search(runnable, library.index, 0, shown_rows(F.col("page")))
     url = document_url(base, F.col("file_name"))
     return search_results(page, library.documents, library.index.key, url)
 
@@ -37,5 +39,5 @@ def answer_messages(
     """Replies to those messages that may be answered."""
     allowed = authorise_messages(messages, rules, users, channels, members, self_id)
     asked = allowed.select(F.col("message_id").alias(QUERY), "text", F.lit(0).alias("page"), "user_id")
-    answered = answer_queries(asked, library, base)
+    answered = answer_queries(written(asked), library, base)
     return answered.withColumnRenamed(QUERY, "message_id")

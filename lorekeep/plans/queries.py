@@ -418,7 +418,7 @@ def _(t):
 
 @query("allowed_members")
 def _(t):
-    return access.allowed_members(rules(t), t["chat_channels"], t["chat_members"])
+    return access.allowed_members(access.allowed_channels(rules(t), t["chat_channels"]), t["chat_members"])
 
 
 @query("allowed_users")

@@ -131,12 +131,12 @@ def test_replies_with_hits(spark, page, n, total, pager, buttons):
 
 
 def test_replies_without_hits_and_failures(spark):
-    rows = [(2, "what is é", 0, None), (3, " ", 0, "U1"), (4, None, 0, "U1"), (5, "x", -2, None), (6, "x", -1, None)]
+    rows = [(2, "what is é", 0, None), (3, " ", 0, "U1"), (4, None, 0, "U1"), (5, "x", -2, None), (6, "x", -1, None), (7, "x", 2000, None)]
     queries = spark.createDataFrame(rows, "query_id long, text string, page int, user_id string")
     got = {r.query_id: r for r in reply.replies(queries, result_rows(spark, 1, 1), "http://h/w/home").collect()}
     assert got[2].reply == "Nothing is known about _what is é_"
     assert got[2].new_page == "http://h/w/_new?wiki%5Bbody%5D=what%20is%20%C3%A9"
-    assert all(got[i].reply == reply.FAILURE and got[i].new_page is None for i in (3, 4, 5))
+    assert all(got[i].reply == reply.FAILURE and got[i].new_page is None for i in (3, 4, 5, 7))
     assert got[6].reply == "Nothing is known about _x_"
 
 

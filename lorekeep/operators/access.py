@@ -103,28 +103,49 @@ def permitted_users(rules: DataFrame, users: DataFrame, open_channels: DataFrame
     return by_name.unionByName(by_channel).distinct()
 
 
-def authorise_messages(
-    messages: DataFrame,
+def decide(
+    events: DataFrame,
     rules: DataFrame,
     users: DataFrame,
     channels: DataFrame,
     members: DataFrame,
     self_id: str,
 ) -> DataFrame:
-    """Messages to answer: direct ones, and mentions in allowed channels, from
-    permitted users.  Under a rule for everyone no channel is an allowed one,
-    so only direct messages are answered then.
+    """Routed events with an ``allowed`` flag.
+
+    The sender must be another, permitted user.  A message must be ordinary talk
+    and either direct or a mention in an allowed channel; commands and button
+    presses may come from anywhere.  Under a rule for everyone no channel is an
+    allowed one, so of the messages only direct ones are answered then.
     """
     open_channels = written(allowed_channels(rules, channels))
-    heard = broadcast_if_small(open_channels.withColumn("heard", F.lit(True)))
-    addressed = is_direct(F.col("channel_id")) | (is_mentioned(F.col("text"), self_id) & F.col("heard"))
-    permitted = broadcast_if_small(written(permitted_users(rules, users, open_channels, members)))
+    permitted = written(permitted_users(rules, users, open_channels, members))
+    heard = F.coalesce(F.col("heard"), F.lit(False))
+    addressed = (
+        F.col("route").isin("command", "button")
+        | is_direct(F.col("channel_id"))
+        | (is_mentioned(F.col("text"), self_id) & heard)
+    )
+    proper = is_from_other(F.col("user_id"), self_id) & is_talk(F.col("subtype")) & addressed
     return (
-        eligible(messages, self_id)
-        .join(heard, "channel_id", "left")
-        .filter(addressed)
-        .join(permitted, "user_id", "left_semi")
-        .select("message_id", "channel_id", "user_id", query_text(F.col("text")).alias("text"))
+        events.join(broadcast_if_small(open_channels.withColumn("heard", F.lit(True))), "channel_id", "left")
+        .join(broadcast_if_small(permitted.withColumn("permitted", F.lit(True))), "user_id", "left")
+        .select(*events.columns, F.coalesce(proper & F.col("permitted"), F.lit(False)).alias("allowed"))
+    )
+
+
+def authorise_messages(
+    messages: DataFrame,
+    rules: DataFrame,
+    users: DataFrame,
+    channels: DataFrame,
+    members: DataFrame,
+    self_id: str,
+) -> DataFrame:
+    """Messages to answer, with the text to search for."""
+    routed = eligible(messages, self_id).withColumn("route", F.lit("message"))
+    return decide(routed, rules, users, channels, members, self_id).filter("allowed").select(
+        "message_id", "channel_id", "user_id", query_text(F.col("text")).alias("text")
     )
 
 
@@ -136,13 +157,14 @@ def authorise_requests(
     members: DataFrame,
     self_id: str,
 ) -> DataFrame:
-    """Commands or button presses with an ``allowed`` flag; the channel is not asked."""
-    open_channels = written(allowed_channels(rules, channels))
-    permitted = written(permitted_users(rules, users, open_channels, members)).withColumn("permitted", F.lit(True))
-    allowed = F.coalesce(F.col("permitted"), F.lit(False)) & is_from_other(F.col("user_id"), self_id)
-    return requests.join(broadcast_if_small(permitted), "user_id", "left").select(
-        *requests.columns, allowed.alias("allowed")
+    """Commands or button presses with an ``allowed`` flag; their channel is not asked."""
+    shaped = requests.select(
+        *[F.col(c) for c in requests.columns if c not in ("channel_id", "subtype", "text", "route")],
+        F.lit("").alias("channel_id"), F.lit(None).cast("string").alias("subtype"), F.lit("").alias("text"),
+        F.lit("command").alias("route"),
     )
+    decided = decide(shaped, rules, users, channels, members, self_id)
+    return decided.drop("channel_id", "subtype", "text", "route")
 
 
 def refusals(commands: DataFrame) -> DataFrame:

@@ -1,18 +1,34 @@
-"""From authorised questions to replies."""
+"""From chat events and questions to replies."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.urls import document_url
-from lorekeep.operators.access import authorise_messages
-from lorekeep.operators.joins import written
-from lorekeep.operators.reply import can_be_run, replies, shown_rows
+from lorekeep.operators import access
+from lorekeep.operators.joins import broadcast_if_small, written
+from lorekeep.operators.reply import CONFUSED, can_be_run, new_page_value, replies, shown_rows
 from lorekeep.operators.search import QUERY, search, search_results
 from lorekeep.plans.build import Library
 
 
+@dataclass(frozen=True)
+class Chat:
+    """Whom the bot knows and whom it answers; ``bot`` is its own user id."""
+
+    rules: DataFrame
+    users: DataFrame
+    channels: DataFrame
+    members: DataFrame
+    bot: str
+
+    def decide(self, events: DataFrame) -> DataFrame:
+        return access.decide(events, self.rules, self.users, self.channels, self.members, self.bot)
+
+
 def find(queries: DataFrame, library: Library, base: str) -> DataFrame:
     """Result rows of queries (query_id, text, page), the page cumulative."""
     runnable = queries.filter(can_be_run(F.col("text"), F.col("page")))
@@ -21,23 +37,51 @@ def find(queries: DataFrame, library: Library, base: str) -> DataFrame:
     return search_results(page, library.documents, library.index.key, url)
 
 
+def find_shared(queries: DataFrame, library: Library, base: str) -> DataFrame:
+    """The same, ranking each distinct text once for all who ask for it.
+
+    A text is ranked down to the last row anyone wants of it; a text asked for
+    by very many thus costs one search and a join of its page.
+    """
+    runnable = queries.filter(can_be_run(F.col("text"), F.col("page")))
+    distinct = runnable.groupBy("text").agg(F.max("page").alias("page"))
+    # The ids are fixed by being written before anything reads them.
+    texts = written(distinct.withColumn(QUERY, F.monotonically_increasing_id()))
+    found = written(find(texts, library, base)).withColumnRenamed(QUERY, "text_id")
+    asked = runnable.select(QUERY, "text", "page").join(
+        broadcast_if_small(texts.select("text", F.col(QUERY).alias("text_id"))), "text"
+    )
+    return asked.join(broadcast_if_small(found), "text_id").filter(F.col("rank") <= shown_rows(F.col("page"))).drop(
+        "text_id", "text", "page"
+    )
+
+
 def answer_queries(queries: DataFrame, library: Library, base: str) -> DataFrame:
     """Replies to queries (query_id, text, page, user_id)."""
-    return replies(queries, find(queries, library, base), base)
-
-
-def answer_messages(
-    messages: DataFrame,
-    rules: DataFrame,
-    users: DataFrame,
-    channels: DataFrame,
-    members: DataFrame,
-    self_id: str,
-    library: Library,
-    base: str,
-) -> DataFrame:
-    """Replies to those messages that may be answered."""
-    allowed = authorise_messages(messages, rules, users, channels, members, self_id)
-    asked = allowed.select(F.col("message_id").alias(QUERY), "text", F.lit(0).alias("page"), "user_id")
-    answered = answer_queries(written(asked), library, base)
-    return answered.withColumnRenamed(QUERY, "message_id")
+    return replies(queries, find_shared(queries, library, base), base)
+
+
+def answer_events(events: DataFrame, chat: Chat, library: Library, base: str) -> DataFrame:
+    """Replies to chat events (event_id, kind, channel_id, user_id, subtype, text, actions).
+
+    The text of a button press is the query it was shown for, its actions say
+    which page is wanted.  A refused command is told so; other events that may
+    not be answered get no reply.
+    """
+    routed = events.withColumn("route", access.route(F.col("kind"))).filter("route <> 'ignore'")
+    decided = written(chat.decide(routed))
+    route = F.col("route")
+    asked = decided.filter("allowed").select(
+        F.col("event_id").alias(QUERY),
+        F.when(route == "message", access.query_text(F.col("text"))).otherwise(F.col("text")).alias("text"),
+        F.when(route == "button", new_page_value(F.col("actions"))).otherwise(F.lit(0)).alias("page"),
+        F.when(route == "message", F.col("user_id")).alias("user_id"),
+    )
+    queries = written(asked)
+    answered = answer_queries(queries.filter("page is not null"), library, base)
+    confused = queries.filter("page is null").select(QUERY, F.lit(CONFUSED).alias("reply"))
+    refused = decided.filter("not allowed and route = 'command'").select(
+        F.col("event_id").alias(QUERY), F.lit(access.REFUSAL).alias("reply")
+    )
+    told = confused.unionByName(refused)
+    return answered.unionByName(told, allowMissingColumns=True).withColumnRenamed(QUERY, "event_id")

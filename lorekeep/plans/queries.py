@@ -12,10 +12,11 @@ from lorekeep.functions.porter import with_stem
 from lorekeep.functions.text import strip_html
 from lorekeep.functions.urls import document_url
 from lorekeep.operators import access, analysis, highlight, index, ingest, metadata, reply, search
+from lorekeep.operators.joins import written
 from lorekeep.plans import answer, build
 from lorekeep.sources.shared import new_table_path
 from lorekeep.sources.tables import BASE_URL, BOT, Tables
-from lorekeep.streaming.replies import read_messages, start_replies
+from lorekeep.streaming.replies import read_events, start_replies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,21 +519,34 @@ def _(t):
     return t["events"].select("event_id", score_color(F.col("value") / 5).alias("color"))
 
 
-def answer_batch(t: Tables, messages: DataFrame) -> DataFrame:
-    return answer.answer_messages(messages, rules(t), *directory(t), BOT, library(t), BASE_URL)
+def events(t: Tables) -> DataFrame:
+    return t["chat_events"].select(
+        "event_id", "kind", "channel_id", "user_id", "subtype", "text", actions().alias("actions")
+    )
+
+
+def answer_batch(t: Tables, batch: DataFrame) -> DataFrame:
+    return answer.answer_events(batch, answer.Chat(rules(t), *directory(t), BOT), library(t), BASE_URL)
 
 
 @query("message_replies")
 def _(t):
-    return answer_batch(t, t["chat_messages"])
+    allowed = access.authorise_messages(t["chat_messages"], rules(t), *directory(t), BOT)
+    asked = allowed.select(F.col("message_id").alias("query_id"), "text", F.lit(0).alias("page"), "user_id")
+    return answer.answer_queries(written(asked), library(t), BASE_URL).withColumnRenamed("query_id", "message_id")
+
+
+@query("event_replies")
+def _(t):
+    return answer_batch(t, events(t))
 
 
 @query("stream_replies")
 def _(t):
-    """The same replies through a stream over files of messages."""
+    """The same replies through a stream over files of events."""
     place = new_table_path(t.spark, "stream")
-    t["chat_messages"].repartition(3, "message_id").write.parquet(f"{place}/in")
-    stream = read_messages(t.spark, f"{place}/in", files_per_batch=1)
+    events(t).repartition(3, "event_id").write.parquet(f"{place}/in")
+    stream = read_events(t.spark, f"{place}/in", files_per_batch=1)
     started = start_replies(stream, lambda batch: answer_batch(t, batch), f"{place}/out", f"{place}/state")
     started.awaitTermination()
     return t.spark.read.parquet(f"{place}/out").drop("batch")

@@ -91,17 +91,6 @@ VIEWS = {
                concat(CASE WHEN conv_id % 4 = 0 THEN '<@UBOT> ' WHEN conv_id % 4 = 2 THEN '<@UBOT|bot>: '
                            ELSE '' END, text) AS text
         FROM {conversations}""",
-    # What a chat client delivers, messages among it.
-    "chat_events": """
-        SELECT message_id, CASE WHEN message_id % 11 = 0 THEN 'hello'
-                                WHEN subtype = 'message_changed' THEN 'hidden_message'
-                                ELSE 'message' END AS kind
-        FROM {chat_messages}
-        UNION ALL
-        SELECT -1 - event_id AS message_id,
-               CASE event_type WHEN 'click' THEN 'button' WHEN 'view' THEN 'button'
-                               WHEN 'signup' THEN 'command' ELSE event_type END AS kind
-        FROM {events}""",
     # Slash commands: the text is a benchmark passage.
     "commands": """
         SELECT e.event_id AS command_id, concat('C', CAST(e.user_id % 25 AS STRING)) AS channel_id,
@@ -117,6 +106,24 @@ VIEWS = {
                CASE WHEN value > 20 THEN 'more' WHEN value > 5 THEN 'less' ELSE 'other' END AS second_name,
                CAST(event_id % 4 AS STRING) AS second_value
         FROM {events}""",
+    # All that a chat client delivers: messages and, numbered below zero,
+    # commands, button presses and other events.
+    "chat_events": """
+        SELECT message_id AS event_id,
+               CASE WHEN message_id % 11 = 0 THEN 'hello' WHEN subtype = 'message_changed' THEN 'hidden_message'
+                    ELSE 'message' END AS kind,
+               channel_id, user_id, subtype, text,
+               CAST(NULL AS STRING) AS first_name, CAST(NULL AS STRING) AS first_value,
+               CAST(NULL AS STRING) AS second_name, CAST(NULL AS STRING) AS second_value
+        FROM {chat_messages}
+        UNION ALL
+        SELECT -1 - b.event_id AS event_id,
+               CASE b.first_name WHEN 'more' THEN 'button' WHEN 'less' THEN 'button' WHEN 'signup' THEN 'command'
+                                 ELSE b.first_name END AS kind,
+               CASE WHEN b.first_name IN ('more', 'less') THEN '' ELSE c.channel_id END AS channel_id,
+               b.user_id, CAST(NULL AS STRING) AS subtype, c.text,
+               b.first_name, b.first_value, b.second_name, b.second_value
+        FROM {button_events} AS b JOIN {commands} AS c ON b.event_id = c.command_id""",
     # The allow-list as written: a channel or a person each, and some slips.
     "rule_list": """
         SELECT concat(CASE WHEN n_regionkey IN (1, 3) THEN '#' ELSE '' END, lower(n_name)) AS rule FROM {nation}

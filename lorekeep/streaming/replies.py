@@ -1,6 +1,7 @@
-"""The message loop: a stream of messages in, replies out.
+"""The event loop: a stream of chat events in, replies out.
 
-No state is kept between messages, because a button carries its own page and
+Messages, commands and button presses come in one stream and differ in their
+kind.  No state is kept between them, because a button carries its own page and
 query.  Search and authorisation run per micro-batch on the batch operators.
 """
 
@@ -11,24 +12,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-MESSAGE_SCHEMA = "message_id bigint, channel_id string, user_id string, subtype string, text string"
+EVENT_SCHEMA = (
+    "event_id bigint, kind string, channel_id string, user_id string, subtype string, text string, "
+    "actions array<struct<name: string, value: string>>"
+)
 
 
-def read_messages(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(MESSAGE_SCHEMA)
+def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(EVENT_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
 
 
 def start_replies(
-    messages: DataFrame,
+    events: DataFrame,
     answer: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Answer each micro-batch of ``messages`` and write the replies to ``out``.
+    """Answer each micro-batch of ``events`` and write the replies to ``out``.
 
     A batch that is run again after a failure replaces its own output, so each
     reply is kept once.  Without an ``interval`` the query stops when all that
@@ -36,9 +40,9 @@ def start_replies(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        replies = answer(batch.dropDuplicates(["message_id"]))
+        replies = answer(batch.dropDuplicates(["event_id"]))
         replies.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return trigger.start()

@@ -260,9 +260,27 @@ NO_QUERIES = {"query_words": "SELECT '' AS token"}
 FIRST_PAGE = {"asked_pages": "SELECT query_id, text, 0 AS page FROM {asked}"}
 THIRD_PAGES = {"asked_pages": "SELECT query_id, text, query_id % 3 AS page FROM {asked}"}
 ONLY_ACCEPTED = {**NO_QUERIES, "titled": "SELECT doc_id, title, content AS text FROM {assembled}"}
-MESSAGES = {
-    "asked": "SELECT message_id AS query_id, text FROM {authorised}",
-    **FIRST_PAGE,
+MESSAGES = {"asked": "SELECT message_id AS query_id, text FROM {authorised}", **FIRST_PAGE}
+EVENTS = {
+    "open_events": """
+        SELECT event_id AS query_id, kind, user_id, text FROM {chat_events}
+        WHERE user_id IN (SELECT user_id FROM {permitted}) AND user_id <> 'UBOT'
+          AND (kind IN ('command', 'button')
+               OR (kind = 'message' AND (subtype IS NULL OR subtype = 'me_message')
+                   AND (left(channel_id, 1) = 'D' OR (regexp_matches(text, '<@UBOT[|>]')
+                        AND channel_id IN (SELECT channel_id FROM {open_channels})))))""",
+    "asked_pages": f"""
+        SELECT e.query_id, e.kind, CASE WHEN e.kind = 'message' THEN concat('<@', e.user_id, '> ') ELSE '' END AS hail,
+               CASE WHEN e.kind = 'message' THEN {all_replaced('e.text', [('<[^>]*>', "''", 'g'), ('^\\s+|\\s+$', "''", 'g')])}
+                    ELSE e.text END AS text,
+               CASE WHEN e.kind <> 'button' THEN 0
+                    ELSE CAST(p.usable[1].v AS BIGINT) + CASE p.usable[1].n WHEN 'more' THEN 1 ELSE -1 END END AS page
+        FROM {{open_events}} AS e LEFT JOIN {{pages_asked}} AS p ON p.event_id = -1 - e.query_id""",
+    "texts": "SELECT text, row_number() OVER (ORDER BY text) AS text_id FROM (SELECT DISTINCT text FROM {asked_pages})",
+    "asked": "SELECT text_id AS query_id, text FROM {texts}",
+    "found": PARTS["found"].replace("p.query_id, p.rank", "a.query_id, p.rank").replace(
+        "JOIN {asked_pages} AS a USING (query_id)",
+        "JOIN {texts} AS x ON x.text_id = p.query_id JOIN {asked_pages} AS a ON a.text = x.text"),
 }
 
 CHECKS: dict[str, str] = {
@@ -395,7 +413,7 @@ CHECKS: dict[str, str] = {
                               WHEN query_id IN (SELECT query_id FROM {scored}) THEN 'ok' ELSE 'empty' END AS status
         FROM {asked}""", asked="SELECT query_id, text FROM {odd_queries}"),
     "route_events": statement("""
-        SELECT message_id, kind, CASE WHEN kind IN ('message', 'command', 'button') THEN kind ELSE 'ignore' END AS route
+        SELECT event_id, kind, channel_id, user_id, subtype, text, first_name, first_value, second_name, second_value, CASE WHEN kind IN ('message', 'command', 'button') THEN kind ELSE 'ignore' END AS route
         FROM {chat_events}"""),
     "eligible_messages": statement("SELECT message_id, user_id, subtype FROM {talk}"),
     "is_dm": statement("SELECT message_id, left(channel_id, 1) = 'D' AS is_dm FROM {chat_messages}"),
@@ -444,7 +462,7 @@ CHECKS: dict[str, str] = {
     "quote_query": statement(f"SELECT message_id, {quoted('text')} AS quoted FROM {{chat_messages}}"),
     "score_color": f"SELECT event_id, {color('(value / 5)')} AS color FROM events",
 }
-CHECKS["message_replies"] = CHECKS["stream_replies"] = statement(f"""
+CHECKS["message_replies"] = statement(f"""
     SELECT message_id,
            CASE WHEN trim(a.text) = '' THEN {lit(reply.FAILURE)}
                 ELSE concat('<@', a.user_id, '> ',
@@ -455,3 +473,17 @@ CHECKS["message_replies"] = CHECKS["stream_replies"] = statement(f"""
            CASE WHEN trim(a.text) <> '' AND n_rows < total THEN 'more' END AS buttons,
            CASE WHEN trim(a.text) <> '' AND n_rows IS NULL THEN {new_page('a.text')} END AS new_page
     FROM {{authorised}} AS a LEFT JOIN {{attached}} AS t ON t.query_id = a.message_id""", **MESSAGES)
+CHECKS["event_replies"] = CHECKS["stream_replies"] = statement(f"""
+    SELECT a.query_id AS event_id,
+           CASE WHEN page IS NULL THEN {lit(reply.CONFUSED)}
+                WHEN trim(text) = '' OR page < -1 THEN {lit(reply.FAILURE)}
+                ELSE concat(hail, CASE WHEN n_rows IS NULL THEN concat('Nothing is known about ', {quoted('text')})
+                                       ELSE concat(total, ' hits for ', {quoted('text')}) END) END AS reply,
+           attachments,
+           CASE WHEN n_rows < total THEN {pager('page', 'total')} END AS pager,
+           CASE WHEN n_rows < total AND page > 0 THEN 'less,more' WHEN n_rows < total THEN 'more' END AS buttons,
+           CASE WHEN trim(text) <> '' AND page >= -1 AND n_rows IS NULL THEN {new_page('text')} END AS new_page
+    FROM {{asked_pages}} AS a LEFT JOIN {{attached}} AS t USING (query_id)
+    UNION ALL
+    SELECT event_id, {lit(access.REFUSAL)}, NULL, NULL, NULL, NULL FROM {{chat_events}}
+    WHERE kind = 'command' AND event_id NOT IN (SELECT query_id FROM {{open_events}})""", **EVENTS)

@@ -2,31 +2,27 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.sources.shared import new_table_path, shared_folder
-from lorekeep.streaming.replies import MESSAGE_SCHEMA, read_messages, start_replies
-
-
-def write(spark, folder, name, rows):
-    spark.createDataFrame(rows, MESSAGE_SCHEMA).coalesce(1).write.parquet(f"{folder}/{name}")
+from lorekeep.streaming.replies import EVENT_SCHEMA, read_events, start_replies
 
 
 def shout(batch):
-    return batch.select("message_id", F.upper("text").alias("reply"))
+    return batch.select("event_id", F.upper("text").alias("reply"))
 
 
 def test_new_messages_are_answered_once(spark, tmp_path):
     folder = lambda name: str(tmp_path / name)
-    message = lambda i, text: (i, "D1", "U1", None, text)
-    spark.createDataFrame([message(1, "a"), message(1, "a"), message(2, "b")], MESSAGE_SCHEMA).coalesce(1).write.mode(
+    message = lambda i, text: (i, "message", "D1", "U1", None, text, None)
+    spark.createDataFrame([message(1, "a"), message(1, "a"), message(2, "b")], EVENT_SCHEMA).coalesce(1).write.mode(
         "append"
     ).parquet(folder("in"))
 
     def run():
-        started = start_replies(read_messages(spark, folder("in"), 1), shout, folder("out"), folder("state"))
+        started = start_replies(read_events(spark, folder("in"), 1), shout, folder("out"), folder("state"))
         started.awaitTermination()
-        return sorted((r.message_id, r.reply) for r in spark.read.parquet(folder("out")).collect())
+        return sorted((r.event_id, r.reply) for r in spark.read.parquet(folder("out")).collect())
 
     assert run() == [(1, "A"), (2, "B")]
-    spark.createDataFrame([message(3, "c")], MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(folder("in"))
+    spark.createDataFrame([message(3, "c")], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder("in"))
     assert run() == [(1, "A"), (2, "B"), (3, "C")]
     assert run() == [(1, "A"), (2, "B"), (3, "C")]
 

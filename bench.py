@@ -13,7 +13,7 @@ from lorekeep.sources.tables import Tables
 
 HEADLINES = [
     "assemble_documents", "upsert_documents", "changed_documents", "html_to_text", "tokenize", "stem_vocabulary",
-    "analyze_content", "rebuild_index", "corpus_stats", "search_ranked", "search_totals", "search_page",
+    "analyze_content", "rebuild_index", "update_index", "corpus_stats", "search_ranked", "search_totals", "search_page",
     "search_results", "highlight", "authorized_messages", "authorized_commands", "button_pages", "reply_attachments",
     "no_hit_links", "event_replies",
 ]

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import term_counts, with_field_length
+from lorekeep.operators.joins import broadcast_if_small, written
 
 SHARDS_PER_BUCKET = 4
 DOCUMENTS_PER_BUCKET = 50_000
@@ -113,6 +114,13 @@ def _write_statistics(postings: DataFrame, path: str) -> None:
     )
 
 
+def _analysed(documents: DataFrame, key: str, title: str, content: str, buckets: int) -> DataFrame:
+    """Postings of documents, placed in their buckets."""
+    keys = ["shard", key]
+    texts = documents.select(shard_of(F.col(key), buckets).alias("shard"), key, title, content)
+    return with_field_length(term_counts(texts, keys, title, content, place_by="shard", partitions=buckets), keys)
+
+
 def build_index(
     documents: DataFrame,
     path: str,
@@ -128,14 +136,29 @@ def build_index(
     """
     spark = documents.sparkSession
     buckets = buckets or bucket_count(documents.count(), spark.sparkContext.defaultParallelism)
-    keys = ["shard", key]
-    texts = documents.select(shard_of(F.col(key), buckets).alias("shard"), key, title, content)
-    counts = term_counts(texts, keys, title, content, place_by="shard", partitions=buckets)
     index = Index(spark, path, _new_table_name(), key, buckets)
-    _write_postings(with_field_length(counts, keys), index.table, path, buckets)
-    _write_statistics(index.postings, path)
-    meta = json.dumps({"key": key, "buckets": buckets})
-    spark.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return _write(index, _analysed(documents, key, title, content, buckets))
+
+
+def update_index(index: Index, changed: DataFrame, path: str, title: str = "title", content: str = "content") -> Index:
+    """A copy of the index at a new ``path`` with new and changed documents in it.
+
+    Only ``changed`` is analysed.  The other postings are copied bucket by bucket
+    without a shuffle, as long as the changed keys are few enough to be broadcast.
+    """
+    added = _analysed(changed, index.key, title, content, index.buckets)
+    replaced = broadcast_if_small(written(changed.select(index.key).distinct()))
+    kept = index.postings.join(replaced, index.key, "left_anti")
+    updated = Index(index.spark, path, _new_table_name(), index.key, index.buckets)
+    return _write(updated, kept.unionByName(added))
+
+
+def _write(index: Index, postings: DataFrame) -> Index:
+    _write_postings(postings, index.table, index.path, index.buckets)
+    _write_statistics(index.postings, index.path)
+    meta = json.dumps({"key": index.key, "buckets": index.buckets})
+    line = index.spark.range(1).select(F.lit(meta).alias("value")).coalesce(1)
+    line.write.mode("overwrite").text(f"{index.path}/meta")
     return index
 
 

@@ -307,6 +307,16 @@ def _(t):
     return built.terms.select("field", "term", "df", "cf").join(F.broadcast(fields), "field")
 
 
+@query("update_index")
+def _(t):
+    changed = t["revised_texts"].select(
+        "doc_id", ingest.title_from_path(F.col("path")).alias("title"), F.col("text").alias("content")
+    )
+    updated = index.update_index(library(t).index, changed, new_table_path(t.spark, "updated"))
+    fields = updated.fields.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return updated.terms.join(F.broadcast(fields), "field")
+
+
 # ---------------------------------------------------------------------- search
 
 

@@ -36,6 +36,9 @@ VIEWS = {
     "previous_texts": """
         SELECT path, CASE WHEN lang = 'de' THEN concat(text, ' (draft)') ELSE text END AS text
         FROM {wiki_files} WHERE lang <> 'es'""",
+    # Texts edited since they were indexed.
+    "revised_texts": """
+        SELECT doc_id, path, concat(text, ' revised draft') AS text FROM {wiki_files} WHERE lang = 'de'""",
     # Commits of those files; the author's clock may run behind, and the
     # record of some files lacks the address.
     "commits": """

@@ -379,6 +379,12 @@ CHECKS: dict[str, str] = {
         "SELECT field, term, df, cf, n_docs, round(avgdl, 6) AS avgdl FROM {term_stats} JOIN {field_stats} USING (field)",
         **NO_QUERIES,
     ),
+    "update_index": statement(
+        "SELECT field, term, df, cf, n_docs, round(avgdl, 6) AS avgdl FROM {term_stats} JOIN {field_stats} USING (field)",
+        **NO_QUERIES,
+        titled=PARTS["titled"].replace("SELECT *", "SELECT * REPLACE (CASE WHEN lang = 'de'"
+                                       " THEN concat(text, ' revised draft') ELSE text END AS text)"),
+    ),
     "query_terms": statement("SELECT query_id, field, term, qtf FROM {query_bag}", **ASKED),
     "match_docs": statement(
         "SELECT query_id, doc_id, count(*) AS matched_terms FROM {query_bag} JOIN {doc_terms} USING (field, term) GROUP BY ALL",

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.urls import document_url
 from lorekeep.operators import highlight, search
-from lorekeep.operators.index import bucket_count, build_index, clear_index, open_index
+from lorekeep.operators.index import bucket_count, build_index, clear_index, open_index, update_index
 
 from tests import plain
 
@@ -125,6 +125,18 @@ def test_index_opens_again_and_clears(corpus, queries, tmp_path, spark):
     assert pages(search.search(queries, build_index(corpus, str(tmp_path), "doc_id"))) == want
 
 
+def test_an_update_equals_a_rebuild(index, corpus, queries, tmp_path, spark):
+    changed = spark.createDataFrame([(3, "zebra", "now about rain"), (9, "dog sun", "rain")], corpus.schema)
+    whole = corpus.filter("doc_id <> 3").unionByName(changed)
+    updated = update_index(index, changed, str(tmp_path / "a"))
+    rebuilt = build_index(whole, str(tmp_path / "b"), "doc_id", buckets=3)
+    assert sorted(updated.postings.collect()) == sorted(rebuilt.postings.collect())
+    assert sorted(updated.terms.collect()) == sorted(rebuilt.terms.collect())
+    assert pages(search.search(queries, open_index(spark, str(tmp_path / "a")))) == pages(search.search(queries, rebuilt))
+    again = update_index(updated, changed, str(tmp_path / "c"))
+    assert sorted(again.postings.collect()) == sorted(rebuilt.postings.collect())
+
+
 def test_a_term_in_a_third_of_all_documents(spark, tmp_path):
     docs = spark.range(3000).selectExpr(
         "id doc_id", "concat('page ', id) title", "if(id % 3 = 0, concat('hot text', repeat(' pad', cast(id % 7 as int))), 'cold') content"

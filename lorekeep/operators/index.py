@@ -148,9 +148,9 @@ def update_index(index: Index, changed: DataFrame, path: str, title: str = "titl
     """
     added = _analysed(changed, index.key, title, content, index.buckets)
     replaced = broadcast_if_small(written(changed.select(index.key).distinct()))
-    kept = index.postings.join(replaced, index.key, "left_anti")
+    kept = index.postings.join(replaced, index.key, "left_anti").select(*index.postings.columns)
     updated = Index(index.spark, path, _new_table_name(), index.key, index.buckets)
-    return _write(updated, kept.unionByName(added))
+    return _write(updated, kept.unionByName(added.select(*kept.columns)))
 
 
 def _write(index: Index, postings: DataFrame) -> Index:

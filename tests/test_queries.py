@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from lorekeep.plans.queries import QUERIES
 from lorekeep.sources.tables import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def in_order(columns, rows):
     return sorted(tuple(repr(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, other, name):
     df = contract.queries()[name](spark, FOLDER)
     result = other.execute(contract.oracle_sql()[name])

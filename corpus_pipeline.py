@@ -7,20 +7,52 @@ last returns the placed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekeep.llm import simhash_dedup
+from lorekeep.llm import decontamination, language, packing, simhash_dedup, toxicity
+from lorekeep.llm.queries import table
 from lorekeep.llm.ship import ship
 from lorekeep.llm.tables import stored
+from lorekeep.llm.tokens import tokenizer_path
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, does not call toxic."""
+    ship(spark)
+    model = toxicity.learn_from_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those with a letter at least."""
+    ship(spark)
+    found = language.predict(docs, language.learn(docs))
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
     ship(spark)
     return simhash_dedup.one_of_each(docs)
 
 
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences of 2,048 ids."""
+    ship(spark)
+    return packing.packed(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 STAGES = [
-    ("simhash_dedup", near_copies),
+    ("toxicity", without_toxic),
+    ("language", with_language),
+    ("simhash_dedup", without_near_copies),
+    ("decontamination", without_leaks),
+    ("packing", in_sequences),
 ]
 
 #: Learned filters and a packing have no form in SQL; see the tests.
@@ -29,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import embedding_dedup, sharding, simhash_dedup
+from lorekeep.llm import (
+    decontamination,
+    embedding_dedup,
+    language,
+    packing,
+    sharding,
+    simhash_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from lorekeep.llm.ship import ship
+from lorekeep.llm.tokens import tokenizer_path
+from lorekeep.sources.shared import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,14 +37,50 @@ def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_texts(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_texts(table(spark, folder, "documents"), 8)
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_table_path(spark, "token-files")
+    token_files.write_tokens(table(spark, folder, "documents"), path, tokenizer_path("word_bpe_49k.json"), 2)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.digests(found)
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_embedding_dedup": op1_embedding_dedup,
-    "op2_simhash_dedup": op2_simhash_dedup,
-    "op4_sharding": op4_sharding,
+    run.__name__: run
+    for run in (
+        op1_embedding_dedup,
+        op2_simhash_dedup,
+        op3_toxicity,
+        op4_sharding,
+        op5_token_files,
+        op7_decontamination,
+        op8_token_counts,
+        op9_packing,
+        op10_language,
+    )
 }
 
 CHECKS: dict[str, str] = {}

@@ -28,6 +28,11 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def fraction(key: Column) -> Column:
+    """A number from 0 to below 1 that follows from the key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str, number: str = "number", weight: Column | None = None) -> DataFrame:
     """Rows in a total order with a number from 0, and where asked the sum of a weight before them.
 

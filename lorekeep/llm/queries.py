@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.llm import (
     decontamination,
@@ -15,6 +16,7 @@ from lorekeep.llm import (
     simhash_dedup,
     token_counts,
     token_files,
+    tool_calls,
     toxicity,
 )
 from lorekeep.llm.ship import ship
@@ -51,6 +53,40 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
+#: The tools of the derived calls, with the type of each argument and whether it is required.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", True)},
+    "translate": {"query": ("string", True), "limit": ("number", False)},
+}
+
+#: Calls and results that the conversations stand for: each user turn calls a
+#: tool and needs two earlier ones; each assistant turn answers the turn before.
+#: Some calls lack an argument, have one of the wrong type or one too many.
+CALLS = """
+    SELECT conv_id, turn, concat('call-', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS call_id,
+           CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'other' END AS name,
+           CASE WHEN length(text) % 11 = 0 THEN '{{"limit": 3}}'
+                WHEN length(text) % 7 = 0 THEN to_json(named_struct('query', text, 'limit', 'few', 'a', true))
+                ELSE to_json(named_struct('query', text, 'limit', length(text) % 5)) END AS arguments,
+           CASE WHEN turn > 0 THEN array(concat('call-', CAST(conv_id AS STRING), '-', CAST(turn DIV 2 AS STRING)),
+                                         concat('call-', CAST(conv_id AS STRING), '-', CAST(turn DIV 3 AS STRING)))
+                ELSE CAST(array() AS array<string>) END AS depends_on
+    FROM {conversations} WHERE role = 'user'"""
+RESULTS = """
+    SELECT concat('call-', CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING)) AS call_id, turn, text AS content
+    FROM {conversations} WHERE role = 'assistant'"""
+
+
+def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    calls, results = (spark.sql(sql, conversations=conversations) for sql in (CALLS, RESULTS))
+    found = tool_calls.linked_calls(calls, results, TOOLS)
+    return found.select(
+        "conv_id", "turn", "call_id", "level", "place", F.array_join("errors", ",").alias("errors"), "linked",
+        F.octet_length("line").cast("long").alias("line_bytes"), F.sha2("line", 256).alias("line_sha256"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontamination.digests(found)
@@ -76,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op3_toxicity,
         op4_sharding,
         op5_token_files,
+        op6_tool_calls,
         op7_decontamination,
         op8_token_counts,
         op9_packing,
@@ -83,4 +120,63 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-CHECKS: dict[str, str] = {}
+#: Check SQL of those that a second engine can express.
+CHECKS: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+                   label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+            FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS one, b.vec_id AS other
+            FROM vectors AS a JOIN vectors AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.usable AND b.usable
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reached AS (
+            SELECT vec_id AS one, vec_id AS other FROM vectors
+            UNION
+            SELECT r.one, l.other FROM reached AS r JOIN links AS l ON r.other = l.one
+        ), components AS (
+            SELECT one, min(other) AS component_id FROM reached GROUP BY one
+        ), counts AS (
+            SELECT one, count(*) AS n FROM links GROUP BY one
+        )
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM vectors AS v JOIN components AS c ON v.vec_id = c.one LEFT JOIN counts AS n ON v.vec_id = n.one""",
+    "op6_tool_calls": """
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, concat('call-', conv_id, '-', turn) AS call_id,
+                   CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'other' END AS name,
+                   CASE WHEN length(text) % 11 = 0 THEN '{"limit":3}'
+                        WHEN length(text) % 7 = 0
+                        THEN concat('{"a":true,"limit":"few","query":', CAST(to_json(text) AS VARCHAR), '}')
+                        ELSE concat('{"limit":', length(text) % 5, ',"query":', CAST(to_json(text) AS VARCHAR), '}')
+                   END AS arguments,
+                   CASE WHEN length(text) % 11 = 0 THEN 'missing query'
+                        WHEN length(text) % 7 = 0 THEN 'type of limit,unexpected a' ELSE '' END AS wrong
+            FROM conversations WHERE role = 'user'
+        ), needs AS (
+            SELECT c.call_id, d.call_id AS needed
+            FROM calls AS c JOIN calls AS d
+              ON c.conv_id = d.conv_id AND c.turn > 0 AND d.turn IN (c.turn // 2, c.turn // 3)
+        ), depths AS (
+            SELECT call_id, 0 AS level FROM calls
+            UNION
+            SELECT n.call_id, d.level + 1 FROM depths AS d JOIN needs AS n ON d.call_id = n.needed
+        ), ranked AS (
+            SELECT call_id, max(level) AS level FROM depths GROUP BY call_id
+        ), lines AS (
+            SELECT c.conv_id, c.turn, c.call_id, CAST(r.level AS INTEGER) AS level,
+                   row_number() OVER (PARTITION BY c.conv_id ORDER BY r.level, c.turn) - 1 AS place,
+                   CASE WHEN c.name = 'other' THEN 'unknown tool' ELSE c.wrong END AS errors,
+                   a.turn IS NOT NULL AS linked,
+                   concat('{"arguments":', c.arguments, ',"id":"', c.call_id, '","name":"', c.name, '","result":',
+                          coalesce(CAST(to_json(a.text) AS VARCHAR), 'null'), '}') AS line
+            FROM calls AS c JOIN ranked AS r ON c.call_id = r.call_id
+            LEFT JOIN conversations AS a ON a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn + 1
+        )
+        SELECT conv_id, turn, call_id, level, place, errors, linked,
+               CAST(strlen(line) AS BIGINT) AS line_bytes, sha256(line) AS line_sha256
+        FROM lines""",
+}

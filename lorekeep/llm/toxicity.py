@@ -132,8 +132,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def learn(examples: DataFrame, prior: float | None = None) -> Model:
-    """A model from rows of ``text``, ``toxic`` (1 is confirmed; else unlabelled) and ``at``.
+    """A model from rows of ``text``, ``toxic`` (1 is confirmed) and ``at``.
 
+    Unlabelled text is drawn from all rows, confirmed ones among them, since the
+    class prior is that of all rows.
     The samples are about POSITIVES and UNLABELLED documents, chosen by ``at`` (a
     hash between 0 and 1); equal texts count once.  Features are counted and
     chosen over both samples by Spark; the chosen features of the samples, a few
@@ -141,8 +143,9 @@ def learn(examples: DataFrame, prior: float | None = None) -> Model:
     text the model gives every text the prior.
     """
     prior = DEFAULT_PRIOR if prior is None else prior
-    kind = (F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int").alias("kind")
-    rows = examples.where("text IS NOT NULL").select("text", kind, "at")
+    confirmed = F.coalesce(F.col("toxic"), F.lit(0)) == 1
+    kinds = F.when(confirmed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = examples.where("text IS NOT NULL").select("text", F.explode(kinds).alias("kind"), "at")
     totals = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
     share = F.when(F.col("kind") == 1, POSITIVES / totals.get(1, 1)).otherwise(UNLABELLED / totals.get(0, 1))
     sample = rows.where(F.col("at") < share).select("kind", "text").dropDuplicates(["kind", "text"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ INLINE_TAGS = [
     "select", "small", "span", "strike", "strong", "sub", "sup", "textarea",
     "tt", "u", "var",
 ]
-# Named entities, the ampersand last so that nothing is decoded twice.
+# The named entities that occur most.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
@@ -37,7 +39,9 @@ HIDDEN_BLOCKS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s
 COMMENTS = r"(?s)<!--.*?-->"
 INLINE_TAG = r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?:\s[^>]*|/)?>"
 ANY_TAG = r"<[/!?]?[A-Za-z][^>]*>"
-DECIMAL_REFERENCE = r"&#([0-9]{1,7});"
+# A numeric or named reference; the names are those of the published table.
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMES = "\x02".join(f"{name[:-1]}\x01{sign}" for name, sign in html5.items() if name.endswith(";"))
 
 # The default English stop words of the search server.
 STOP_WORDS = [
@@ -53,34 +57,39 @@ def _with(value: Column, build) -> Column:
     return F.get(F.transform(F.array(value), build), F.lit(0))
 
 
-def _named_entities(text: Column) -> Column:
+def _named(name: Column) -> Column:
+    """Sign of a named reference, the common ones first; null for an unknown name."""
+    common = F.when(name == "", None)
     for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+        common = common.when(name == entity[1:-1], F.lit(sign))
+    return F.coalesce(common, F.try_element_at(F.str_to_map(F.lit(NAMES), F.lit("\x02"), F.lit("\x01")), name))
 
 
-def _code_point(digits: Column) -> Column:
-    code = digits.cast("int")
+def _code_point(code: Column) -> Column:
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     hexed = F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")
     return F.decode(F.unhex(hexed), "UTF-32")
 
 
-def _decoded(text: Column) -> Column:
-    pieces = F.transform(F.split(text, DECIMAL_REFERENCE), _named_entities)
-    signs = F.transform(F.regexp_extract_all(text, F.lit(DECIMAL_REFERENCE), 1), _code_point)
-    numeric = F.array_join(
-        F.zip_with(pieces, signs, lambda piece, sign: F.concat(piece, F.coalesce(sign, F.lit("")))), ""
-    )
+def _sign(reference: Column) -> Column:
+    """What a reference, without its ampersand and semicolon, stands for."""
     return (
-        F.when(text.contains("&#"), numeric)
-        .when(text.contains("&"), _named_entities(text))
-        .otherwise(text)
+        F.when(F.lower(reference).startswith("#x"), _code_point(F.conv(F.substr(reference, F.lit(3)), 16, 10).cast("int")))
+        .when(reference.startswith("#"), _code_point(F.substr(reference, F.lit(2)).cast("int")))
+        .otherwise(F.coalesce(_named(reference), F.concat(F.lit("&"), reference, F.lit(";"))))
+    )
+
+
+def _decoded(text: Column) -> Column:
+    signs = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 1), _sign)
+    whole = F.array_join(
+        F.zip_with(F.split(text, REFERENCE), signs, lambda piece, sign: F.concat(piece, F.coalesce(sign, F.lit("")))), ""
     )
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode named and decimal references in one pass over the text."""
+    """Decode named, decimal and hexadecimal references in one pass over the text."""
     return _with(text, _decoded)
 
 

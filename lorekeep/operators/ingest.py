@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import plain_text
+from lorekeep.operators.joins import broadcast_if_small, written
 
 # Document formats in the order in which they win a stem.
 SUPPORTED_EXTENSIONS = ["md", "org", "rst", "txt"]
@@ -102,11 +103,22 @@ def title_from_path(path: Column) -> Column:
     return F.replace(name, F.lit("-"), F.lit(" "))
 
 
-def parse_updated_on(written: Column) -> Column:
-    """ISO date-time or epoch milliseconds, normalised to UTC, else null."""
-    iso = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(written))
-    millis = F.timestamp_millis(F.when(written.rlike(r"^-?\d{1,18}$"), written.try_cast("bigint")))
-    return F.coalesce(iso, millis)
+def parse_updated_on(written_as: Column) -> Column:
+    """ISO date or date-time, else epoch milliseconds, as an instant; else null.
+
+    Four digits are a year.  Missing parts are the first of their kind, and a
+    missing zone is UTC, whatever the session's zone.
+    """
+    day = r"^\d{4}-\d{2}-\d{2}"
+    iso = (
+        F.when(written_as.rlike(r"^\d{4}$"), F.concat(written_as, F.lit("-01-01T00:00:00Z")))
+        .when(written_as.rlike(r"^\d{4}-\d{2}$"), F.concat(written_as, F.lit("-01T00:00:00Z")))
+        .when(written_as.rlike(day + "$"), F.concat(written_as, F.lit("T00:00:00Z")))
+        .when(written_as.rlike(day + r"[T ].*(Z|[+-]\d{2}(:?\d{2})?)$"), written_as)
+        .when(written_as.rlike(day + "[T ]"), F.concat(written_as, F.lit("Z")))
+    )
+    millis = F.when(written_as.rlike(r"^-?\d{1,18}$") & ~written_as.rlike(r"^\d{4}$"), written_as.try_cast("bigint"))
+    return F.coalesce(F.try_to_timestamp(iso), F.timestamp_millis(millis))
 
 
 def assemble_documents(files: DataFrame, metadata: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -166,23 +178,39 @@ def removed_documents(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.select("path").join(current.select("path"), "path", "left_anti")
 
 
+def split_writes(writes: DataFrame, key: str = "id", version: str = "version") -> tuple[DataFrame, DataFrame]:
+    """Writes that can be applied, and those without key or version with the reason."""
+    reason = F.when(F.col(key).isNull(), f"missing {key}").when(F.col(version).isNull(), f"missing {version}")
+    marked = writes.withColumn("reason", reason)
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+
+
 def latest_versions(writes: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """The last write of each key.
+    """The last write of each key; of equal versions the one with the greatest other columns.
 
-    Picking the row by (key, version) first keeps documents out of the shuffle.
+    One aggregate, which keeps a single row per key before the shuffle.
     """
-    newest = writes.groupBy(key).agg(F.max(version).alias(version))
-    return writes.join(newest, [key, version], "left_semi").dropDuplicates([key])
+    others = sorted(c for c in writes.columns if c not in (key, version))
+    last = writes.groupBy(key).agg(F.max(F.struct(version, *others)).alias("last"))
+    return last.select(*[F.col(key) if c == key else F.col(f"last.{c}").alias(c) for c in writes.columns])
 
 
 def upsert(stored: DataFrame, writes: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """Stored rows with later writes applied, the last write per key winning.
+    """Stored rows with writes applied; of both sides the highest version of a key wins.
 
-    The stored side is anti-joined on its key: when the batch of writes is
-    small, Spark broadcasts its keys and the stored table is not shuffled.
+    A write as high as what is stored replaces it.  Writes without key or
+    version change nothing; ``split_writes`` tells them.  The stored side meets
+    keys and versions of the writes only, so it is not moved when these are few.
     """
-    kept = stored.join(writes.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(latest_versions(writes, key, version))
+    accepted, _ = split_writes(writes, key, version)
+    last = written(latest_versions(accepted, key, version))
+    newest = last.select(key, F.col(version).alias("_written"))
+    higher = F.col("_written").isNull() | F.coalesce(F.col(version) > F.col("_written"), F.lit(False))
+    kept = stored.join(broadcast_if_small(newest), key, "left").filter(higher).drop("_written")
+    held = stored.select(key, F.col(version).alias("_held")).join(broadcast_if_small(newest), key).filter(
+        F.col("_held") > F.col("_written")
+    )
+    return kept.unionByName(last.join(held.select(key), key, "left_anti"))
 
 
 def split_rejects(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

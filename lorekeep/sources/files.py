@@ -9,8 +9,10 @@ from lorekeep.operators.ingest import SUPPORTED_EXTENSIONS, is_hidden, relative_
 
 
 def read_document_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every supported, visible file below ``folder``: path, text, length.
+    """Every supported, visible file below ``folder``: path, text, length, reason.
 
+    A file that is not valid UTF-8 has no text and a reason, for the reject
+    tables; it does not stop the others.
     The listing runs on the cluster; the content column is only read when a
     later step asks for it.  Spark's own listing keeps names such as ``_k=v``,
     so hidden components are filtered here as well.
@@ -27,5 +29,11 @@ def read_document_files(spark: SparkSession, folder: str) -> DataFrame:
     return (
         files.withColumn("path", path)
         .filter(~is_hidden(F.col("path")))
-        .select("path", F.decode("content", "UTF-8").alias("text"), "length", "modificationTime")
+        .select(
+            "path",
+            F.try_validate_utf8(F.col("content").cast("string")).alias("text"),
+            "length",
+            "modificationTime",
+            F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").alias("reason"),
+        )
     )

@@ -1,10 +1,12 @@
+import html
+import html.entities
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions.porter import with_stem
-from lorekeep.functions.text import plain_text, strip_html, tokens
+from lorekeep.functions.text import decode_entities, plain_text, strip_html, tokens
 from lorekeep.operators.analysis import term_counts
 
 from tests import plain
@@ -79,3 +81,16 @@ def test_strip_html(values):
     assert values(strip_html, [html])[0].split() == ["I'm", "so", "happy!", "1", "<", "2", ">", "0"]
     assert values(strip_html, ["&amp;lt; &#233;&#38;amp; &#9999999; &unknown; a&b"]) == ["&lt; é&amp; � &unknown; a&b"]
     assert values(plain_text, ["<h1> A\n</h1>\n<p>b  c</p>", None]) == ["A\nb c", None]
+
+
+def test_references_match_the_published_rules(values):
+    """Against the standard library, for references that end in a semicolon."""
+    names = [n for n in html.entities.html5 if n.endswith(";")]
+    texts = [
+        "it&#x27;s caf&eacute; &#233;&#XE9; &lt;b&gt; &amp;amp; &amp;lt; a&b; &nosuchname; &#xD800; &#0; & &; &#; x",
+        "no reference", None, "".join(f"&{n}" for n in names[:900]), "".join(f"&{n}" for n in names[900:]),
+    ]
+    # Blanks without a width of their own are read as blanks.
+    wanted = [t and html.unescape(t).replace("\ufffd", "\ufffd") for t in texts]
+    got = values(decode_entities, texts)
+    assert [t and t.replace("\u00a0", " ") for t in got] == [t and t.replace("\u00a0", " ") for t in wanted]

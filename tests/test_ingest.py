@@ -82,10 +82,18 @@ def test_metadata_rejects(spark):
         metadata.require_metadata(df).collect()
 
 
-def test_dates(values):
+def test_dates(spark, values):
     build = lambda v: F.unix_millis(ingest.parse_updated_on(v))
-    got = values(build, ["2024-01-01T02:00:00+02:00", "2024-01-01", "1704067200000", "soon", "123", None, "9" * 30])
-    assert got == [1704067200000, 1704067200000, 1704067200000, None, 123, None, None]
+    cases = ["2024-01-01T02:00:00+02:00", "2024-01-01", "1704067200000", "soon", "123", None, "9" * 30, "2024", "2024-01",
+             "2024-01-01T00:00:00", "2024-01-01 00:00:00.000", "2024-01-01T00:00:00Z", "2024-13"]
+    wanted = [1704067200000, 1704067200000, 1704067200000, None, 123, None, None, *[1704067200000] * 5, None]
+    assert values(build, cases) == wanted
+    for zone in ("America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert values(build, cases) == wanted
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_changes(spark):
@@ -111,6 +119,28 @@ def test_upsert_last_write_wins_and_repeats_harmlessly(spark):
     assert sorted(tuple(r) for r in ingest.upsert(once, writes).collect()) == sorted(want)
 
 
+def test_upsert_loses_nothing(spark):
+    schema = "id string, version long, content string"
+    stored = spark.createDataFrame([("a", 5, "held"), ("b", 1, "held"), ("c", 1, "held"), ("d", None, "held")], schema)
+    writes = spark.createDataFrame(
+        [("a", 2, "stale"), ("b", None, "no version"), (None, 9, "no key"), ("c", 3, "y"), ("c", 3, "x"), ("c", 2, "z"),
+         ("d", 0, "first"), ("e", None, "no version"), ("b", 1, "as high")],
+        schema,
+    )
+    wanted = {("a", 5, "held"), ("b", 1, "as high"), ("c", 3, "y"), ("d", 0, "first")}
+    for order in (writes, writes.orderBy(F.desc("content"))):
+        assert sorted(tuple(r) for r in ingest.upsert(stored, order.repartition(3)).collect()) == sorted(wanted)
+    _, rejects = ingest.split_writes(writes)
+    assert sorted(r.reason for r in rejects.collect()) == ["missing id", "missing version", "missing version"]
+
+
+def test_files_that_are_not_utf8_are_rejected(spark, tmp_path):
+    (tmp_path / "good.md").write_text("caf\u00e9", encoding="utf-8")
+    (tmp_path / "bad.md").write_bytes(b"caf\xe9")
+    got = {r.path: (r.text, r.reason) for r in read_document_files(spark, str(tmp_path)).collect()}
+    assert got == {"good.md": ("caf\u00e9", None), "bad.md": (None, "not UTF-8")}
+
+
 def test_upsert_with_one_hot_key(spark):
     stored = spark.range(1000).selectExpr("cast(id as string) id", "'old' content", "-1L version")
     writes = spark.range(30000).selectExpr(

@@ -13,7 +13,7 @@ from lorekeep.operators.analysis import analyse_positions
 from lorekeep.operators.joins import broadcast_if_small, written
 from lorekeep.operators.search import QUERY
 
-# Words shown on either side of a hit, and passages shown.
+# Defaults: words shown on either side of a hit, and passages shown.
 REACH = 6
 FRAGMENTS = 5
 OPEN_TAG = "<em>"
@@ -42,20 +42,24 @@ def matched_words(page: DataFrame, terms: DataFrame, documents: DataFrame, key:
     return _hits(page, terms, _page_words(page, documents, key), key)
 
 
-def fragments(page: DataFrame, terms: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """First passages around the hits, overlapping ones merged, in their order."""
+def fragments(
+    page: DataFrame, terms: DataFrame, documents: DataFrame, key: str, passages: int | None = FRAGMENTS, reach: int = REACH
+) -> DataFrame:
+    """First passages around the hits (all for ``None``), overlapping ones merged, in their order."""
     page = written(page)
     words = _page_words(page, documents, key)
     within = Window.partitionBy(QUERY, key).orderBy("pos")
     hits = _hits(page, terms, words, key).select(QUERY, key, "pos")
-    apart = F.coalesce(F.col("pos") - F.lag("pos").over(within) > 2 * REACH, F.lit(True))
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(within) > 2 * reach, F.lit(True))
     numbered = hits.withColumn("apart", apart).withColumn(
         "fragment", F.sum(F.col("apart").cast("long")).over(within)
-    ).filter(F.col("fragment") <= FRAGMENTS)
+    )
+    if passages is not None:
+        numbered = numbered.filter(F.col("fragment") <= passages)
     spans = numbered.groupBy(QUERY, key, "fragment").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     places = spans.select(
         QUERY, key, "fragment",
-        F.explode(F.sequence(F.greatest(F.col("low") - REACH, F.lit(0)), F.col("high") + REACH)).alias("pos"),
+        F.explode(F.sequence(F.greatest(F.col("low") - reach, F.lit(0)), F.col("high") + reach)).alias("pos"),
     )
     marks = hits.withColumn("hit", F.lit(True))
     marked = F.when(F.col("hit"), F.concat(F.lit(OPEN_TAG), "word", F.lit(CLOSE_TAG))).otherwise(F.col("word"))

@@ -9,9 +9,6 @@ from lorekeep.functions.colors import score_color
 from lorekeep.functions.urls import new_page_url
 from lorekeep.operators.search import PAGE_SIZE, QUERY
 
-# Fixed value: rows that the search server lets one query page through.
-RESULT_WINDOW = 10_000
-
 FAILURE = "The search could not be run just now."
 CONFUSED = "That button says nothing that can be acted on."
 DEFAULT_COLOR = "default"
@@ -23,11 +20,8 @@ def shown_rows(page: Column) -> Column:
 
 
 def can_be_run(text: Column, page: Column) -> Column:
-    """A query needs a text and a page within the result window.
-
-    The window also bounds the rows that one reply collects.
-    """
-    return (F.trim(F.coalesce(text, F.lit(""))) != "") & shown_rows(page).between(0, RESULT_WINDOW)
+    """A query needs a text and a page that is no less than the one before the first."""
+    return (F.trim(F.coalesce(text, F.lit(""))) != "") & (shown_rows(page) >= 0)
 
 
 def quote_query(text: Column) -> Column:
@@ -62,27 +56,25 @@ def new_page_value(actions: Column) -> Column:
     return F.try_element_at(pages, F.lit(1))
 
 
-def attachment(score: Column) -> Column:
-    """One result row: title, link, footer, colour, time of the last change."""
-    return F.struct(
-        F.col("title").alias("title"),
+def result_rows(results: DataFrame) -> DataFrame:
+    """The rows of a reply, each with title, link, footer, colour and time of the last change.
+
+    They stay rows, however many a page asks for, and carry their rank.
+    """
+    return results.select(
+        QUERY,
+        "rank",
+        "title",
         F.col("url").alias("link"),
         F.concat(F.lit("changed by "), F.col("updated_by")).alias("footer"),
-        F.coalesce(score_color(score), F.lit(DEFAULT_COLOR)).alias("color"),
+        F.coalesce(score_color(F.col("score")), F.lit(DEFAULT_COLOR)).alias("color"),
         F.unix_seconds(F.col("updated_on").cast("timestamp")).alias("ts"),
     )
 
 
-def attachments(results: DataFrame) -> DataFrame:
-    """Result rows of each query in rank order; at most the result window of them."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", attachment(F.col("score")).alias("row"))))
-    return results.groupBy(QUERY).agg(
-        F.first("total").alias("total"),
-        F.count("*").alias("n_rows"),
-        rows.alias("rows"),
-    ).select(
-        QUERY, "total", "n_rows", F.to_json(F.col("rows.row"), {"ignoreNullFields": "false"}).alias("attachments")
-    )
+def shown(results: DataFrame) -> DataFrame:
+    """How many hits and result rows each query has; none without a row."""
+    return results.groupBy(QUERY).agg(F.first("total").alias("total"), F.count("*").alias("n_rows"))
 
 
 def pager_text(page: Column, total: Column) -> Column:
@@ -91,16 +83,20 @@ def pager_text(page: Column, total: Column) -> Column:
     )
 
 
-def pager_buttons(page: Column) -> Column:
-    return F.when(page > 0, F.lit("less,more")).otherwise(F.lit("more"))
+def pager_buttons(page: Column, text: Column) -> Column:
+    """The buttons under a reply: each brings back its page and the query."""
+
+    def button(name: str) -> Column:
+        return F.struct(F.lit(name).alias("name"), page.cast("string").alias("value"), text.alias("callback"))
+
+    return F.when(page > 0, F.array(button("less"), button("more"))).otherwise(F.array(button("more")))
 
 
 def pager(answers: DataFrame) -> DataFrame:
     """The row that offers more, left out once all hits are shown."""
     page, total = F.col("page"), F.col("total")
     return answers.filter(F.col("n_rows") < total).select(
-        QUERY, "page", pager_text(page, total).alias("pager"), pager_buttons(page).alias("buttons"),
-        F.col("text").alias("callback"), page.cast("string").alias("button_value"),
+        QUERY, "page", pager_text(page, total).alias("pager"), pager_buttons(page, F.col("text")).alias("buttons")
     )
 
 
@@ -112,9 +108,11 @@ def no_hits(queries: DataFrame, results: DataFrame, base: str) -> DataFrame:
 
 
 def replies(queries: DataFrame, results: DataFrame, base: str) -> DataFrame:
-    """The whole reply to each query row (query_id, text, page, user_id)."""
-    answered = attachments(results)
-    joined = queries.join(answered, QUERY, "left")
+    """The head of the reply to each query row (query_id, text, page, user_id).
+
+    Its result rows are those of ``result_rows``, of which it has ``n_rows``.
+    """
+    joined = queries.join(shown(results), QUERY, "left")
     text, page, total = F.col("text"), F.col("page"), F.col("total")
     failed = ~can_be_run(text, page)
     empty = F.col("n_rows").isNull()
@@ -125,8 +123,8 @@ def replies(queries: DataFrame, results: DataFrame, base: str) -> DataFrame:
         F.when(failed, F.lit(FAILURE))
         .when(empty, with_mention(user, no_hit_header(text)))
         .otherwise(with_mention(user, header(total, text))).alias("reply"),
-        F.when(~failed & ~empty, F.col("attachments")).alias("attachments"),
+        F.when(~failed, F.coalesce("n_rows", F.lit(0))).alias("n_rows"),
         F.when(~failed & has_more, pager_text(page, total)).alias("pager"),
-        F.when(~failed & has_more, pager_buttons(page)).alias("buttons"),
+        F.when(~failed & has_more, pager_buttons(page, text)).alias("buttons"),
         F.when(~failed & empty, new_page_url(base, text)).alias("new_page"),
     )

@@ -22,17 +22,29 @@ B = 0.75
 TITLE_BOOST = 3.0
 PAGE_SIZE = 5
 
-MAX_PUSHED_TERMS = 200
+#: Terms for which a scan is told to skip what cannot hold them.
+MAX_PUSHED_TERMS = 500
+#: Groups of shards whose best rows are ranked together before all of them are.
+SHARD_GROUPS = 64
 QUERY = "query_id"
 
 
+def _any_of(tests: list[Column]) -> Column:
+    """The tests joined by "or" as a balanced tree."""
+    half = len(tests) // 2
+    return tests[0] if len(tests) == 1 else _any_of(tests[:half]) | _any_of(tests[half:])
+
+
 def _having_terms(table: DataFrame, terms: DataFrame) -> DataFrame:
-    """Narrow an index table, sorted by term, to a short list of terms.
+    """Narrow an index table, sorted by term, to a list of terms.
 
-    With few terms the scan skips what cannot hold them; many are left to the join.
+    Equalities reach the files one by one, where a list of more than ten values
+    would reach them as its least and greatest; longer lists are left to the join.
     """
     few = [row[0] for row in terms.select("term").distinct().limit(MAX_PUSHED_TERMS + 1).collect()]
-    return table.filter(F.col("term").isin(few)) if len(few) <= MAX_PUSHED_TERMS else table
+    if not 0 < len(few) <= MAX_PUSHED_TERMS:
+        return table
+    return table.filter(_any_of([F.col("term") == term for term in few]))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -93,23 +105,22 @@ def totals(queries: DataFrame, index: Index) -> DataFrame:
 def top_hits(hits: DataFrame, key: str, upto: Column) -> DataFrame:
     """Number the hits of each query by score and keep ranks to ``upto``.
 
-    First within each shard, then over the few rows the shards let through; the
-    count of a shard rides on its first row, which gives the exact total.
+    First within each shard, then within groups of shards, then over the few
+    rows that these let through; each limit is applied below its sort.  Hits are
+    counted apart, in place, so that no count keeps a whole shard's hits; that
+    gives the exact totals.
     """
     order = [F.desc("score"), F.asc(key)]
-    by_shard = Window.partitionBy(QUERY, "shard")
-    by_query = Window.partitionBy(QUERY)
-    shortlist = (
-        hits.withColumn("shard_rank", F.row_number().over(by_shard.orderBy(*order)))
-        .withColumn("shard_hits", F.count("*").over(by_shard))
-        .filter(F.col("shard_rank") <= F.greatest(upto, F.lit(1)))
-    )
-    return (
-        shortlist.withColumn("total", F.sum(F.when(F.col("shard_rank") == 1, F.col("shard_hits"))).over(by_query))
-        .withColumn("rank", F.row_number().over(by_query.orderBy(*order)).cast("long"))
-        .filter(F.col("rank") <= upto)
-        .drop("shard", "shard_rank", "shard_hits")
-    )
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        ranks = F.row_number().over(Window.partitionBy(QUERY, *by).orderBy(*order))
+        return rows.withColumn("rank", ranks).filter(F.col("rank") <= upto)
+
+    shards = hits.groupBy(QUERY, "shard").agg(F.count("*").alias("n"))
+    counts = shards.groupBy(QUERY).agg(F.sum("n").alias("total"))
+    grouped = first(hits, "shard").withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(SHARD_GROUPS)))
+    best = first(first(grouped, "group"))
+    return best.join(counts, QUERY).withColumn("rank", F.col("rank").cast("long")).drop("shard", "group")
 
 
 def search(queries: DataFrame, index: Index, start: int | Column = 0, size: int | Column = PAGE_SIZE) -> DataFrame:

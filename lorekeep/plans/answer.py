@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.urls import document_url
 from lorekeep.operators import access
 from lorekeep.operators.joins import broadcast_if_small, written
-from lorekeep.operators.reply import CONFUSED, can_be_run, new_page_value, replies, shown_rows
+from lorekeep.operators.reply import CONFUSED, can_be_run, new_page_value, replies, result_rows, shown_rows
 from lorekeep.operators.search import QUERY, search, search_results
 from lorekeep.plans.build import Library
 
@@ -44,29 +44,40 @@ def find_shared(queries: DataFrame, library: Library, base: str) -> DataFrame:
     by very many thus costs one search and a join of its page.
     """
     runnable = queries.filter(can_be_run(F.col("text"), F.col("page")))
-    distinct = runnable.groupBy("text").agg(F.max("page").alias("page"))
+    # Texts are named by their digest, so only that meets the askers.
+    digest = F.sha2("text", 256).alias("digest")
+    distinct = runnable.groupBy(digest).agg(F.first("text").alias("text"), F.max("page").alias("page"))
     # The ids are fixed by being written before anything reads them.
     texts = written(distinct.withColumn(QUERY, F.monotonically_increasing_id()))
     found = written(find(texts, library, base)).withColumnRenamed(QUERY, "text_id")
-    asked = runnable.select(QUERY, "text", "page").join(
-        broadcast_if_small(texts.select("text", F.col(QUERY).alias("text_id"))), "text"
-    )
+    named = broadcast_if_small(texts.select("digest", F.col(QUERY).alias("text_id")))
+    asked = runnable.select(QUERY, digest, "page").join(named, "digest")
     return asked.join(broadcast_if_small(found), "text_id").filter(F.col("rank") <= shown_rows(F.col("page"))).drop(
-        "text_id", "text", "page"
+        "text_id", "digest", "page"
     )
 
 
-def answer_queries(queries: DataFrame, library: Library, base: str) -> DataFrame:
+@dataclass(frozen=True)
+class Answers:
+    """Heads of replies and, apart from them, their result rows."""
+
+    heads: DataFrame
+    rows: DataFrame
+
+
+def answer_queries(queries: DataFrame, library: Library, base: str) -> Answers:
     """Replies to queries (query_id, text, page, user_id)."""
-    return replies(queries, find_shared(queries, library, base), base)
+    found = written(find_shared(queries, library, base))
+    return Answers(replies(queries, found, base), result_rows(found))
 
 
-def answer_events(events: DataFrame, chat: Chat, library: Library, base: str) -> DataFrame:
-    """Replies to chat events (event_id, kind, channel_id, user_id, subtype, text, actions).
+def answer_events(events: DataFrame, chat: Chat, library: Library, base: str) -> Answers:
+    """Replies to chat events (event_id, kind, channel_id, ts, user_id, subtype, text, actions).
 
     The text of a button press is the query it was shown for, its actions say
     which page is wanted.  A refused command is told so; other events that may
-    not be answered get no reply.
+    not be answered get no reply.  A reply goes to the channel of its event and
+    carries the event's time stamp.
     """
     routed = events.withColumn("route", access.route(F.col("kind"))).filter("route <> 'ignore'")
     decided = written(chat.decide(routed))
@@ -83,5 +94,6 @@ def answer_events(events: DataFrame, chat: Chat, library: Library, base: str) ->
     refused = decided.filter("not allowed and route = 'command'").select(
         F.col("event_id").alias(QUERY), F.lit(access.REFUSAL).alias("reply")
     )
-    told = confused.unionByName(refused)
-    return answered.unionByName(told, allowMissingColumns=True).withColumnRenamed(QUERY, "event_id")
+    told = answered.heads.unionByName(confused.unionByName(refused), allowMissingColumns=True)
+    heads = told.withColumnRenamed(QUERY, "event_id").join(decided.select("event_id", "channel_id", "ts"), "event_id")
+    return Answers(heads, answered.rows.withColumnRenamed(QUERY, "event_id"))

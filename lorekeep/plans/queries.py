@@ -501,16 +501,23 @@ def _(t):
     )
 
 
+@query("deep_page")
+def _(t):
+    """All hits of each query on one page."""
+    queries = t["queries"].withColumn("page", F.lit(2500))
+    return search.search(queries, library(t).index, 0, reply.shown_rows(F.col("page"))).drop("score")
+
+
 @query("reply_attachments")
 def _(t):
-    return reply.attachments(results(t, paged_queries(t)))
+    return reply.result_rows(results(t, paged_queries(t)))
 
 
 @query("reply_pager")
 def _(t):
     queries = paged_queries(t)
-    answered = reply.attachments(results(t, queries))
-    return reply.pager(queries.join(answered, "query_id"))
+    found = reply.pager(queries.join(reply.shown(results(t, queries)), "query_id"))
+    return found.withColumn("buttons", F.to_json("buttons"))
 
 
 @query("no_hit_links")
@@ -531,11 +538,11 @@ def _(t):
 
 def events(t: Tables) -> DataFrame:
     return t["chat_events"].select(
-        "event_id", "kind", "channel_id", "user_id", "subtype", "text", actions().alias("actions")
+        "event_id", "kind", "channel_id", "ts", "user_id", "subtype", "text", actions().alias("actions")
     )
 
 
-def answer_batch(t: Tables, batch: DataFrame) -> DataFrame:
+def answer_batch(t: Tables, batch: DataFrame) -> answer.Answers:
     return answer.answer_events(batch, answer.Chat(rules(t), *directory(t), BOT), library(t), BASE_URL)
 
 
@@ -543,20 +550,27 @@ def answer_batch(t: Tables, batch: DataFrame) -> DataFrame:
 def _(t):
     allowed = access.authorise_messages(t["chat_messages"], rules(t), *directory(t), BOT)
     asked = allowed.select(F.col("message_id").alias("query_id"), "text", F.lit(0).alias("page"), "user_id")
-    return answer.answer_queries(written(asked), library(t), BASE_URL).withColumnRenamed("query_id", "message_id")
+    heads = answer.answer_queries(written(asked), library(t), BASE_URL).heads
+    return heads.withColumnRenamed("query_id", "message_id").withColumn("buttons", F.to_json("buttons"))
 
 
 @query("event_replies")
 def _(t):
-    return answer_batch(t, events(t))
+    return answer_batch(t, events(t)).heads.withColumn("buttons", F.to_json("buttons"))
+
+
+@query("event_reply_rows")
+def _(t):
+    return answer_batch(t, events(t)).rows
 
 
 @query("stream_replies")
 def _(t):
-    """The same replies through a stream over files of events."""
+    """The same replies through a stream over files of events, some of them delivered twice."""
     place = new_table_path(t.spark, "stream")
-    events(t).repartition(3, "event_id").write.parquet(f"{place}/in")
+    again = events(t).filter("event_id % 3 = 0")
+    events(t).unionByName(again).repartition(3).write.parquet(f"{place}/in")
     stream = read_events(t.spark, f"{place}/in", files_per_batch=1)
     started = start_replies(stream, lambda batch: answer_batch(t, batch), f"{place}/out", f"{place}/state")
     started.awaitTermination()
-    return t.spark.read.parquet(f"{place}/out").drop("batch")
+    return t.spark.read.parquet(f"{place}/out/heads").drop("batch").withColumn("buttons", F.to_json("buttons"))

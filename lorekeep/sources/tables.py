@@ -115,7 +115,7 @@ VIEWS = {
         SELECT message_id AS event_id,
                CASE WHEN message_id % 11 = 0 THEN 'hello' WHEN subtype = 'message_changed' THEN 'hidden_message'
                     ELSE 'message' END AS kind,
-               channel_id, user_id, subtype, text,
+               channel_id, concat(CAST(1700000000 + message_id AS STRING), '.000100') AS ts, user_id, subtype, text,
                CAST(NULL AS STRING) AS first_name, CAST(NULL AS STRING) AS first_value,
                CAST(NULL AS STRING) AS second_name, CAST(NULL AS STRING) AS second_value
         FROM {chat_messages}
@@ -124,6 +124,7 @@ VIEWS = {
                CASE b.first_name WHEN 'more' THEN 'button' WHEN 'less' THEN 'button' WHEN 'signup' THEN 'command'
                                  ELSE b.first_name END AS kind,
                CASE WHEN b.first_name IN ('more', 'less') THEN '' ELSE c.channel_id END AS channel_id,
+               concat(CAST(1800000000 + b.event_id AS STRING), '.000200') AS ts,
                b.user_id, CAST(NULL AS STRING) AS subtype, c.text,
                b.first_name, b.first_value, b.second_name, b.second_value
         FROM {button_events} AS b JOIN {commands} AS c ON b.event_id = c.command_id""",
@@ -135,10 +136,13 @@ VIEWS = {
     # Dates as written by different tools.
     "date_texts": """
         SELECT event_id,
-               CASE event_id % 4
+               CASE event_id % 7
                     WHEN 0 THEN concat(replace(CAST(ts AS STRING), ' ', 'T'), '+02:00')
                     WHEN 1 THEN concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z')
                     WHEN 2 THEN CAST(1700000000000 + event_id * 1001 AS STRING)
+                    WHEN 3 THEN replace(CAST(ts AS STRING), ' ', 'T')
+                    WHEN 4 THEN left(CAST(ts AS STRING), 7)
+                    WHEN 5 THEN left(CAST(ts AS STRING), 4)
                     ELSE concat('about ', CAST(ts AS STRING)) END AS written
         FROM {events}""",
 }

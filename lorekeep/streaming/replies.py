@@ -1,8 +1,9 @@
 """The event loop: a stream of chat events in, replies out.
 
 Messages, commands and button presses come in one stream and differ in their
-kind.  No state is kept between them, because a button carries its own page and
-query.  Search and authorisation run per micro-batch on the batch operators.
+kind.  A button carries its own page and query, so the only thing kept between
+batches is which events have been taken up.  Search and authorisation run per
+micro-batch on the batch operators.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lorekeep.operators.joins import scratch, written
+from lorekeep.plans.answer import Answers
+
 EVENT_SCHEMA = (
-    "event_id bigint, kind string, channel_id string, user_id string, subtype string, text string, "
+    "event_id bigint, kind string, channel_id string, ts string, user_id string, subtype string, text string, "
     "actions array<struct<name: string, value: string>>"
 )
 
@@ -27,21 +32,40 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int | None =
 
 def start_replies(
     events: DataFrame,
-    answer: Callable[[DataFrame], DataFrame],
+    answer: Callable[[DataFrame], Answers],
     out: str,
     checkpoint: str,
     interval: str | None = None,
+    remember_days: int | None = None,
 ) -> StreamingQuery:
-    """Answer each micro-batch of ``events`` and write the replies to ``out``.
+    """Answer each micro-batch of ``events``; write heads to ``out``/heads and rows to ``out``/rows.
 
-    A batch that is run again after a failure replaces its own output, so each
-    reply is kept once.  Without an ``interval`` the query stops when all that
-    has arrived is answered.
+    An event is answered once, however often it is delivered: the ids taken up
+    by earlier batches are kept by day, and looked up in the last
+    ``remember_days`` of them (in all for ``None``).  A batch that is run again
+    after a failure replaces its own output.  The scratch tables of a batch are
+    deleted with it.  Without an ``interval`` the query stops when all that has
+    arrived is answered.
     """
+    spark = events.sparkSession
+    taken = f"{out}/taken"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        replies = answer(batch.dropDuplicates(["event_id"]))
-        replies.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch(spark):
+            fresh = batch.dropDuplicates(["event_id"])
+            if batch_id:
+                earlier = spark.read.schema("event_id bigint, day date, batch bigint").parquet(taken)
+                earlier = earlier.filter(F.col("batch") < batch_id)
+                if remember_days is not None:
+                    earlier = earlier.filter(F.col("day") >= F.date_sub(F.current_date(), remember_days))
+                fresh = fresh.join(earlier.select("event_id"), "event_id", "left_anti")
+            fresh = written(fresh)
+            answers = answer(fresh)
+            answers.heads.write.mode("overwrite").parquet(f"{out}/heads/batch={batch_id}")
+            answers.rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+            today = spark.range(1).select(F.current_date().cast("string")).first()[0]
+            ids = fresh.select("event_id").coalesce(1)
+            ids.write.mode("overwrite").parquet(f"{taken}/day={today}/batch={batch_id}")
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

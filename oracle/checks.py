@@ -129,11 +129,11 @@ PARTS: dict[str, str] = {
         FROM {{placed}} AS p JOIN {{asked_pages}} AS a USING (query_id) JOIN {{assembled}} AS d USING (doc_id)
         WHERE p.rank <= (a.page + 1) * 5""",
     "channel_scale": "SELECT unnest([0, 1, 2]) AS c, unnest([65, 105, 225]) AS full_rgb",
-    "attached": """
-        SELECT query_id, max(total) AS total, count(*) AS n_rows,
-               CAST(to_json(list({'title': title, 'link': url, 'footer': concat('changed by ', updated_by),
-                     'color': color, 'ts': updated_on // 1000000} ORDER BY rank)) AS VARCHAR) AS attachments
-        FROM {colored} GROUP BY query_id""",
+    "attached": "SELECT query_id, max(total) AS total, count(*) AS n_rows FROM {found} GROUP BY query_id",
+    "reply_rows": """
+        SELECT query_id, rank, title, url AS link, concat('changed by ', updated_by) AS footer, color,
+               updated_on // 1000000 AS ts
+        FROM {colored}""",
     # Passages.
     "first_page": "SELECT query_id, doc_id, rank FROM {placed} WHERE rank <= 5",
     "page_words": f"""
@@ -230,6 +230,15 @@ def pager(page: str, total: str) -> str:
     return f"concat('Shown: ', ({page} + 1) * 5, ' of ', {total}, ' hits')"
 
 
+def buttons(page: str, text: str) -> str:
+    """The buttons as JSON, each with its page and query."""
+    def button(name: str) -> str:
+        return f"{{'name': '{name}', 'value': CAST({page} AS VARCHAR), 'callback': {text}}}"
+
+    return (f"CAST(CASE WHEN {page} > 0 THEN to_json([{button('less')}, {button('more')}])"
+            f" ELSE to_json([{button('more')}]) END AS VARCHAR)")
+
+
 def statement(final: str, **own: str) -> str:
     """The final select with all expressions it needs, each defined once."""
     parts = {**PARTS, **VIEWS, **own}
@@ -330,8 +339,10 @@ CHECKS: dict[str, str] = {
                title, CAST(updated_on AS VARCHAR) AS updated_on, sha1(content) AS content_digest
         FROM {assembled}"""),
     "parse_updated_on": statement("""
-        SELECT e.event_id, CASE e.event_id % 4 WHEN 0 THEN epoch_us(e.ts) - 7200000000 WHEN 1 THEN epoch_us(e.ts)
-               WHEN 2 THEN CAST(d.written AS BIGINT) * 1000 ELSE NULL END AS updated_on
+        SELECT e.event_id, CASE e.event_id % 7 WHEN 0 THEN epoch_us(e.ts) - 7200000000 WHEN 1 THEN epoch_us(e.ts)
+               WHEN 2 THEN CAST(d.written AS BIGINT) * 1000 WHEN 3 THEN epoch_us(e.ts)
+               WHEN 4 THEN epoch_us(date_trunc('month', e.ts)) WHEN 5 THEN epoch_us(date_trunc('year', e.ts))
+               ELSE NULL END AS updated_on
         FROM {events} AS e JOIN {date_texts} AS d USING (event_id)"""),
     "changed_documents": statement("""
         SELECT s.path, sha256(s.text) AS hash, CASE WHEN p.path IS NULL THEN 'new' ELSE 'changed' END AS state
@@ -419,7 +430,7 @@ CHECKS: dict[str, str] = {
                               WHEN query_id IN (SELECT query_id FROM {scored}) THEN 'ok' ELSE 'empty' END AS status
         FROM {asked}""", asked="SELECT query_id, text FROM {odd_queries}"),
     "route_events": statement("""
-        SELECT event_id, kind, channel_id, user_id, subtype, text, first_name, first_value, second_name, second_value, CASE WHEN kind IN ('message', 'command', 'button') THEN kind ELSE 'ignore' END AS route
+        SELECT event_id, kind, channel_id, ts, user_id, subtype, text, first_name, first_value, second_name, second_value, CASE WHEN kind IN ('message', 'command', 'button') THEN kind ELSE 'ignore' END AS route
         FROM {chat_events}"""),
     "eligible_messages": statement("SELECT message_id, user_id, subtype FROM {talk}"),
     "is_dm": statement("SELECT message_id, left(channel_id, 1) = 'D' AS is_dm FROM {chat_messages}"),
@@ -457,10 +468,10 @@ CHECKS: dict[str, str] = {
                CASE WHEN total IS NULL THEN concat('Nothing is known about ', {quoted('text')})
                     ELSE concat(total, ' hits for ', {quoted('text')}) END) AS reply
         FROM {{asked}} LEFT JOIN (SELECT query_id, count(*) AS total FROM {{scored}} GROUP BY ALL) USING (query_id)""", **NAMED),
-    "reply_attachments": statement("SELECT query_id, total, n_rows, attachments FROM {attached}", **ASKED, **THIRD_PAGES),
+    "deep_page": statement("SELECT query_id, rank, doc_id, total FROM {placed}", **ASKED),
+    "reply_attachments": statement("SELECT * FROM {reply_rows}", **ASKED, **THIRD_PAGES),
     "reply_pager": statement(f"""
-        SELECT query_id, page, {pager('page', 'total')} AS pager, CASE WHEN page > 0 THEN 'less,more' ELSE 'more' END AS buttons,
-               text AS callback, CAST(page AS VARCHAR) AS button_value
+        SELECT query_id, page, {pager('page', 'total')} AS pager, {buttons('page', 'text')} AS buttons
         FROM {{attached}} JOIN {{asked_pages}} USING (query_id) WHERE n_rows < total""", **ASKED, **THIRD_PAGES),
     "no_hit_links": statement(f"""
         SELECT query_id, concat('Nothing is known about ', {quoted('text')}) AS reply, {new_page('text')} AS link
@@ -474,9 +485,9 @@ CHECKS["message_replies"] = statement(f"""
                 ELSE concat('<@', a.user_id, '> ',
                      CASE WHEN n_rows IS NULL THEN concat('Nothing is known about ', {quoted('a.text')})
                           ELSE concat(total, ' hits for ', {quoted('a.text')}) END) END AS reply,
-           CASE WHEN trim(a.text) <> '' THEN attachments END AS attachments,
+           CASE WHEN trim(a.text) <> '' THEN coalesce(n_rows, 0) END AS n_rows,
            CASE WHEN trim(a.text) <> '' AND n_rows < total THEN {pager('0', 'total')} END AS pager,
-           CASE WHEN trim(a.text) <> '' AND n_rows < total THEN 'more' END AS buttons,
+           CASE WHEN trim(a.text) <> '' AND n_rows < total THEN {buttons('0', 'a.text')} END AS buttons,
            CASE WHEN trim(a.text) <> '' AND n_rows IS NULL THEN {new_page('a.text')} END AS new_page
     FROM {{authorised}} AS a LEFT JOIN {{attached}} AS t ON t.query_id = a.message_id""", **MESSAGES)
 CHECKS["event_replies"] = CHECKS["stream_replies"] = statement(f"""
@@ -485,11 +496,16 @@ CHECKS["event_replies"] = CHECKS["stream_replies"] = statement(f"""
                 WHEN trim(text) = '' OR page < -1 THEN {lit(reply.FAILURE)}
                 ELSE concat(hail, CASE WHEN n_rows IS NULL THEN concat('Nothing is known about ', {quoted('text')})
                                        ELSE concat(total, ' hits for ', {quoted('text')}) END) END AS reply,
-           attachments,
+           CASE WHEN trim(text) <> '' AND page >= -1 THEN coalesce(n_rows, 0) END AS n_rows,
            CASE WHEN n_rows < total THEN {pager('page', 'total')} END AS pager,
-           CASE WHEN n_rows < total AND page > 0 THEN 'less,more' WHEN n_rows < total THEN 'more' END AS buttons,
-           CASE WHEN trim(text) <> '' AND page >= -1 AND n_rows IS NULL THEN {new_page('text')} END AS new_page
+           CASE WHEN n_rows < total THEN {buttons('page', 'text')} END AS buttons,
+           CASE WHEN trim(text) <> '' AND page >= -1 AND n_rows IS NULL THEN {new_page('text')} END AS new_page,
+           e.channel_id, e.ts
     FROM {{asked_pages}} AS a LEFT JOIN {{attached}} AS t USING (query_id)
+    JOIN (SELECT event_id, channel_id, ts FROM {{chat_events}}) AS e ON e.event_id = a.query_id
     UNION ALL
-    SELECT event_id, {lit(access.REFUSAL)}, NULL, NULL, NULL, NULL FROM {{chat_events}}
+    SELECT event_id, {lit(access.REFUSAL)}, NULL, NULL, NULL, NULL, channel_id, ts FROM {{chat_events}}
     WHERE kind = 'command' AND event_id NOT IN (SELECT query_id FROM {{open_events}})""", **EVENTS)
+CHECKS["event_reply_rows"] = statement(
+    "SELECT query_id AS event_id, rank, title, link, footer, color, ts FROM {reply_rows}", **EVENTS
+)

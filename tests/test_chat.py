@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,21 +111,34 @@ def result_rows(spark, n, total):
 @pytest.mark.parametrize(
     "page, n, total, pager, buttons",
     [
-        (0, 5, 12, "Shown: 5 of 12 hits", "more"),
-        (1, 10, 12, "Shown: 10 of 12 hits", "less,more"),
+        (0, 5, 12, "Shown: 5 of 12 hits", ["more"]),
+        (1, 10, 12, "Shown: 10 of 12 hits", ["less", "more"]),
         (2, 12, 12, None, None),
         (0, 5, 5, None, None),
-        (0, 4, 5, "Shown: 5 of 5 hits", "more"),
+        (0, 4, 5, "Shown: 5 of 5 hits", ["more"]),
+        (2400, 12_000, 13_000, "Shown: 12005 of 13000 hits", ["less", "more"]),
     ],
 )
 def test_replies_with_hits(spark, page, n, total, pager, buttons):
     queries = spark.createDataFrame([(1, "a_*b`\nc", page, "U1")], "query_id long, text string, page int, user_id string")
-    got = reply.replies(queries, result_rows(spark, n, total), "http://h/w/home").first()
+    results = result_rows(spark, n, total)
+    got = reply.replies(queries, results, "http://h/w/home").first()
     assert got.reply == f"<@U1> {total} hits for _abc_"
-    assert (got.pager, got.buttons, got.new_page) == (pager, buttons, None)
-    rows = json.loads(got.attachments)
-    assert [r["title"] for r in rows] == [f"t{i}" for i in range(1, n + 1)]
-    assert rows[0] == {"title": "t1", "link": "u1", "footer": "changed by me", "color": rows[0]["color"], "ts": 1704067200}
+    assert (got.n_rows, got.pager, got.new_page) == (n, pager, None)
+    assert [(b.name, b.value, b.callback) for b in got.buttons or []] == [(b, str(page), "a_*b`\nc") for b in buttons or []]
+    rows = reply.result_rows(results).orderBy("rank").collect()
+    assert [r.title for r in rows] == [f"t{i}" for i in range(1, n + 1)]
+    assert tuple(rows[0]) == (1, 1, "t1", "u1", "changed by me", rows[0].color, 1704067200)
+
+
+def test_a_button_brings_the_next_page(spark):
+    queries = spark.createDataFrame([(1, "q", 1, None)], "query_id long, text string, page int, user_id string")
+    head = reply.replies(queries, result_rows(spark, 10, 30), "http://h/w/home")
+    pressed = head.select(F.explode("buttons").alias("b")).select(
+        F.array(F.struct("b.name", "b.value")).alias("actions"), F.col("b.callback").alias("text")
+    )
+    got = pressed.select(reply.new_page_value(F.col("actions")).alias("page"), "text").collect()
+    assert sorted(tuple(r) for r in got) == [(0, "q"), (2, "q")]
 
 
 def test_replies_without_hits_and_failures(spark):
@@ -136,8 +147,8 @@ def test_replies_without_hits_and_failures(spark):
     got = {r.query_id: r for r in reply.replies(queries, result_rows(spark, 1, 1), "http://h/w/home").collect()}
     assert got[2].reply == "Nothing is known about _what is é_"
     assert got[2].new_page == "http://h/w/_new?wiki%5Bbody%5D=what%20is%20%C3%A9"
-    assert all(got[i].reply == reply.FAILURE and got[i].new_page is None for i in (3, 4, 5, 7))
-    assert got[6].reply == "Nothing is known about _x_"
+    assert all(got[i].reply == reply.FAILURE and got[i].new_page is None for i in (3, 4, 5))
+    assert all(got[i].reply == "Nothing is known about _x_" for i in (6, 7))
 
 
 def test_query_values(values):

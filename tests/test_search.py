@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,8 +112,27 @@ def test_a_search_shuffles_only_the_shortlist(index, queries, spark):
         plan = search.search(queries, index)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "Exchange hashpartitioning(query_id" in plan
+    # The best of each shard by group, those of each group by query, and the counts.
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?(?:, (\w+)#)?", plan)
+    assert sorted(moved) == [("query_id", ""), ("query_id", ""), ("query_id", "group")]
+    assert plan.count("WindowGroupLimit") >= 3
+
+
+def test_rows_read_follow_the_terms_asked_for(spark, tmp_path, monkeypatch):
+    """Pushed equalities skip row groups and pages; the list form reads nearly all."""
+    words = spark.range(400_000).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("term"), F.col("id").alias("tf"))
+    path = str(tmp_path / "sorted")
+    words.coalesce(1).write.option("parquet.block.size", 64 << 10).option("parquet.page.size", 8 << 10).option(
+        "parquet.page.row.count.limit", 500).parquet(path)
+    read = []
+    for n in (5, 50, 500):
+        terms = spark.range(n).select(F.lpad((F.col("id") * (400_000 // n)).cast("string"), 8, "0").alias("term"))
+        narrowed = search._having_terms(spark.read.parquet(path), terms)
+        assert narrowed.count() == n
+        plan = narrowed._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        read.append(sum(leaf.metrics().apply("numOutputRows").value() for leaf in [plan.collectLeaves().head()]))
+    assert read[0] < read[1] < 400_000 / 2 and read[0] < 20_000
 
 
 def test_index_opens_again_and_clears(corpus, queries, tmp_path, spark):

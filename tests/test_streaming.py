@@ -1,17 +1,22 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators.joins import broadcast_if_small, scratch, written
+from lorekeep.plans.answer import Answers
 from lorekeep.sources.shared import new_table_path, shared_folder
 from lorekeep.streaming.replies import EVENT_SCHEMA, read_events, start_replies
 
 
 def shout(batch):
-    return batch.select("event_id", F.upper("text").alias("reply"))
+    heads = written(batch.select("event_id", F.upper("text").alias("reply")))
+    return Answers(heads, heads.select("event_id", F.lit(1).alias("rank")))
 
 
 def test_new_messages_are_answered_once(spark, tmp_path):
     folder = lambda name: str(tmp_path / name)
-    message = lambda i, text: (i, "message", "D1", "U1", None, text, None)
+    message = lambda i, text: (i, "message", "D1", "1.0", "U1", None, text, None)
     spark.createDataFrame([message(1, "a"), message(1, "a"), message(2, "b")], EVENT_SCHEMA).coalesce(1).write.mode(
         "append"
     ).parquet(folder("in"))
@@ -19,14 +24,29 @@ def test_new_messages_are_answered_once(spark, tmp_path):
     def run():
         started = start_replies(read_events(spark, folder("in"), 1), shout, folder("out"), folder("state"))
         started.awaitTermination()
-        return sorted((r.event_id, r.reply) for r in spark.read.parquet(folder("out")).collect())
+        assert len(spark.read.parquet(folder("out") + "/rows").collect()) == len(spark.read.parquet(folder("out") + "/heads").collect())
+        return sorted((r.event_id, r.reply) for r in spark.read.parquet(folder("out") + "/heads").collect())
 
     assert run() == [(1, "A"), (2, "B")]
-    spark.createDataFrame([message(3, "c")], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder("in"))
+    spark.createDataFrame([message(3, "c"), message(1, "a")], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder("in"))
     assert run() == [(1, "A"), (2, "B"), (3, "C")]
     assert run() == [(1, "A"), (2, "B"), (3, "C")]
 
 
+def test_scratch_tables_go_with_their_batch(spark):
+    with scratch(spark):
+        rows = written(spark.range(3))
+        place = rows.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+        assert rows.count() == 3 and os.path.isdir(place)
+    assert not os.path.exists(place)
+
+
+def test_few_long_rows_are_not_broadcast(spark):
+    rows = spark.range(40).select(F.repeat(F.lit("x"), 4000).alias("t"))
+    plan = lambda limit: broadcast_if_small(rows, limit)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(1 << 20).lower() and "broadcast" not in plan(100_000).lower()
+
+
 def test_shared_folder_is_the_sessions(spark):
     folder = shared_folder(spark)
     assert new_table_path(spark, "x").startswith(folder + "/lorekeep/x-")

@@ -140,14 +140,20 @@ def build_index(
     return _write(index, _analysed(documents, key, title, content, buckets))
 
 
-def update_index(index: Index, changed: DataFrame, path: str, title: str = "title", content: str = "content") -> Index:
+def update_index(
+    index: Index, changed: DataFrame, path: str, title: str = "title", content: str = "content",
+    removed: DataFrame | None = None,
+) -> Index:
     """A copy of the index at a new ``path`` with new and changed documents in it.
 
     Only ``changed`` is analysed.  The other postings are copied bucket by bucket
     without a shuffle, as long as the changed keys are few enough to be broadcast.
+    Documents whose keys are in ``removed`` are left out.
     """
     added = _analysed(changed, index.key, title, content, index.buckets)
-    replaced = broadcast_if_small(written(changed.select(index.key).distinct()))
+    keys = changed.select(index.key)
+    keys = keys if removed is None else keys.unionByName(removed.select(index.key))
+    replaced = broadcast_if_small(written(keys.distinct()))
     kept = index.postings.join(replaced, index.key, "left_anti").select(*index.postings.columns)
     updated = Index(index.spark, path, _new_table_name(), index.key, index.buckets)
     return _write(updated, kept.unionByName(added.select(*kept.columns)))
@@ -156,7 +162,9 @@ def update_index(index: Index, changed: DataFrame, path: str, title: str = "titl
 def _write(index: Index, postings: DataFrame) -> Index:
     _write_postings(postings, index.table, index.path, index.buckets)
     _write_statistics(index.postings, index.path)
-    meta = json.dumps({"key": index.key, "buckets": index.buckets})
+    # Without postings there is no file that could tell their columns.
+    columns = [[c.name, c.dataType.simpleString()] for c in postings.schema]
+    meta = json.dumps({"key": index.key, "buckets": index.buckets, "columns": columns})
     line = index.spark.range(1).select(F.lit(meta).alias("value")).coalesce(1)
     line.write.mode("overwrite").text(f"{index.path}/meta")
     return index
@@ -166,8 +174,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     """An index that an earlier session wrote."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     index = Index(spark, path, _new_table_name(), meta["key"], meta["buckets"])
-    columns = spark.read.parquet(f"{path}/postings").schema
-    ddl = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in columns)
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in meta["columns"])
     spark.sql(
         f"CREATE TABLE {index.table} ({ddl}) USING parquet "
         f"CLUSTERED BY (shard) SORTED BY (term) INTO {index.buckets} BUCKETS LOCATION '{path}/postings'"

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.urls import document_url
 from lorekeep.operators import access
+from lorekeep.operators.highlight import FRAGMENTS, fragments, highlights
 from lorekeep.operators.joins import broadcast_if_small, written
 from lorekeep.operators.reply import CONFUSED, can_be_run, new_page_value, replies, result_rows, shown_rows
-from lorekeep.operators.search import QUERY, search, search_results
+from lorekeep.operators.search import QUERY, query_terms, search, search_results
 from lorekeep.plans.build import Library
 
 
@@ -37,6 +38,14 @@ def find(queries: DataFrame, library: Library, base: str) -> DataFrame:
     return search_results(page, library.documents, library.index.key, url)
 
 
+def with_highlights(results: DataFrame, queries: DataFrame, library: Library, passages: int | None = FRAGMENTS) -> DataFrame:
+    """Result rows with ``highlight``: the passages of each document that match its query."""
+    key = library.index.key
+    page = written(results.select(QUERY, key))
+    found = fragments(page, query_terms(queries), library.documents, key, passages)
+    return results.join(highlights(page, found, key), [QUERY, key], "left")
+
+
 def find_shared(queries: DataFrame, library: Library, base: str) -> DataFrame:
     """The same, ranking each distinct text once for all who ask for it.
 

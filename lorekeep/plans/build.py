@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators.index import Index, build_index
+from lorekeep.operators.index import Index, build_index, open_index, update_index
 from lorekeep.operators.ingest import (
     assemble_documents,
+    changed_documents,
+    content_hash,
+    document_id,
     filter_hidden,
+    removed_documents,
     resolve_stems,
     scan_documents,
     split_rejects,
 )
+from lorekeep.operators.joins import broadcast_if_small, written
 from lorekeep.operators.metadata import decode_metadata, last_change
 
 
@@ -66,3 +72,104 @@ def build_library(files: DataFrame, commits: DataFrame, path: str, buckets: int
     accepted, _ = documents_of(files, commits)
     documents = write_documents(accepted, f"{path}/documents")
     return Library(build_index(documents, f"{path}/index", "id", buckets=buckets), documents)
+
+
+# ------------------------------------------------------- keeping a library current
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log of published versions; none before the first."""
+    log = f"{path}/versions"
+    place = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema("number bigint, folder string").parquet(log)
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of the version published last; 0 and none before the first."""
+    log = _versions(spark, path)
+    last = log.agg(F.max(F.struct("number", "folder")).alias("last")).first()["last"] if log is not None else None
+    return (last["number"], last["folder"]) if last else (0, None)
+
+
+def open_library(spark: SparkSession, path: str) -> tuple[Library, DataFrame]:
+    """The published library at ``path`` and its manifest (path, hash, id)."""
+    _, folder = current_version(spark, path)
+    if folder is None:
+        raise ValueError(f"no library has been published at {path}")
+    documents = spark.read.parquet(f"{folder}/documents")
+    return Library(open_index(spark, f"{folder}/index"), documents), spark.read.parquet(f"{folder}/manifest")
+
+
+def _hashed(files: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources, and their manifest: a hash of text, markup and metadata.
+
+    Files without complete metadata, text or date are no documents and are not
+    in the manifest; they come in once they have them.
+    """
+    sources = source_files(files).select("path", "text", "html")
+    metadata, _ = file_metadata(commits)
+    parts = [F.unix_micros("updated"), F.col("author_name"), F.col("author_email")]
+    known = metadata.filter(F.col("updated").isNotNull()).select("path", F.sha2(F.to_json(F.array(*[
+        F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256).alias("meta"))
+    texts = sources.filter(F.col("text").isNotNull()).select("path", content_hash(F.col("text"), F.col("html")).alias("body"))
+    manifest = texts.join(known, "path").select(
+        "path", F.sha2(F.concat("body", "meta"), 256).alias("hash"), document_id(F.col("path")).alias("id")
+    )
+    return sources, manifest
+
+
+def update_library(files: DataFrame, commits: DataFrame, path: str, buckets: int | None = None) -> Library:
+    """Bring the library at ``path`` up to date with files and commits, or begin it.
+
+    Hashes are compared with the manifest of the published version.  Only new
+    and changed files are assembled and analysed; what is gone is taken out.
+    All tables are written to a folder of their own, and one last row in the log
+    of versions publishes them together, so a search in between, and a job that
+    fails, sees the version before.  Nothing is published if nothing changed.
+    """
+    spark = files.sparkSession
+    number, folder = current_version(spark, path)
+    sources, manifest = _hashed(files, commits)
+    manifest = written(manifest)
+    if folder is None:
+        previous = spark.createDataFrame([], "path string, hash string, id string")
+    else:
+        library, previous = open_library(spark, path)
+    changed = written(changed_documents(manifest, previous))
+    gone = removed_documents(manifest, previous).select(document_id(F.col("path")).alias("id"))
+    touched = written(changed.select(document_id(F.col("path")).alias("id")).unionByName(gone))
+    if folder is not None and touched.isEmpty():
+        return library
+    metadata, _ = file_metadata(commits)
+    names = broadcast_if_small(changed.select("path"))
+    fresh = written(split_rejects(assemble_documents(sources.join(names, "path", "left_semi"), metadata))[0])
+    folder_now = f"{path}/version-{number + 1}-{uuid.uuid4().hex}"
+    if folder is None:
+        documents = write_documents(fresh, f"{folder_now}/documents")
+        index = build_index(documents, f"{folder_now}/index", "id", buckets=buckets)
+    else:
+        kept = library.documents.join(broadcast_if_small(touched), "id", "left_anti")
+        documents = write_documents(kept.unionByName(fresh), f"{folder_now}/documents")
+        index = update_index(library.index, fresh, f"{folder_now}/index", removed=touched)
+    manifest.write.parquet(f"{folder_now}/manifest")
+    _publish(spark, path, number + 1, folder_now)
+    return Library(index, documents)
+
+
+def _publish(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    row = spark.range(1).select(F.lit(number).cast("bigint").alias("number"), F.lit(folder).alias("folder"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def clear_library(spark: SparkSession, path: str) -> Library:
+    """Publish a version without documents, postings and manifest rows."""
+    library, manifest = open_library(spark, path)
+    number, _ = current_version(spark, path)
+    folder = f"{path}/version-{number + 1}-{uuid.uuid4().hex}"
+    documents = write_documents(library.documents.limit(0), f"{folder}/documents")
+    index = build_index(documents, f"{folder}/index", "id", buckets=library.index.buckets)
+    manifest.limit(0).write.parquet(f"{folder}/manifest")
+    _publish(spark, path, number + 1, folder)
+    return Library(index, documents)

@@ -224,6 +224,29 @@ def _(t):
     return built.fields.join(vocabulary, "field").withColumn("avgdl", F.round("avgdl", 6))
 
 
+@query("incremental_build")
+def _(t):
+    """What a library holds after a first build and two rounds of edits.
+
+    First without Spanish and with German drafts, then with all files and the
+    German ones as they are, then without the files in French.
+    """
+    files, place = files_with_html(t), new_table_path(t.spark, "library")
+    german = F.col("lang") == "de"
+    drafts = files.filter("lang <> 'es'").withColumn("text", F.when(german, F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")))
+    for state in (drafts, files, files.filter("lang <> 'fr'")):
+        kept = build.update_library(state, t["commits"], place)
+    _, manifest = build.open_library(t.spark, place)
+    fields = kept.index.fields.select("field", "n_docs", F.col("n_terms").cast("long").alias("n_terms"), "n_postings")
+    facts = kept.documents.select(
+        F.lit("document").alias("fact"), "id", F.sha1("content").alias("digest"), F.lit(0).cast("long").alias("n")
+    )
+    facts = facts.union(manifest.select(F.lit("manifest"), "id", F.sha1("path"), F.lit(0).cast("long")))
+    for name in ("n_docs", "n_terms", "n_postings"):
+        facts = facts.union(fields.select(F.lit(name), "field", F.lit(""), name))
+    return facts
+
+
 @query("clear_index")
 def _(t):
     built = _fresh_library(t).index
@@ -379,6 +402,13 @@ def _(t):
     return found.select("query_id", "rank", "id", "title", "url", "updated_by", epoch("updated_on"), "score", "total")
 
 
+@query("search_highlights")
+def _(t):
+    queries = t["queries"].withColumn("page", F.lit(0))
+    found = answer.with_highlights(results(t, queries), queries, library(t))
+    return found.select("query_id", "rank", "id", "highlight")
+
+
 @query("search_status")
 def _(t):
     queries = t["odd_queries"]

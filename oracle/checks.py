@@ -361,6 +361,13 @@ CHECKS: dict[str, str] = {
         SELECT field, count(DISTINCT doc_id) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, count(*) AS n_postings,
                round(sum(tf) / CAST(count(DISTINCT doc_id) AS DOUBLE), 6) AS avgdl, count(DISTINCT term) AS n_vocabulary
         FROM {doc_terms} GROUP BY field""", **ONLY_ACCEPTED),
+    "incremental_build": statement("""
+        SELECT 'document' AS fact, id, sha1(content) AS digest, CAST(0 AS BIGINT) AS n FROM {assembled}
+        UNION ALL SELECT 'manifest', id, sha1(file_name), 0 FROM {assembled}
+        UNION ALL SELECT 'n_docs', field, '', count(DISTINCT doc_id) FROM {doc_terms} GROUP BY field
+        UNION ALL SELECT 'n_terms', field, '', CAST(sum(tf) AS BIGINT) FROM {doc_terms} GROUP BY field
+        UNION ALL SELECT 'n_postings', field, '', count(*) FROM {doc_terms} GROUP BY field""",
+        **ONLY_ACCEPTED, wiki_files=f"SELECT * FROM ({VIEWS['wiki_files']}) AS every WHERE lang <> 'fr'"),
     "clear_index": statement("""
         SELECT 'postings' AS table_name, count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM {doc_terms}
         UNION ALL SELECT 'terms', count(*), 0 FROM (SELECT DISTINCT field, term FROM {doc_terms})
@@ -425,6 +432,11 @@ CHECKS: dict[str, str] = {
     "search_results": statement(
         "SELECT query_id, rank, id, title, url, updated_by, updated_on, score, total FROM {found}", **NAMED, **FIRST_PAGE
     ),
+    "search_highlights": statement("""
+        SELECT p.query_id, p.rank, d.id,
+               concat(string_agg(replace(replace(h.passage, '<em>', '*'), '</em>', '*'), chr(10) ORDER BY h.fragment)) || chr(10) AS highlight
+        FROM {first_page} AS p JOIN {assembled} AS d USING (doc_id) LEFT JOIN {passages} AS h USING (query_id, doc_id)
+        GROUP BY p.query_id, p.rank, d.id""", **ASKED),
     "search_status": statement("""
         SELECT query_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'bad_query'
                               WHEN query_id IN (SELECT query_id FROM {scored}) THEN 'ok' ELSE 'empty' END AS status

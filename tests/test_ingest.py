@@ -2,7 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import ingest, metadata
-from lorekeep.plans.build import build_library, documents_of
+from lorekeep.plans.build import (
+    build_library,
+    clear_library,
+    current_version,
+    documents_of,
+    open_library,
+    update_library,
+)
 from lorekeep.sources.files import read_document_files
 
 
@@ -182,3 +189,35 @@ def test_build_from_files_to_index(spark, tmp_path):
         ("title", "a"), ("title", "b"), ("content", "alpha"), ("content", "beta")
     }
     assert library.documents.count() == 1
+
+
+def test_a_library_is_kept_current(spark, tmp_path):
+    place = str(tmp_path / "lib")
+    schema = "path string, text string, html string"
+    commit_schema = "path string, seq long, authored_at string, author_name string, author_email string"
+    commit = lambda path, seq, name="ann": (path, seq, "2024-01-01 00:00:00", name, "a@e")
+
+    def update(texts, commits):
+        files = spark.createDataFrame([(p, t, "<p>") for p, t in texts.items()], schema)
+        changes = spark.createDataFrame(commits, commit_schema)
+        library = update_library(files, changes, place, buckets=2)
+        whole = build_library(files, changes, str(tmp_path / f"whole-{len(numbers)}"), buckets=2)
+        assert sorted(library.documents.collect()) == sorted(whole.documents.collect())
+        assert sorted(library.index.postings.collect()) == sorted(whole.index.postings.collect())
+        assert sorted(library.index.terms.collect()) == sorted(whole.index.terms.collect())
+        opened, manifest = open_library(spark, place)
+        assert sorted(opened.documents.collect()) == sorted(library.documents.collect())
+        assert {r.path for r in manifest.collect()} == {r.file_name for r in library.documents.collect()}
+        numbers.append(current_version(spark, place)[0])
+
+    numbers = []
+    commits = [commit("a.md", 1), commit("b.md", 2), commit("c.org", 3)]
+    update({"a.md": "alpha", "b.md": "beta", "nothing.md": "no commit", "_x.md": "hidden"}, commits)
+    update({"a.md": "alpha", "b.md": "beta", "nothing.md": "no commit"}, commits)
+    update({"a.md": "alpha again", "c.org": "gamma", "nothing.md": "no commit"}, commits)
+    update({"a.md": "alpha again", "c.org": "gamma"}, [*commits, commit("c.org", 9, "bob")])
+    # The second call found nothing to do.
+    assert numbers == [1, 1, 2, 3]
+    cleared = clear_library(spark, place)
+    assert cleared.documents.count() == cleared.index.postings.count() == open_library(spark, place)[1].count() == 0
+    update({"a.md": "alpha"}, commits)

@@ -22,7 +22,7 @@ from lorekeep.llm.components import connected
 from lorekeep.llm.tables import stored
 
 #: Tables, hashes in a bucket, and buckets of a vector in each table beside its own.
-TABLES, HASHES, PROBES = 10, 2, 2
+TABLES, HASHES, PROBES = 8, 4, 3
 #: Rounds of signs and transforms in one rotation.
 ROUNDS = 3
 SEED = 20
@@ -50,6 +50,12 @@ def rotated(unit: np.ndarray, table: int, part: int) -> np.ndarray:
     return x
 
 
+def short(code: np.ndarray) -> np.ndarray:
+    """A 31-bit name of the axes of several hashes."""
+    mixed = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(33)).astype(np.int32)
+
+
 def codes(unit: np.ndarray) -> np.ndarray:
     """Buckets of unit vectors: rows x tables x (1 + probes); a vector's own bucket first."""
     rows = np.arange(len(unit))
@@ -67,13 +73,13 @@ def codes(unit: np.ndarray) -> np.ndarray:
             seconds.append(2 * second + (x[rows, second] < 0))
             losses.append(top - size[rows, second])
         base = 2 * x.shape[1]
-        scale = base ** np.arange(HASHES)
+        scale = [pow(base, k, 1 << 62) for k in range(HASHES)]
         own = sum(a * s for a, s in zip(axes, scale, strict=True))
-        out[:, table, 0] = own
+        out[:, table, 0] = short(own)
         order = np.argsort(np.stack(losses, axis=1), axis=1, kind="stable")
         change = np.stack([(b - a) * s for a, b, s in zip(axes, seconds, scale, strict=True)], axis=1)
         for probe in range(PROBES):
-            out[:, table, 1 + probe] = own + change[rows, order[:, probe % HASHES]]
+            out[:, table, 1 + probe] = short(own + change[rows, order[:, probe % HASHES]])
     return out
 
 
@@ -150,8 +156,10 @@ def near_vectors(
             ),
         )
     )
-    members = coded.withColumn("at", F.explode(places)).withColumn("bucket", F.xxhash64("label", "at"))
-    members = blocked(members.select("bucket", "at", "node", "weight", "embedding", "codes"), "bucket", "node")
+    members = coded.select("node", "label", F.explode(places).alias("at"))
+    members = members.select("node", "at", F.xxhash64("label", "at").alias("bucket"))
+    # Only what shares a bucket fetches its vector.
+    members = blocked(members, "bucket", "node").join(coded.select("node", "weight", "embedding", "codes"), "node")
 
     def verify(table: pa.Table):
         vectors = table.column("embedding").combine_chunks()

@@ -6,7 +6,7 @@ method stays below the size up to which the JVM compiles it (a branch for each
 suffix is an order of magnitude slower for that reason alone).
 
 The rules live in plain tables so that the check SQL can be made from the same
-rows; ``tests/test_porter.py`` holds the tables against an independent
+rows; ``tests/test_analysis.py`` holds the tables against an independent
 implementation and against the published examples.
 """
 

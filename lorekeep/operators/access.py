@@ -70,8 +70,11 @@ def _rule_names(rules: DataFrame, kind: str) -> DataFrame:
 def allowed_channels(rules: DataFrame, channels: DataFrame) -> DataFrame:
     """Ids of listed channels the bot is in; none when everyone is answered.
 
-    A name may belong to several channels, an unknown one to none.
+    A name may belong to several channels, an unknown one to none.  A rule for
+    everyone beside named channels does not open these.
     """
+    if answers_everyone(rules):
+        return channels.limit(0).select("channel_id")
     names = _rule_names(rules, "channel").withColumnRenamed("name", "channel_name")
     return channels.filter("bot_is_member").join(names, "channel_name", "left_semi").select("channel_id").distinct()
 

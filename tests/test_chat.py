@@ -60,8 +60,9 @@ def test_decisions_match_the_plain_rules(spark, chat, rules):
 
 
 def test_everyone_is_not_answered_in_channels(spark, chat):
-    got = access.authorise_messages(messages(spark)[1], rule_list(spark, "*"), *chat, "UBOT")
-    assert {r.channel_id for r in got.collect()} == {"D1"}
+    for rules in (rule_list(spark, "*"), rule_list(spark, "*", "#open")):
+        got = access.authorise_messages(messages(spark)[1], rules, *chat, "UBOT")
+        assert {r.channel_id for r in got.collect()} == {"D1"}
 
 
 def test_requests_do_not_ask_for_the_channel(spark, chat):

@@ -110,6 +110,22 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begins[np.append(0, breaks + 1)].tolist(), ends[np.append(breaks, -1)].tolist(), strict=True))
 
 
+def scanner(documents: DataFrame, benchmark: DataFrame, size: int):
+    """A function for tasks: the words of a text, which are hit, and the windows that occur."""
+    passages = windows_of(benchmark, size)
+    name = hashlib.sha256(repr(passages).encode()).hexdigest()
+    # Bounded by MAX_WINDOW_BYTES.
+    shared = documents.sparkSession.sparkContext.broadcast(passages)
+
+    def scan(text: str | None) -> tuple[list[bytes], np.ndarray, set[int]]:
+        words = normalised(text).split()
+        if not shared.value:
+            return words, np.zeros(len(words), dtype=bool), set()
+        return words, *hit_words(words, automaton(name, shared.value))
+
+    return scan, shared
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """What each document has of the benchmark.
 
@@ -120,24 +136,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
     nothing; items without id are left out; items that share an id are one.
     Rows that repeat an id are rows of their own.  Other columns are not looked at.
     """
-    passages = windows_of(benchmark, size)
-    name = hashlib.sha256(repr(passages).encode()).hexdigest()
-    # Bounded by MAX_WINDOW_BYTES.
-    shared = documents.sparkSession.sparkContext.broadcast(passages)
+    scan, shared = scanner(documents, benchmark, size)
 
     def run(batches):
         for batch in batches:
-            passages = shared.value
-            scan = automaton(name, passages) if passages else None
             rows = []
             for value in batch.column("text"):
                 text = value.as_py()
-                words = normalised(text).split()
-                if scan is None:
-                    rows.append((len(words), 0, [], []))
-                    continue
-                hit, found = hit_words(words, scan)
-                items = sorted({item for i in found for item in passages[i][2]})
+                words, hit, found = scan(text)
+                items = sorted({item for i in found for item in shared.value[i][2]})
                 spans = [{"begin": a, "end": b} for a, b in spans_of(text, hit)] if found else []
                 rows.append((len(words), int(hit.sum()), items, spans))
             columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -164,7 +171,16 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no window of the benchmark occurs."""
-    hit = leaks(documents, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+def without_leaks(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, in which no window of the benchmark occurs.
+
+    Each row is judged by its own text as it is read; nothing is shuffled.
+    """
+    scan, _ = scanner(documents, benchmark, size)
+
+    def run(batches):
+        for batch in batches:
+            clean = [not scan(value.as_py())[2] for value in batch.column("text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

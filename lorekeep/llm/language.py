@@ -31,7 +31,7 @@ FAMILIES = {
     "indo-iranian": ("bn", "fa", "gu", "hi", "mr", "ne", "pa", "ur"),
 }
 #: Hash space of trigrams, and texts of each language that are learned from at most.
-SPACE_BITS, PER_LANGUAGE = 12, 600
+SPACE_BITS, PER_LANGUAGE = 12, 400
 ROUNDS, SHRINK = 30, 1e-4
 UNKNOWN = "und"
 
@@ -91,31 +91,33 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def svm(rows: np.ndarray, sign: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float, float]:
+def svm(rows: np.ndarray, index: np.ndarray, sign: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float, float]:
     """Linear support vector machine: weights, bias, and the slope that makes margins chances.
 
-    Stochastic steps on the hinge loss, each side weighted alike; the average of
-    the later steps is returned.
+    Trained on the rows of ``index``, which are not copied.  Stochastic steps on
+    the hinge loss, each side weighted alike; the average of the later steps is
+    returned.
     """
-    scale = 1 / max(1e-9, float(np.sqrt((rows**2).sum(axis=1).mean()))) if len(rows) else 1.0
-    rows = rows * scale
+    norms = np.array([float(rows[k] @ rows[k]) for k in index])
+    scale = np.float32(1 / max(1e-9, float(np.sqrt(norms.mean())))) if len(index) else np.float32(1)
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())) * len(sign)
     w, bias = np.zeros(rows.shape[1]), 0.0
     total, total_bias, kept, step = np.zeros(rows.shape[1]), 0.0, 0, 0
     order = np.random.default_rng(seed)
     for turn in range(ROUNDS):
-        for i in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 16)):
+        for i in np.array_split(order.permutation(len(index)), max(1, len(index) // 16)):
             step += 1
             rate = 1 / (1 + 0.01 * step)
-            inside = sign[i] * (rows[i] @ w + bias) < 1
+            few = rows[index[i]] * scale
+            inside = sign[i] * (few @ w + bias) < 1
             pull = (sign[i] * weight[i] * inside) / max(1, len(i))
-            w += rate * (pull @ rows[i] - SHRINK * w)
+            w += rate * (pull @ few - SHRINK * w)
             bias += rate * 0.1 * pull.sum()
             if turn >= ROUNDS // 2:
                 total, total_bias, kept = total + w, total_bias + bias, kept + 1
     w, bias = (total / kept, total_bias / kept) if kept else (w, bias)
     # A logistic slope, by the margin that half of the texts reach.
-    margin = np.median(np.abs(rows @ w + bias)) if len(rows) else 1.0
+    margin = np.median([abs(float(rows[k] @ w) * scale + bias) for k in index]) if len(index) else 1.0
     return w * scale, bias, float(3 / max(1e-6, margin))
 
 
@@ -178,14 +180,15 @@ def train(rows: np.ndarray, language: np.ndarray) -> Model:
     languages = sorted(set(language.tolist()))
     families = sorted({family_of(x) for x in languages})
     own = np.array([family_of(x) for x in language.tolist()])
-    machines = [svm(rows, np.where(own == f, 1.0, -1.0)) for f in families]
+    everything = np.arange(len(language))
+    machines = [svm(rows, everything, np.where(own == f, 1.0, -1.0)) for f in families]
     pairs = [
         (a, b) for a, b in itertools.combinations(range(len(languages)), 2)
         if family_of(languages[a]) == family_of(languages[b])
     ]
     for a, b in pairs:
-        chosen = (language == languages[a]) | (language == languages[b])
-        machines.append(svm(rows[chosen], np.where(language[chosen] == languages[a], 1.0, -1.0)))
+        chosen = np.flatnonzero((language == languages[a]) | (language == languages[b]))
+        machines.append(svm(rows, chosen, np.where(language[chosen] == languages[a], 1.0, -1.0)))
     weights = np.stack([m[0] for m in machines], axis=1) if machines else np.empty((1 << SPACE_BITS, 0))
     return Model(
         languages, families, pairs, weights.astype(np.float32),
@@ -216,12 +219,14 @@ def learn(documents: DataFrame) -> Model:
     def profile(batches):
         for batch in batches:
             shares = profiles(batch.column("text"))
-            packed = [x.astype("<f4").tobytes() for x in shares]
+            packed = [x.astype("<f2").tobytes() for x in shares]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "shares"])
 
     got = stored(sample.mapInArrow(profile, "lang string, shares binary"), "language-sample").orderBy("lang", "shares").collect()
-    shares = [np.frombuffer(r["shares"], dtype="<f4") for r in got]
-    return train(np.stack(shares) if shares else np.empty((0, 1 << SPACE_BITS)), np.array([r["lang"] for r in got]))
+    shares = np.empty((len(got), 1 << SPACE_BITS), dtype=np.float32)
+    for i, r in enumerate(got):
+        shares[i] = np.frombuffer(r["shares"], dtype="<f2")
+    return train(shares, np.array([r["lang"] for r in got]))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:

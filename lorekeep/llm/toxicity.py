@@ -131,24 +131,27 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return weights, float(base)
 
 
-def learn(examples: DataFrame, prior: float | None = None) -> Model:
-    """A model from rows of ``text``, ``toxic`` (1 is confirmed) and ``at``.
-
-    Unlabelled text is drawn from all rows, confirmed ones among them, since the
-    class prior is that of all rows.
-    The samples are about POSITIVES and UNLABELLED documents, chosen by ``at`` (a
-    hash between 0 and 1); equal texts count once.  Features are counted and
-    chosen over both samples by Spark; the chosen features of the samples, a few
-    per text, are what the training on the driver gets.  Without a confirmed
-    text the model gives every text the prior.
+def learn(documents: DataFrame, known: DataFrame, prior: float | None = None) -> Model:
+    """A model from the texts of documents; ``known`` says which are toxic (doc_id, toxic 1).
+
+    Unlabelled text is drawn from all documents, confirmed ones among them, since
+    the class prior is that of all.  The samples are about POSITIVES and
+    UNLABELLED documents, chosen by a hash of their id; equal texts count once.
+    Which they are is settled on ids, and only their texts are fetched.  Features
+    are counted and chosen over both samples by Spark; the chosen features of the
+    samples, a few per text, are what the training on the driver gets.  Without a
+    confirmed text the model gives every text the prior.
     """
     prior = DEFAULT_PRIOR if prior is None else prior
     confirmed = F.coalesce(F.col("toxic"), F.lit(0)) == 1
     kinds = F.when(confirmed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = examples.where("text IS NOT NULL").select("text", F.explode(kinds).alias("kind"), "at")
-    totals = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    ids = documents.select("doc_id").join(known, "doc_id", "left")
+    ids = ids.select("doc_id", F.explode(kinds).alias("kind"), fraction(F.col("doc_id")).alias("at"))
+    totals = {r["kind"]: r["count"] for r in ids.groupBy("kind").count().collect()}
     share = F.when(F.col("kind") == 1, POSITIVES / totals.get(1, 1)).otherwise(UNLABELLED / totals.get(0, 1))
-    sample = rows.where(F.col("at") < share).select("kind", "text").dropDuplicates(["kind", "text"])
+    # About POSITIVES + UNLABELLED narrow rows.
+    chosen = F.broadcast(ids.where(F.col("at") < share).select("doc_id", "kind").distinct())
+    sample = documents.where("text IS NOT NULL").join(chosen, "doc_id").select("kind", "text").dropDuplicates(["kind", "text"])
 
     def count(batches):
         for batch in batches:
@@ -230,8 +233,7 @@ def learn_from_labels(documents: DataFrame, labels: DataFrame) -> Model:
     prior = min(0.9, max(0.001, n_toxic / n)) if n and n_toxic and n_toxic < n else DEFAULT_PRIOR
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    examples = texts.join(known, "doc_id", "left").select("text", "toxic", fraction(F.col("doc_id")).alias("at"))
-    return learn(examples, prior)
+    return learn(texts, known.where("toxic = 1"), prior)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -127,7 +127,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         moment[1] += 0.001 * (gradient**2 - moment[1])
         change = RATE * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.999**step)) + 1e-8)
         weights -= change[:-1]
-        base -= change[-1]
+        # A text without any feature is no likelier toxic than texts are at large.
+        base = min(base - change[-1], np.log(prior / (1 - prior)))
     return weights, float(base)
 
 

@@ -4,11 +4,13 @@ Non-negative positive-unlabelled learning: the unlabelled texts hold toxic ones
 too, so their risk as clean text is corrected by the class prior and the
 positive texts' share in it, and is kept from falling below zero, which would
 be over-fitting.  The model is linear over beginnings of words, hashed; those
-are features that positive texts have markedly more often than unlabelled ones.
+are features that positive texts have markedly more often than clean ones, whose
+rate is the unlabelled texts' without the share that the prior says is toxic.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +29,14 @@ SPACE_BITS = 20
 BEGINNINGS = (4, 5, 6, 8)
 #: Sizes of the training samples: confirmed toxic texts and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 16_000
-#: A feature occurs in this share of the positive texts and at least so often,
-#: at this ratio to unlabelled ones, and so many standard deviations beyond chance.
-LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO, LEAST_SURPRISE = 0.03, 3, 4.0, 4.0
+#: A feature occurs in so many positive texts, at this ratio to clean ones, and so
+#: many standard deviations more often than in unlabelled ones.
+LEAST_TEXTS, LEAST_RATIO, LEAST_SURPRISE = 3, 4.0, 4.0
 STEPS, RATE, SHRINK = 600, 0.05, 1e-4
 #: Used where labels do not give the share of toxic texts.
 DEFAULT_PRIOR = 0.1
+#: Base of a model without features at most; a chance of just under a half.
+UNTOLD = -0.01
 
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 _WORD = np.zeros(256, dtype=bool)
@@ -89,14 +93,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums + self.base, -30, 30)))
 
 
-def surprising(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int) -> np.ndarray:
-    """Which features, given in how many texts of each kind they occur, mark positive texts."""
-    expected = unlabelled * (n_positive / max(1, n_unlabelled))
-    return (
-        (positive >= max(LEAST_TEXTS, LEAST_SHARE * n_positive))
-        & (positive >= LEAST_RATIO * expected)
-        & (positive - expected >= LEAST_SURPRISE * np.sqrt(expected + 0.5))
-    )
+def surprising(
+    positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int, n_both: int, prior: float
+) -> np.ndarray:
+    """Which features, given in how many texts of each kind they occur, mark positive texts.
+
+    ``n_both`` texts are in both samples; what these have in common is no chance.
+    """
+    n_positive, n_unlabelled = max(1, n_positive), max(1, n_unlabelled)
+    rate, overall = positive / n_positive, unlabelled / n_unlabelled
+    clean = np.maximum(0, overall - prior * rate) / (1 - prior)
+    # Both rates as draws from one, half a text off in favour of chance.
+    both = np.minimum(1, (positive + unlabelled + 0.5) / (n_positive + n_unlabelled))
+    apart = 1 / n_positive + 1 / n_unlabelled - 2 * n_both / (n_positive * n_unlabelled)
+    spread = np.sqrt(both * (1 - both) * max(0.0, apart))
+    beyond = (positive - 0.5) / n_positive - (unlabelled + 0.5) / n_unlabelled
+    return (positive >= LEAST_TEXTS) & (rate >= LEAST_RATIO * clean) & (beyond > 0) & (beyond >= LEAST_SURPRISE * spread)
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
@@ -141,7 +153,9 @@ def learn(documents: DataFrame, known: DataFrame, prior: float | None = None) ->
     Which they are is settled on ids, and only their texts are fetched.  Features
     are counted and chosen over both samples by Spark; the chosen features of the
     samples, a few per text, are what the training on the driver gets.  Without a
-    confirmed text the model gives every text the prior.
+    feature that tells toxic texts, the model gives every text the prior, but
+    less than a half, so that none is called toxic for want of a sign; there is a
+    warning if there were confirmed texts.
     """
     prior = DEFAULT_PRIOR if prior is None else prior
     confirmed = F.coalesce(F.col("toxic"), F.lit(0)) == 1
@@ -167,18 +181,22 @@ def learn(documents: DataFrame, known: DataFrame, prior: float | None = None) ->
                 )
 
     sample = stored(sample, "toxicity-sample")
-    sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
-    n_positive, n_unlabelled = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = sample.groupBy(F.xxhash64("text").alias("text")).agg(F.max("kind").alias("positive"), (1 - F.min("kind")).alias("unlabelled"))
+    sizes = sizes.groupBy("positive", "unlabelled").count().collect()
+    n_positive, n_unlabelled = (sum(r["count"] for r in sizes if r[k]) for k in ("positive", "unlabelled"))
+    n_both = sum(r["count"] for r in sizes if r["positive"] and r["unlabelled"])
     counts = sample.repartition(F.xxhash64("text")).mapInArrow(count, "feature long, positive long, unlabelled long")
     counts = counts.groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u"))
-    # Bounded by the hash space, and far below it by the first condition.
-    likely = counts.where(F.col("p") >= max(LEAST_TEXTS, LEAST_SHARE * n_positive)).collect()
-    feature = np.array([r["feature"] for r in likely], dtype=np.int64)
-    p, u = (np.array([r[c] for r in likely], dtype=np.float64) for c in ("p", "u"))
-    feature = np.sort(feature[surprising(p, u, n_positive, n_unlabelled)])
+    # Bounded by the hash space; as columns, not rows.
+    likely = counts.where((F.col("p") >= LEAST_TEXTS) & (F.col("p") * n_unlabelled > F.col("u") * n_positive)).toArrow()
+    feature = likely.column("feature").to_numpy()
+    p, u = (likely.column(c).to_numpy().astype(np.float64) for c in ("p", "u"))
+    feature = np.sort(feature[surprising(p, u, n_positive, n_unlabelled, n_both, prior)])
     weights = np.zeros(1 << SPACE_BITS)
     if not len(feature):
-        return Model(weights, float(np.log(prior / (1 - prior))))
+        if n_positive:
+            warnings.warn(f"no feature tells the {n_positive} toxic texts; no text is called toxic", stacklevel=2)
+        return Model(weights, min(float(np.log(prior / (1 - prior))), UNTOLD))
     wanted = np.zeros(1 << SPACE_BITS, dtype=bool)
     wanted[feature] = True
 

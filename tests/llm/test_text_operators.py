@@ -214,6 +214,28 @@ def test_toxicity_of_odd_tables(spark):
     assert {r.predicted for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("share", [0.33, 0.6])
+def test_toxicity_where_many_texts_are_toxic(spark, share):
+    ship(spark)
+    rnd = random.Random(5)
+    signs, words = ["vileness", "loathsome", "wretched", "grubbiest"], [f"w{i}" for i in range(300)]
+    toxic = [int(rnd.random() < share) for _ in range(1500)]
+    rows = [(i, " ".join(rnd.choices(words, k=20) + rnd.sample(signs, 2) * t)) for i, t in enumerate(toxic)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(df, labels).collect()}
+    assert sum(found[i] == t for i, t in enumerate(toxic)) > 0.97 * len(toxic)
+
+
+def test_toxicity_without_a_sign_calls_nothing_toxic(spark):
+    ship(spark)
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 < 6)) for i in range(200)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no feature"):
+        found = toxicity.toxicity(df, labels)
+    assert {r.predicted for r in found.collect()} == {0}
+
+
 # -------------------------------------------------------------------- language
 
 

@@ -31,9 +31,9 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One row of each group of near copies: the one with the smallest id."""
     ship(spark)
-    return simhash_dedup.one_of_each(docs)
+    return simhash_dedup.one_row_of_each(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

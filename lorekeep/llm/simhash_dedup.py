@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.llm.buckets import blocked, compare
 from lorekeep.llm.components import connected
@@ -60,15 +61,19 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(texts: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """Adds ``print``, the fingerprint as a signed 64-bit integer, in place of ``text``."""
 
+    others = texts.drop("text", "print")
+    names = others.columns
+
     def run(batches):
         for batch in batches:
             text = batch.column("text")
             prints = [fingerprint(shingle_hashes(t.as_py(), words, seed)) for t in text]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "print"]
+                [*(batch.column(n) for n in names), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))],
+                [*names, "print"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, print long")
+    return texts.mapInArrow(run, T.StructType([*others.schema, T.StructField("print", T.LongType())]))
 
 
 def chain_keys(prints: np.ndarray) -> np.ndarray:
@@ -127,6 +132,13 @@ def _verify(table: pa.Table):
     return linked
 
 
+def linked_prints(nodes: DataFrame) -> DataFrame:
+    """Links between fingerprints (``node``, ``print``) as rows of ``node`` and ``root``."""
+    members = nodes.mapInArrow(_bucket_rows, "bucket long, node long, print long")
+    members = blocked(members, "bucket", "node").withColumn("weight", F.lit(1).cast("long"))
+    return compare(members, _verify, ["print", "bucket"])
+
+
 def near_texts(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -142,9 +154,7 @@ def near_texts(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     rows = stored(rows, "prints")
     # Equal fingerprints are one node, named by their smallest document.
     nodes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("node")), "print-nodes")
-    members = nodes.where("node IS NOT NULL").mapInArrow(_bucket_rows, "bucket long, node long, print long")
-    members = blocked(members, "bucket", "node").withColumn("weight", F.lit(1).cast("long"))
-    found = compare(members, _verify, ["print", "bucket"])
+    found = linked_prints(nodes.where("node IS NOT NULL"))
     # Two fingerprints may have the same smallest document if an id is repeated.
     groups = connected(found, "node", "root")
     named = nodes.join(groups, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
@@ -161,3 +171,29 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     found = near_texts(documents)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti")
+
+
+def one_row_of_each(documents: DataFrame) -> DataFrame:
+    """The documents without near copies: just one row of each component of fingerprints.
+
+    It is the row with the smallest id, rows without id being last; of rows with
+    the same id that with the smallest digest of its text, and of those the
+    first as the rows are written here.  Rows without id and rows that repeat an
+    id are rows of their own, so a text unlike all others stays whatever its id.
+    """
+    row = "_row"
+    while row in documents.columns:
+        row += "_"
+    # Numbers are only the same on each reading if they are written.
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "copies-rows")
+    place = F.struct(
+        F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"), F.col(row).alias("row"),
+    )
+    rows = stored(fingerprints(numbered.select(place.alias("place"), "text")), "copies-prints")
+    first = stored(rows.groupBy("print").agg(F.min("place").alias("place")), "copies-nodes")
+    groups = connected(linked_prints(first.select(F.col("print").alias("node"), "print")), "node", "root")
+    chosen = first.join(groups, F.col("print") == F.col("node"), "left")
+    chosen = chosen.groupBy(F.coalesce("component", "print").alias("component")).agg(F.min("place").alias("place"))
+    gone = rows.select(F.col("place.row").alias(row)).join(chosen.select(F.col("place.row").alias(row)), row, "left_anti")
+    return numbered.join(gone, row, "left_anti").select(*documents.columns)

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lorekeep.llm import buckets, embedding_dedup, simhash_dedup
 from lorekeep.llm.components import connected
 from lorekeep.llm.ship import ship
@@ -171,3 +172,40 @@ def test_texts_without_id_repeats_and_empty(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 3), (3, 3), (3, 3), (5, 3)]
     assert sorted(str(r.doc_id) for r in simhash_dedup.one_of_each(df).collect()) == ["3", "3", "None", "None"]
     assert simhash_dedup.near_texts(df.where(F.lit(False))).collect() == []
+
+
+def test_one_row_of_each_component(spark):
+    """Repeated rows, rows without id, and an id with two texts."""
+    ship(spark)
+    unlike = "this text is unlike all of the others here"
+    rows = [(3, "a b c d", "x"), (3, "a b c d", "x"), (None, "a b c d", "x"), (5, "a b c d", "x"), (5, unlike, "x"),
+            (None, "other words are here", "x"), (None, "other words are here", "x"), (9, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    for parts in (1, 4):
+        kept = corpus_pipeline.without_near_copies(spark, df.repartition(parts), "")
+        assert kept.columns == df.columns
+        assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(
+            f"Row(doc_id={i}, text={t!r})" for i, t in [(3, "a b c d"), (5, unlike), (None, "other words are here"), (9, None)]
+        )
+    assert simhash_dedup.one_row_of_each(df.where(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_one_row_of_each_near_copy(spark, monkeypatch, block):
+    """Near copies, some of them without id, against brute force."""
+    monkeypatch.setattr(buckets, "BLOCK", block)
+    ship(spark)
+    texts = near_copies(block)
+    ids = [None if i % 3 == 0 else i // 2 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, range(len(texts)))), "doc_id long, text string, n int")
+    prints = [plain_print(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3]
+    least = least_reachable(range(len(texts)), links)
+    groups = {}
+    for i, root in least.items():
+        groups.setdefault(root, []).append(i)
+    kept = sorted(r.n for r in simhash_dedup.one_row_of_each(df.repartition(4)).collect())
+    assert sorted(least[n] for n in kept) == sorted(groups)
+    for n in kept:
+        known = [ids[i] for i in groups[least[n]] if ids[i] is not None]
+        assert ids[n] == (min(known) if known else None)

@@ -24,9 +24,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those with a letter at least."""
+    """Documents whose language can be told: those with a letter at least.
+
+    Where no language could be learned, all texts with a letter stay as well.
+    """
     ship(spark)
-    found = language.predict(docs, language.learn(docs))
+    model = language.learn(docs)
+    if not model.languages:
+        return language.with_letters(docs)
+    found = language.predict(docs, model)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 

@@ -250,6 +250,21 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def with_letters(documents: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter of any script."""
+
+    def run(batches):
+        for batch in batches:
+            lettered = np.zeros(batch.num_rows, dtype=bool)
+            for data, offsets, row in blocks(batch.column("text")):
+                for a, b in part_rows(offsets):
+                    piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    lettered[row + a : row + b] = has_letter(piece, own)
+            yield batch.filter(pa.array(lettered))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def languages(documents: DataFrame) -> DataFrame:
     """Language of every document: ``doc_id``, ``held_out``, ``lang_pred``, ``score``.
 

@@ -266,6 +266,15 @@ def test_language_of_odd_tables(spark):
     assert {r.lang_pred for r in language.languages(df.where("lang = 'fr'")).collect()} == {"fr"}
 
 
+def test_language_stage_keeps_letters_if_nothing_was_learned(spark):
+    ship(spark)
+    rows = [(i, f"the house {i}", None) for i in range(8)] + [(20, None, None), (21, "", None), (22, "12 ?!", None), (23, "日本", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.with_language(spark, df.repartition(2), "")
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {*range(8), 23}
+
+
 # -------------------------------------------------------------------- pipeline
 
 

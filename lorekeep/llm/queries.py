@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import (
+    centroids,
     decontamination,
     embedding_dedup,
     language,
     packing,
+    prefix_trie,
     sharding,
     simhash_dedup,
+    suffix_dedup,
     token_counts,
     token_files,
     tool_calls,
@@ -104,6 +107,18 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.with_digests(*centroids.clusters(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
@@ -117,9 +132,54 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_packing,
         op10_language,
+        op11_prefix_trie,
+        op12_suffix_dedup,
+        op13_centroids,
     )
 }
 
+
+
+def _centroids_check(rounds: int = 3) -> str:
+    """Check SQL of the clustering: a step for each round over a row per vector and component."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""distances{i} AS (
+            SELECT p.r, c.cluster, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS distance
+            FROM parts AS p JOIN centroids{i} AS c ON p.i = c.i GROUP BY p.r, c.cluster
+        ), assigned{i} AS (
+            SELECT r, arg_min(cluster, distance * 1000 + cluster) AS cluster, min(distance) AS distance
+            FROM distances{i} GROUP BY r
+        )""")
+        if i < rounds:
+            steps.append(f"""means{i} AS (
+            SELECT a.cluster, p.i, CAST(sum(p.x) AS BIGINT) AS total, count(*) AS n
+            FROM assigned{i} AS a JOIN parts AS p ON a.r = p.r GROUP BY a.cluster, p.i
+        ), centroids{i + 1} AS (
+            SELECT c.cluster, c.i, CASE WHEN m.n IS NULL THEN c.x ELSE (m.total - ((m.total % m.n) + m.n) % m.n) // m.n END AS x
+            FROM centroids{i} AS c LEFT JOIN means{i} AS m ON c.cluster = m.cluster AND c.i = m.i
+        )""")
+    return f"""
+        WITH kept AS (
+            SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT r, i, CAST(floor(64 * v[i]) AS BIGINT) AS x FROM (SELECT r, v, unnest(range(1, 65)) AS i FROM kept)
+        ), firsts AS (
+            SELECT r, row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), v) - 1 AS cluster FROM kept WHERE vec_id IS NOT NULL
+            QUALIFY cluster < 16
+        ), centroids0 AS (
+            SELECT f.cluster, p.i, p.x FROM firsts AS f JOIN parts AS p ON f.r = p.r
+        ), {", ".join(steps)}, digests AS (
+            SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256
+            FROM centroids{rounds} GROUP BY cluster
+        )
+        SELECT k.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance,
+               CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, d.centroid_sha256
+        FROM assigned{rounds} AS a JOIN kept AS k ON a.r = k.r JOIN digests AS d ON a.cluster = d.cluster"""
+
+
 #: Check SQL of those that a second engine can express.
 CHECKS: dict[str, str] = {
     "op1_embedding_dedup": """
@@ -179,4 +239,86 @@ CHECKS: dict[str, str] = {
         SELECT conv_id, turn, call_id, level, place, errors, linked,
                CAST(strlen(line) AS BIGINT) AS line_bytes, sha256(line) AS line_sha256
         FROM lines""",
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS spot
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), bytes AS (
+            -- CRC-32, bit by bit, of the decimal id.
+            SELECT conv_id, list_transform(range(8 * length(CAST(conv_id AS VARCHAR))), lambda i:
+                       CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(conv_id AS VARCHAR), CAST(i // 8 + 1 AS INTEGER), 1))
+                            ELSE 0 END) AS steps
+            FROM (SELECT DISTINCT conv_id FROM turns)
+        ), taken AS (
+            SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(steps, lambda s: CAST(s AS BIGINT))),
+                       lambda c, s: CASE WHEN xor(c, s) % 2 = 1 THEN xor(xor(c, s) >> 1, 3988292384)
+                                         ELSE xor(c, s) >> 1 END), 4294967295) % 9 AS h
+            FROM bytes
+        ), rebuilt AS (
+            SELECT c.conv_id, t.spot, 0 AS own, t.role, t.text
+            FROM taken AS c JOIN turns AS t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.spot <= c.h
+            UNION ALL
+            SELECT c.conv_id, t.spot, 1, t.role, t.text
+            FROM taken AS c JOIN turns AS t ON t.conv_id = c.conv_id AND t.spot > c.h
+        ), chained AS (
+            SELECT conv_id, row_number() OVER turns AS depth, strlen(text) AS n,
+                   string_agg(md5(concat(strlen(role), ':', role, text)), '') OVER turns AS path
+            FROM rebuilt WINDOW turns AS (PARTITION BY conv_id ORDER BY own, spot ROWS UNBOUNDED PRECEDING)
+        ), members AS (
+            SELECT conv_id, depth, n, md5(path) AS node,
+                   coalesce(md5(lag(path) OVER (PARTITION BY conv_id ORDER BY depth)), 'root') AS parent
+            FROM chained
+            UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM taken
+        ), ends AS (
+            SELECT t.conv_id, arg_max(m.node, m.depth) AS node FROM taken AS t JOIN members AS m ON t.conv_id = m.conv_id
+            GROUP BY t.conv_id
+        ), digests AS (
+            SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM ends GROUP BY node
+        ), nodes AS (
+            SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth,
+                   count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved
+            FROM members GROUP BY node
+        ), children AS (
+            SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+        ), above AS (
+            -- A node and each node on its way to the root.
+            SELECT DISTINCT m.node, a.node AS top
+            FROM members AS m JOIN members AS a ON a.conv_id = m.conv_id AND a.depth <= m.depth
+        ), sums AS (
+            SELECT a.top AS node, CAST(sum(n.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (c.n IS NULL) AS n_leaves
+            FROM above AS a JOIN nodes AS n ON a.node = n.node LEFT JOIN children AS c ON c.node = n.node GROUP BY a.top
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+               s.n_leaves, s.saved_tokens, coalesce(d.digest, sha256('')) AS ends_sha256
+        FROM nodes AS n JOIN sums AS s ON s.node = n.node LEFT JOIN nodes AS p ON p.node = n.parent
+        LEFT JOIN children AS c ON c.node = n.node LEFT JOIN digests AS d ON d.node = n.node""",
+    "op12_suffix_dedup": """
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+        ), starts AS (
+            SELECT r, unnest(range(octet_length(b) - 399)) AS spot FROM texts WHERE octet_length(b) >= 400
+        ), strings AS (
+            SELECT s.r, s.spot, md5(b[s.spot + 1 : s.spot + 400]) AS d FROM starts AS s JOIN texts AS t ON s.r = t.r
+        ), repeated AS (
+            SELECT r, spot FROM strings WHERE d IN (SELECT d FROM strings GROUP BY d HAVING count(*) > 1)
+        ), marked AS (
+            SELECT r, spot, coalesce(spot > lag(spot) OVER (PARTITION BY r ORDER BY spot) + 400, true) AS new FROM repeated
+        ), numbered AS (
+            SELECT r, spot, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY spot) AS run FROM marked
+        ), runs AS (
+            SELECT r, min(spot) AS low, max(spot) + 400 AS high FROM numbered GROUP BY r, run
+        ), sides AS (
+            SELECT r, high AS low, lead(low) OVER (PARTITION BY r ORDER BY low) AS high FROM runs
+            UNION ALL SELECT r, 0, min(low) FROM runs GROUP BY r
+        ), parts AS (
+            SELECT s.r, unhex(string_agg(hex(b[s.low + 1 : coalesce(s.high, octet_length(b))]), '' ORDER BY s.low)) AS kept
+            FROM sides AS s JOIN texts AS t ON s.r = t.r GROUP BY s.r
+        ), sums AS (
+            SELECT r, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+        )
+        SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(coalesce(kept, b)) AS kept_sha256
+        FROM texts AS t LEFT JOIN sums AS s ON t.r = s.r LEFT JOIN parts AS p ON t.r = p.r""",
+    "op13_centroids": _centroids_check(),
 }

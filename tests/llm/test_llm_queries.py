@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", CHECKS)
 def test_check(spark, name):
     other = duckdb.connect()
-    for table in ("embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations"):
         other.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     result = other.execute(CHECKS[name])

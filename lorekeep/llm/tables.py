@@ -18,6 +18,14 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with as many underscores after it as it takes to differ from all taken ones."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; none for a null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -23,11 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled together; a longer text is a block of its own.
-BLOCK_BYTES = 12_000_000
-#: Distinct pieces kept from block to block in a worker.
-CACHED_PIECES = 600_000
+BLOCK_BYTES = 2_000_000
+#: Bytes of distinct pieces, and their number, kept from block to block in a worker.
+CACHED_BYTES, CACHED_PIECES = 4_000_000, 120_000
 #: Longer pieces are not kept.
-CACHED_BYTES = 64
+CACHED_LENGTH = 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -129,11 +129,16 @@ def encode_pieces(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarra
 
 
 class PieceStore:
-    """Values of pieces (a short array each), computed once per distinct piece."""
+    """Values of pieces (a short array each), computed once per distinct piece.
+
+    Only short pieces are kept, with their values and with nothing else, and
+    only up to a number and size of them, whatever a worker reads in its life.
+    """
 
     def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.compute = compute
         self.slots: dict[bytes, int] = {}
+        self.kept_bytes = 0
         self.flat = np.empty(0, dtype=np.uint32)
         self.lengths = np.empty(0, dtype=np.int64)
 
@@ -146,11 +151,21 @@ class PieceStore:
             more, counts = self.compute([pieces[i] for i in missing])
             rows[missing] = len(lengths) + np.arange(len(missing))
             flat, lengths = np.concatenate((flat, more)), np.concatenate((lengths, counts))
-            if len(self.slots) < CACHED_PIECES:
-                self.slots.update((pieces[i], int(rows[i])) for i in missing if len(pieces[i]) <= CACHED_BYTES)
-                self.flat, self.lengths = flat, lengths
+            self.keep([pieces[i] for i in missing], more, counts)
         return flat, lengths, rows
 
+    def keep(self, pieces: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Add short pieces and their values while there is room."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        short = np.flatnonzero(sizes <= CACHED_LENGTH)[: max(0, CACHED_PIECES - len(self.slots))]
+        short = short[self.kept_bytes + np.cumsum(sizes[short] + 4 * lengths[short]) <= CACHED_BYTES]
+        if len(short):
+            self.kept_bytes += int((sizes[short] + 4 * lengths[short]).sum())
+            self.slots.update(zip([pieces[i] for i in short], range(len(self.slots), len(self.slots) + len(short)), strict=True))
+            index, _ = ragged_take(np.cumsum(lengths) - lengths, lengths, short)
+            self.flat = np.concatenate((self.flat, flat[index]))
+            self.lengths = np.concatenate((self.lengths, lengths[short]))
+
 
 @functools.cache
 def id_store(path: str) -> PieceStore:

@@ -3,9 +3,11 @@
 Non-negative positive-unlabelled learning: the unlabelled texts hold toxic ones
 too, so their risk as clean text is corrected by the class prior and the
 positive texts' share in it, and is kept from falling below zero, which would
-be over-fitting.  The model is linear over beginnings of words, hashed; those
-are features that positive texts have markedly more often than clean ones, whose
-rate is the unlabelled texts' without the share that the prior says is toxic.
+be over-fitting.  The model is linear over beginnings of words and, of words longer
+than these, over pieces of what follows, hashed, so that compounds, endings and
+texts without spaces are read to their end.  Those are features that positive
+texts have markedly more often than clean ones, whose rate is the unlabelled
+texts' without the share that the prior says is toxic.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from lorekeep.llm.tables import fraction, stored
 from lorekeep.llm.tokens import blocks
 
 #: Hash space of features, and lengths in bytes of the beginnings of words; one
-#: more than a word's length stands for the whole word.
-SPACE_BITS = 20
-BEGINNINGS = (4, 5, 6, 8)
+#: more than a word's length stands for the whole word.  Of longer words, pieces of
+#: so many bytes from each later character on.
+SPACE_BITS = 22
+BEGINNINGS, PIECE = (4, 5, 6, 8), 6
 #: Sizes of the training samples: confirmed toxic texts and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 16_000
 #: A feature occurs in so many positive texts, at this ratio to clean ones, and so
@@ -44,7 +47,7 @@ _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of beginning: the text of each word of a block, and its hashed feature."""
+    """For each kind of beginning, and for pieces of long words: the text of each, and its hashed feature."""
     low = np.where(_WORD[data], _LOWER[data], 0).astype(np.uint8)
     begins = low != 0
     begins[1:] &= low[:-1] == 0
@@ -60,8 +63,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         open_ &= byte != 0
         value |= np.where(open_, byte, 0).astype(np.uint64) << np.uint64(8 * k)
         if k + 1 in BEGINNINGS:
-            salt = np.uint64(0x9E3779B97F4A7C15 + 2 * (k + 1))
-            yield owner, ((value * salt) >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
+            yield owner, hashed(value, k + 1)
+    gaps = np.append(np.flatnonzero(low == 0), len(low))
+    last = np.minimum(gaps[np.searchsorted(gaps, at)], end)
+    long = np.flatnonzero(last - at > max(BEGINNINGS))
+    n = last[long] - at[long] - PIECE
+    places = np.repeat(at[long] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    whole = (data[places] & 0xC0) != 0x80
+    places, owner = places[whole], np.repeat(owner[long], n)[whole]
+    value = np.zeros(len(places), dtype=np.uint64)
+    for k in range(PIECE):
+        value |= low[places + k].astype(np.uint64) << np.uint64(8 * k)
+    yield owner, hashed(value, 0)
+
+
+def hashed(value: np.ndarray, kind: int) -> np.ndarray:
+    return ((value * np.uint64(0x9E3779B97F4A7C15 + 2 * kind)) >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
 
 
 def distinct_features(texts: pa.Array, wanted: np.ndarray | None = None) -> list[np.ndarray]:
@@ -82,17 +99,25 @@ def distinct_features(texts: pa.Array, wanted: np.ndarray | None = None) -> list
 
 @dataclass
 class Model:
-    """Weights of the hashed features, and the base."""
+    """The chosen features in order, their weights, and the base."""
 
+    features: np.ndarray
     weights: np.ndarray
     base: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        wanted = self.weights != 0
-        sums = np.array([self.weights[x].sum() for x in distinct_features(texts, wanted)], dtype=np.float64)
+        wanted = mask_of(self.features)
+        found = distinct_features(texts, wanted)
+        sums = np.array([self.weights[np.searchsorted(self.features, x)].sum() for x in found], dtype=np.float64)
         return 1 / (1 + np.exp(-np.clip(sums + self.base, -30, 30)))
 
 
+def mask_of(features: np.ndarray) -> np.ndarray:
+    mask = np.zeros(1 << SPACE_BITS, dtype=bool)
+    mask[features] = True
+    return mask
+
+
 def surprising(
     positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int, n_both: int, prior: float
 ) -> np.ndarray:
@@ -192,15 +217,13 @@ def learn(documents: DataFrame, known: DataFrame, prior: float | None = None) ->
     feature = likely.column("feature").to_numpy()
     p, u = (likely.column(c).to_numpy().astype(np.float64) for c in ("p", "u"))
     feature = np.sort(feature[surprising(p, u, n_positive, n_unlabelled, n_both, prior)])
-    weights = np.zeros(1 << SPACE_BITS)
     if not len(feature):
         if n_positive:
             warnings.warn(f"no feature tells the {n_positive} toxic texts; no text is called toxic", stacklevel=2)
-        return Model(weights, min(float(np.log(prior / (1 - prior))), UNTOLD))
-    wanted = np.zeros(1 << SPACE_BITS, dtype=bool)
-    wanted[feature] = True
+        return Model(feature, np.zeros(0), min(float(np.log(prior / (1 - prior))), UNTOLD))
 
     def look_up(batches):
+        wanted = mask_of(feature)
         for batch in batches:
             found = distinct_features(batch.column("text"), wanted)
             yield pa.RecordBatch.from_arrays(
@@ -210,24 +233,25 @@ def learn(documents: DataFrame, known: DataFrame, prior: float | None = None) ->
     got = sample.mapInArrow(look_up, "kind int, found array<long>").collect()
     texts = [[np.searchsorted(feature, r["found"]) for r in got if r["kind"] == k] for k in (1, 0)]
     found, base = train(*texts, prior)
-    weights[feature[: len(found)]] = found
-    return Model(weights, base)
+    # Features that no sampled text has are not trained.
+    chosen = np.flatnonzero(found)
+    return Model(feature[chosen], found[chosen], base)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` and ``predicted`` to the columns of the documents.
+def score(documents: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds ``score`` and ``predicted``, or columns of other names, to the columns of the documents.
 
     Every whole text is scored; a null or empty one has the score of a text
     without features.  Columns of the same names are replaced.
     """
-    # A table of fixed size.
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.drop("score", "predicted")
-    schema = T.StructType([*rows.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    rows = documents.drop(*names)
+    added = [T.StructField(n, kind) for n, kind in zip(names, (T.DoubleType(), T.IntegerType()), strict=True)]
+    schema = T.StructType([*rows.schema, *added])
 
     def run(batches):
+        # The model is a few numbers per chosen feature.
         for batch in batches:
-            scores = shared.value.scores(batch.column("text"))
+            scores = model.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=schema.names
             )
@@ -258,7 +282,8 @@ def learn_from_labels(documents: DataFrame, labels: DataFrame) -> Model:
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of every document: ``doc_id``, ``held_out``, ``score``, ``predicted``.
 
-    Rows that repeat an id, or have none, are scored like any other.
+    Rows that repeat an id, or have none, are scored like any other.  Other
+    columns, whatever their names, are not looked at.
     """
     model = learn_from_labels(documents, labels)
     rows = score(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.llm.tables import fraction, stored
-from lorekeep.llm.tokens import blocks
+from lorekeep.llm.tokens import blocks, ragged_take
 
 #: Families of languages by code; a language that is in none is its own family.
 FAMILIES = {
@@ -31,7 +31,12 @@ FAMILIES = {
     "indo-iranian": ("bn", "fa", "gu", "hi", "mr", "ne", "pa", "ur"),
 }
 #: Hash space of trigrams, and texts of each language that are learned from at most.
-SPACE_BITS, PER_LANGUAGE = 12, 400
+SPACE_BITS, PER_LANGUAGE = 12, 600
+#: Languages that are learned, and texts of all of them together, at most; a longer
+#: name than LONGEST_NAME bytes is no language.
+MOST_LANGUAGES, MOST_TEXTS, LONGEST_NAME = 100, 12_000, 64
+#: Bytes of text, and texts, whose trigrams are counted together.
+STRETCH, TOGETHER = 1_000_000, 256
 ROUNDS, SHRINK = 30, 1e-4
 UNKNOWN = "und"
 
@@ -71,18 +76,71 @@ def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def profiles(texts: pa.Array) -> np.ndarray:
-    """Share of each trigram in each text."""
-    out = np.zeros((len(texts), 1 << SPACE_BITS), dtype=np.float32)
-    for data, offsets, row in blocks(texts):
+def counted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each text of a block has each trigram: texts x trigrams.
+
+    Texts of more than STRETCH bytes are counted stretch by stretch.
+    """
+    out = np.zeros((len(offsets) - 1, 1 << SPACE_BITS), dtype=np.float32)
+    if len(data) <= STRETCH:
         code, counts = trigrams(data, offsets)
-        for i, (a, b) in enumerate(itertools.pairwise(offsets.tolist())):
-            chosen = code[a:b][counts[a:b]]
-            if len(chosen):
-                out[row + i] = np.bincount(chosen, minlength=1 << SPACE_BITS) / len(chosen)
+        owner = np.repeat(np.arange(len(out)), np.diff(offsets))
+        both = (owner[counts] << SPACE_BITS) | code[counts]
+        out += np.bincount(both, minlength=out.size).reshape(out.shape)
+        return out
+    for i, (a, b) in enumerate(itertools.pairwise(offsets.tolist())):
+        for at in range(a, b, STRETCH):
+            end = min(b, at + STRETCH)
+            piece = data[at : min(b, end + 2)]
+            code, counts = trigrams(piece, np.array([0, len(piece)]))
+            chosen = code[: end - at][counts[: end - at]]
+            out[i] += np.bincount(chosen, minlength=1 << SPACE_BITS)
+    return out
+
+
+def counts_of(texts: pa.Array):
+    """Runs of a few texts, with the trigram counts of each and whether it has a letter."""
+    for data, offsets, row in blocks(texts):
+        for a, b in part_rows(offsets):
+            piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            yield row + a, counted(piece, own), has_letter(piece, own)
+
+
+def packed_profiles(texts: pa.Array) -> list[tuple[bytes, bytes]]:
+    """Of each text the trigrams that it has, and their shares."""
+    out = []
+    for _, counts, _ in counts_of(texts):
+        for row in counts:
+            codes = np.flatnonzero(row)
+            out.append((codes.astype("<u2").tobytes(), (row[codes] / max(1, row.sum())).astype("<f4").tobytes()))
     return out
 
 
+@dataclass
+class Rows:
+    """Sparse rows: the trigrams of each text, one after the other, and their shares."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    codes: np.ndarray
+    shares: np.ndarray
+
+    @staticmethod
+    def of(packed: list[tuple[bytes, bytes]]) -> Rows:
+        lengths = np.array([len(c) // 2 for c, _ in packed], dtype=np.int64)
+        codes = np.frombuffer(b"".join(c for c, _ in packed), dtype="<u2").astype(np.int64)
+        return Rows(np.cumsum(lengths) - lengths, lengths, codes, np.frombuffer(b"".join(s for _, s in packed), dtype="<f4"))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the rows each entry belongs to, its trigram and its share."""
+        index, _ = ragged_take(self.starts, self.lengths, rows)
+        return np.repeat(np.arange(len(rows)), self.lengths[rows]), self.codes[index], self.shares[index]
+
+    def products(self, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+        owner, codes, shares = self.take(rows)
+        return np.bincount(owner, weights=shares * w[codes], minlength=len(rows))
+
+
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text of a block has a letter of any script."""
     found = sums_by_text(_ASCII_LETTER[data], offsets) > 0
@@ -91,33 +149,35 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def svm(rows: np.ndarray, index: np.ndarray, sign: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float, float]:
+def svm(rows: Rows, index: np.ndarray, sign: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float, float]:
     """Linear support vector machine: weights, bias, and the slope that makes margins chances.
 
-    Trained on the rows of ``index``, which are not copied.  Stochastic steps on
-    the hinge loss, each side weighted alike; the average of the later steps is
-    returned.
+    Trained on the rows of ``index``.  Stochastic steps on the hinge loss, each
+    side weighted alike; the average of the later steps is returned.
     """
-    norms = np.array([float(rows[k] @ rows[k]) for k in index])
-    scale = np.float32(1 / max(1e-9, float(np.sqrt(norms.mean())))) if len(index) else np.float32(1)
+    size = 1 << SPACE_BITS
+    owner, _, shares = rows.take(index)
+    norms = np.bincount(owner, weights=shares.astype(np.float64) ** 2, minlength=max(1, len(index)))
+    scale = 1 / max(1e-9, float(np.sqrt(norms.mean()))) if len(index) else 1.0
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())) * len(sign)
-    w, bias = np.zeros(rows.shape[1]), 0.0
-    total, total_bias, kept, step = np.zeros(rows.shape[1]), 0.0, 0, 0
+    w, bias = np.zeros(size), 0.0
+    total, total_bias, kept, step = np.zeros(size), 0.0, 0, 0
     order = np.random.default_rng(seed)
     for turn in range(ROUNDS):
         for i in np.array_split(order.permutation(len(index)), max(1, len(index) // 16)):
             step += 1
             rate = 1 / (1 + 0.01 * step)
-            few = rows[index[i]] * scale
-            inside = sign[i] * (few @ w + bias) < 1
-            pull = (sign[i] * weight[i] * inside) / max(1, len(i))
-            w += rate * (pull @ few - SHRINK * w)
+            owner, codes, shares = rows.take(index[i])
+            shares = shares * scale
+            margin = np.bincount(owner, weights=shares * w[codes], minlength=len(i)) + bias
+            pull = sign[i] * weight[i] * (sign[i] * margin < 1) / max(1, len(i))
+            w += rate * (np.bincount(codes, weights=pull[owner] * shares, minlength=size) - SHRINK * w)
             bias += rate * 0.1 * pull.sum()
             if turn >= ROUNDS // 2:
                 total, total_bias, kept = total + w, total_bias + bias, kept + 1
     w, bias = (total / kept, total_bias / kept) if kept else (w, bias)
     # A logistic slope, by the margin that half of the texts reach.
-    margin = np.median([abs(float(rows[k] @ w) * scale + bias) for k in index]) if len(index) else 1.0
+    margin = np.median(np.abs(rows.products(index, w) * scale + bias)) if len(index) else 1.0
     return w * scale, bias, float(3 / max(1e-6, margin))
 
 
@@ -137,16 +197,11 @@ class Model:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        for data, offsets, row in blocks(texts):
-            for a, b in part_rows(offsets):
-                piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                lettered = has_letter(piece, own)
-                code, counts = trigrams(piece, own)
-                sums = sums_by_text(self.weights[code] * counts[:, None], own)
-                n = np.maximum(1, sums_by_text(counts, own))
-                chance = 1 / (1 + np.exp(-np.clip((sums / n[:, None] + self.bias) * self.slope, -30, 30)))
-                for i in np.flatnonzero(lettered):
-                    names[row + a + i], scores[row + a + i] = self.decide(chance[i])
+        for row, counts, lettered in counts_of(texts):
+            sums = counts.astype(np.float64) @ self.weights / np.maximum(1, counts.sum(axis=1, keepdims=True, dtype=np.float64))
+            chance = 1 / (1 + np.exp(-np.clip((sums + self.bias) * self.slope, -30, 30)))
+            for i in np.flatnonzero(lettered):
+                names[row + i], scores[row + i] = self.decide(chance[i])
         return names, scores
 
     def decide(self, chance: np.ndarray) -> tuple[str, float]:
@@ -166,16 +221,17 @@ class Model:
         return self.languages[best], score * votes[best] / (len(members) - 1)
 
 
-def part_rows(offsets: np.ndarray, size: int = 1_000_000):
-    """Runs of texts of about so many bytes."""
+def part_rows(offsets: np.ndarray):
+    """Runs of texts of at most STRETCH bytes, a longer text alone, and of at most TOGETHER texts."""
     a = 0
     while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STRETCH, "right")) - 1)
+        b = min(b, a + TOGETHER)
         yield a, b
         a = b
 
 
-def train(rows: np.ndarray, language: np.ndarray) -> Model:
+def train(rows: Rows, language: np.ndarray) -> Model:
     """A model from trigram shares and the texts' languages."""
     languages = sorted(set(language.tolist()))
     families = sorted({family_of(x) for x in languages})
@@ -192,7 +248,7 @@ def train(rows: np.ndarray, language: np.ndarray) -> Model:
     weights = np.stack([m[0] for m in machines], axis=1) if machines else np.empty((1 << SPACE_BITS, 0))
     return Model(
         languages, families, pairs, weights.astype(np.float32),
-        np.array([m[1] for m in machines]), np.array([m[2] for m in machines]),
+        np.array([m[1] for m in machines], dtype=np.float64), np.array([m[2] for m in machines], dtype=np.float64),
     )
 
 
@@ -204,47 +260,50 @@ def held_out(doc_id: Column) -> Column:
 def learn(documents: DataFrame) -> Model:
     """A model from the texts with a language outside the held-out rows.
 
-    Of each language about PER_LANGUAGE documents, chosen by a hash of their id,
-    are learned from, each whole; equal texts count once.
+    The MOST_LANGUAGES names that most rows have are languages (of equally
+    frequent ones the first in order); rows with another name are not learned
+    from.  Of each language about PER_LANGUAGE documents, or an equal share of
+    MOST_TEXTS if that is less, chosen by a hash of their id, are learned from,
+    each whole; equal texts count once.
     """
     rows = documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select(
+    rows = rows.where("text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"), fraction(F.col("doc_id")).alias("at"), "text"
-    )
-    # A row per language.
-    shares = rows.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("share"))
+    ).where((F.col("lang") != UNKNOWN) & (F.octet_length("lang") <= LONGEST_NAME))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    each = min(PER_LANGUAGE, MOST_TEXTS // max(1, len(sizes)))
+    # A row per language, MOST_LANGUAGES at most.
+    shares = documents.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in sizes], "lang string, share double")
     sample = rows.join(F.broadcast(shares), "lang").where("at < share").select("lang", "text")
     sample = sample.dropDuplicates(["lang", "text"])
 
     def profile(batches):
         for batch in batches:
-            shares = profiles(batch.column("text"))
-            packed = [x.astype("<f2").tobytes() for x in shares]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "shares"])
+            packed = packed_profiles(batch.column("text"))
+            columns = [pa.array(c, pa.binary()) for c in (list(zip(*packed, strict=True)) or [(), ()])]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *columns], ["lang", "codes", "shares"])
 
-    got = stored(sample.mapInArrow(profile, "lang string, shares binary"), "language-sample").orderBy("lang", "shares").collect()
-    shares = np.empty((len(got), 1 << SPACE_BITS), dtype=np.float32)
-    for i, r in enumerate(got):
-        shares[i] = np.frombuffer(r["shares"], dtype="<f2")
-    return train(shares, np.array([r["lang"] for r in got]))
+    got = stored(sample.mapInArrow(profile, "lang string, codes binary, shares binary"), "language-sample")
+    got = got.orderBy("lang", "codes", "shares").collect()
+    return train(Rows.of([(r["codes"], r["shares"]) for r in got]), np.array([r["lang"] for r in got]))
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the columns of the documents.
+def predict(documents: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds ``lang_pred`` and ``score``, or columns of other names, to the columns of the documents.
 
     ``und`` with score 0 where the text is null or has no letter, or where
     nothing was learned.  Columns of the same names are replaced.
     """
-    # A table of fixed size for each pair of languages.
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.drop("lang_pred", "score")
-    schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = documents.drop(*names)
+    added = [T.StructField(n, kind) for n, kind in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
+    schema = T.StructType([*rows.schema, *added])
 
     def run(batches):
+        # The model is a few numbers per trigram for each machine.
         for batch in batches:
-            names, scores = shared.value.predict(batch.column("text"))
+            found, scores = model.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores)], names=schema.names
             )
 
     return rows.mapInArrow(run, schema)
@@ -269,7 +328,8 @@ def languages(documents: DataFrame) -> DataFrame:
     """Language of every document: ``doc_id``, ``held_out``, ``lang_pred``, ``score``.
 
     Learned from the rows that are not held out.  Rows that repeat an id, or
-    have none, are predicted like any other.
+    have none, are predicted like any other.  Other columns, whatever their
+    names, are not looked at.
     """
     rows = predict(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(documents))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

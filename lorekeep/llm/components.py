@@ -14,6 +14,13 @@ def _fewest(links: DataFrame, key: str, other: str, name: str) -> DataFrame:
     return stored(links.groupBy(key).agg(F.min(other).alias("least")), name)
 
 
+def same_id_links(rows: DataFrame, id_col: str, node: str) -> DataFrame:
+    """Links (``node``, ``root``) between the nodes that rows with one id belong to."""
+    pairs = rows.where(F.col(id_col).isNotNull()).groupBy(id_col, node).agg(F.lit(1).alias("one"))
+    several = pairs.groupBy(id_col).agg(F.min(node).alias("root"), F.count("*").alias("n")).where("n > 1")
+    return pairs.join(several, id_col).select(F.col(node).alias("node"), "root")
+
+
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """Component (its smallest node) of every node that has a link to another.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.llm.buckets import blocked, compare
-from lorekeep.llm.components import connected
+from lorekeep.llm.components import connected, same_id_links
 from lorekeep.llm.tables import stored
 
 BITS, SEGMENTS = 64, 4
@@ -145,34 +145,27 @@ def near_texts(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> Da
     Returns a row per row: ``doc_id``, ``fingerprint`` (16 lower-case hex
     digits) and ``component_id``, the smallest doc_id that links of at most 3
     differing bits lead to, its own included.  Null texts and texts without
-    words have fingerprint zero and are linked like any other.  Rows that
-    repeat an id are the same node; a row without id gets its fingerprint, joins
-    the component of that fingerprint where a row with an id has it, and else
-    has a null component.  Other columns are not looked at.
+    words have fingerprint zero and are linked like any other.  Links join
+    fingerprints, also those that only rows without id have; rows that repeat an
+    id are one node, so their fingerprints are of one component.  A component
+    without any id is null.  Other columns are not looked at.
     """
     rows = fingerprints(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, seed)
     rows = stored(rows, "prints")
-    # Equal fingerprints are one node, named by their smallest document.
-    nodes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("node")), "print-nodes")
-    found = linked_prints(nodes.where("node IS NOT NULL"))
-    # Two fingerprints may have the same smallest document if an id is repeated.
-    groups = connected(found, "node", "root")
-    named = nodes.join(groups, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    # Equal fingerprints are one node, named by the fingerprint itself.
+    nodes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "print-nodes")
+    links = linked_prints(nodes.select(F.col("print").alias("node"), "print")).select("node", "root")
+    groups = connected(links.unionByName(same_id_links(rows, "doc_id", "print")), "node", "root")
+    named = nodes.join(groups.withColumnRenamed("node", "print"), "print", "left").select(
+        "print", "least", F.coalesce("component", "print").alias("component")
+    )
     named = stored(named, "print-components")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stored(named.join(least, "component").select("print", "component_id"), "print-least")
     hexed = F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint")
     return rows.join(named, "print").select("doc_id", hexed, "component_id")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the one with its id.
-
-    Rows without id are kept; of rows that repeat an id with one text, all or none are kept.
-    """
-    found = near_texts(documents)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
-
-
 def one_row_of_each(documents: DataFrame) -> DataFrame:
     """The documents without near copies: just one row of each component of fingerprints.
 

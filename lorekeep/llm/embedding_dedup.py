@@ -12,38 +12,47 @@ counted once and no pair is ever written out.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.buckets import blocked, compare
-from lorekeep.llm.components import connected
+from lorekeep.llm.components import connected, same_id_links
 from lorekeep.llm.tables import stored
 
 #: Tables, hashes in a bucket, and buckets of a vector in each table beside its own.
-TABLES, HASHES, PROBES = 8, 4, 3
+#: A pair at the threshold shares no bucket with a chance of well below 1e-6, at 64
+#: and at 768 dimensions (see the tests for the measured chance in one table).
+TABLES, HASHES, PROBES = 12, 3, 3
 #: Rounds of signs and transforms in one rotation.
 ROUNDS = 3
 SEED = 20
+#: Vectors hashed together.
+TOGETHER = 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the last axis, whose length is a power of two."""
     n, h = x.shape[-1], 1
+    x, out = x.copy(), np.empty_like(x)
     while h < n:
-        pairs = x.reshape(*x.shape[:-1], n // (2 * h), 2, h)
-        x = np.stack((pairs[..., 0, :] + pairs[..., 1, :], pairs[..., 0, :] - pairs[..., 1, :]), axis=-2)
-        x = x.reshape(*x.shape[:-3], n)
+        pairs, made = (y.reshape(*x.shape[:-1], n // (2 * h), 2, h) for y in (x, out))
+        np.add(pairs[..., 0, :], pairs[..., 1, :], out=made[..., 0, :])
+        np.subtract(pairs[..., 0, :], pairs[..., 1, :], out=made[..., 1, :])
+        x, out = out, x
         h *= 2
-    return x / np.sqrt(n)
+    x *= x.dtype.type(1 / np.sqrt(n))
+    return x
 
 
 def rotated(unit: np.ndarray, table: int, part: int) -> np.ndarray:
     """The vectors, padded to a power of two, after one of the fast rotations."""
     n = 1 << max(1, (unit.shape[1] - 1).bit_length())
-    signs = np.random.default_rng((SEED, table, part, n)).choice([-1.0, 1.0], (ROUNDS, n))
-    x = np.zeros((len(unit), n))
+    signs = np.random.default_rng((SEED, table, part, n)).choice([-1.0, 1.0], (ROUNDS, n)).astype(unit.dtype)
+    x = np.zeros((len(unit), n), dtype=unit.dtype)
     x[:, : unit.shape[1]] = unit
     for sign in signs:
         x = hadamard(x * sign)
@@ -58,6 +67,8 @@ def short(code: np.ndarray) -> np.ndarray:
 
 def codes(unit: np.ndarray) -> np.ndarray:
     """Buckets of unit vectors: rows x tables x (1 + probes); a vector's own bucket first."""
+    # Half the width is enough to choose a bucket; equal vectors still get equal ones.
+    unit = unit.astype(np.float32)
     rows = np.arange(len(unit))
     out = np.empty((len(unit), TABLES, 1 + PROBES), dtype=np.int32)
     for table in range(TABLES):
@@ -98,7 +109,9 @@ def by_length(vectors: pa.Array) -> list[np.ndarray]:
 
 
 def add_codes(batches):
-    for batch in batches:
+    for batch in itertools.chain.from_iterable(
+        (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)) for b in batches
+    ):
         vectors = batch.column("embedding")
         out = np.empty((batch.num_rows, TABLES * (1 + PROBES)), dtype=np.int32)
         for rows in by_length(vectors):
@@ -125,9 +138,10 @@ def near_vectors(
     ``kept``.  A vector that is null, empty, zero or holds null or non-finite
     components, and one without label, links with nothing; so do vectors of
     different length.  Equal vectors are linked; rows that repeat an id are
-    vectors of their own in ``n_links`` and the same node in the components.  A
-    row without id links with nothing and is returned with a null component and
-    kept false.  Other columns are not looked at.
+    vectors of their own in ``n_links`` and the same node in the components,
+    whatever their vectors and labels.  A row without id links with nothing and
+    is returned with a null component and kept false.  Other columns are not
+    looked at.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("node"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label")
@@ -136,15 +150,16 @@ def near_vectors(
     key = [F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding", "label").alias("k2")]
     good = rows.where(F.col("node").isNotNull() & usable(F.col("embedding"), F.col("label"))).select("*", *key)
     classes = good.groupBy("k1", "k2").agg(
-        F.min("node").alias("node"), F.count("*").alias("weight"),
+        F.min("node").alias("least"), F.count("*").alias("weight"),
         F.first("embedding").alias("embedding"), F.first("label").alias("label"),
     )
     types = dict(classes.dtypes)
     coded = classes.mapInArrow(
         add_codes,
-        f"k1 long, k2 long, node long, weight long, embedding {types['embedding']}, label {types['label']}, codes array<int>",
+        f"k1 long, k2 long, least long, weight long, embedding {types['embedding']}, label {types['label']}, codes array<int>",
     )
-    coded = stored(coded, "vector-codes")
+    # Classes of equal vectors are numbered, and keep their numbers by being written.
+    coded = stored(coded.withColumn("node", F.monotonically_increasing_id()), "vector-codes")
     # A bucket is a table and a code, within a label; a code that a vector has
     # twice in a table counts once.
     places = F.flatten(
@@ -188,22 +203,26 @@ def near_vectors(
 
     found = stored(compare(members, verify, ["embedding", "codes", "bucket", "at"]), "vector-links")
     links = stored(found.groupBy("node").agg(F.sum("links").alias("links")), "vector-counts")
-    groups = connected(found, "node", "root")
-    settled = (
-        coded.select("k1", "k2", "node", "weight")
-        .join(links, "node", "left")
-        .join(groups, "node", "left")
-        .select(
-            "k1",
-            "k2",
-            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
-        )
+    # A row that links with nothing still is the node of its id.
+    classes = coded.select("k1", "k2", F.col("node").alias("class"), "least", "weight")
+    placed = stored(good.select("node", "k1", "k2").join(classes.drop("least"), ["k1", "k2"]), "vector-rows")
+    groups = connected(
+        found.select("node", "root").unionByName(same_id_links(placed, "node", "class")), "node", "root"
+    ).withColumnRenamed("node", "class")
+    settled = classes.join(links.withColumnRenamed("node", "class"), "class", "left").join(groups, "class", "left")
+    settled = settled.select(
+        "class", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("component", "class").alias("component"),
     )
     settled = stored(settled, "vector-classes")
-    linked_rows = good.select("node", "k1", "k2").join(settled, ["k1", "k2"]).select("node", "n_links", "component_id")
+    smallest = settled.groupBy("component").agg(F.min("least").alias("component_id"))
+    settled = stored(settled.join(smallest, "component").select("class", "n_links", "component_id"), "vector-components")
+    linked_rows = placed.select("node", "class").join(settled, "class").select("node", "n_links", "component_id")
     alone = rows.where(~(F.col("node").isNotNull() & usable(F.col("embedding"), F.col("label"))))
-    alone = alone.select("node", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component_id"))
+    alone = alone.select("node", F.lit(0).cast("long").alias("n_links"))
+    # An id whose other rows have links is in their component.
+    known = linked_rows.where("node IS NOT NULL").groupBy("node").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(known, "node", "left").select("node", "n_links", F.coalesce("component_id", "node").alias("component_id"))
     return linked_rows.union(alone).select(
         F.col("node").alias(id_col),
         "n_links",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from lorekeep.llm.tokens import crc32_of_ids, encoded
 #: Bytes of a row group and of a page, and rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 1_000
 
-SCHEMA = "doc_id long, n_tokens long, before_in_file long, tokens array<int>"
+SCHEMA = "doc_id long, n_tokens long, part int, before_in_part long, tokens array<int>"
 
 
 def write_tokens(
@@ -29,13 +30,15 @@ def write_tokens(
     """Encode every whole text, with an end id after it, and write the files.
 
     A null text is empty, so its document holds the end id alone.  Rows without
-    doc_id come first; rows that repeat an id follow each other, each with its
-    own ids.  Other columns are not looked at.  ``before_in_file`` counts the
-    ids of earlier documents of the same file.
+    doc_id come first; rows that repeat an id follow each other in the order of a
+    digest of their texts, each with its own ids.  Other columns, whatever their
+    names, are not looked at.  ``part`` numbers the runs of documents that tasks
+    wrote, and ``before_in_part`` counts the ids of earlier documents of a run, so
+    neither the names nor the number of the files matter.
     """
 
     def encode(batches):
-        before = 0
+        before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             rows = list(encoded(batch.column("text"), tokenizer_path, end_id))
             lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
@@ -43,20 +46,26 @@ def write_tokens(
             flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, dtype=np.int32)
             lists = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths), pa.array(before + ends - lengths), lists],
-                ["doc_id", "n_tokens", "before_in_file", "tokens"],
+                [
+                    batch.column("doc_id"), pa.array(lengths), pa.array(np.full(len(rows), part, np.int32)),
+                    pa.array(before + ends - lengths), lists,
+                ],
+                ["doc_id", "n_tokens", "part", "before_in_part", "tokens"],
             )
             before += int(lengths.sum())
 
-    placed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = placed.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    placed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    # The digest and a spread part rows with one id, or none, over many tasks.
+    placed = placed.withColumn("spread", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)))
+    order = ["doc_id", "digest", "spread"]
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     options = {
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,
         "parquet.page.row.count.limit": page_rows,
         "parquet.writer.version": "v2",
         "parquet.enable.dictionary": "true",
-        **{f"parquet.enable.dictionary#{name}": "false" for name in ("doc_id", "n_tokens", "before_in_file")},
+        **{f"parquet.enable.dictionary#{name}": "false" for name in ("doc_id", "n_tokens", "before_in_part")},
         "compression": "zstd",
     }
     placed.mapInArrow(encode, SCHEMA).write.options(**options).parquet(path)
@@ -68,13 +77,13 @@ def read_tokens(spark: SparkSession, path: str, with_tokens: bool = True) -> Dat
     Without tokens, only the numbers are read.  A filter on doc_id reaches the
     row groups and pages.
     """
-    files = spark.read.schema(SCHEMA).parquet(path).withColumn("_file", F.col("_metadata.file_name"))
-    # A row per file, whose names follow the order of the documents.
-    totals = files.groupBy("_file").agg(F.sum("n_tokens").alias("_ids"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_file", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_start"))
-    rows = files.join(F.broadcast(starts), "_file")
-    columns = ["doc_id", (F.col("_start") + F.col("before_in_file")).alias("start"), "n_tokens"]
+    files = spark.read.schema(SCHEMA).parquet(path)
+    # A row per part, and parts follow the order of the documents.
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_start"))
+    rows = files.join(F.broadcast(starts), "part")
+    columns = ["doc_id", (F.col("_start") + F.col("before_in_part")).alias("start"), "n_tokens"]
     return rows.select(*columns, *(["tokens"] if with_tokens else []))
 
 

@@ -104,6 +104,34 @@ def test_vectors_without_id_and_repeated_rows(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_that_share_an_id_are_one_node(spark):
+    """Ids as nodes, whatever the vectors and labels of their rows."""
+    ship(spark)
+    one, two, three = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, one, 0), (5, two, 0), (3, one, 0), (7, two, 0), (9, three, 0), (9, three, 1), (2, three, 1), (7, None, 0), (8, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = sorted(map(tuple, embedding_dedup.near_vectors(df.repartition(3)).collect()))
+    assert found == sorted(
+        [(5, 1, 3, False), (5, 1, 3, False), (3, 1, 3, True), (7, 1, 3, False), (9, 0, 2, False), (9, 1, 2, False), (2, 1, 2, True),
+         (7, 0, 3, False), (8, 0, 8, True)]
+    )
+
+
+@pytest.mark.parametrize(("size", "pairs", "least"), [(64, 4000, 0.70), (768, 400, 0.70)])
+def test_pairs_at_the_threshold_nearly_always_meet(size, pairs, least):
+    """The chance to meet in one table, and what that makes over all of them."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(pairs, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(pairs, size))
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    a, b = embedding_dedup.codes(x), embedding_dedup.codes(y)
+    meet = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
+    assert meet.any(axis=1).all()
+    assert meet.mean() >= least and (1 - meet.mean()) ** embedding_dedup.TABLES < 1e-6
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 3))
     y = embedding_dedup.rotated(x, 0, 0)
@@ -146,9 +174,6 @@ def test_near_texts(spark, monkeypatch, block):
     found = simhash_dedup.near_texts(df.repartition(4)).collect()
     assert {tuple(r) for r in found} == {(i, f"{prints[i]:016x}", least[i]) for i in range(len(texts))}
     assert len(found) == len(texts) and len(set(least.values())) < len(texts) - 30
-    kept = simhash_dedup.one_of_each(df)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == set(least.values())
 
 
 def test_every_near_pair_shares_a_bucket_and_passes_the_ring():
@@ -170,10 +195,21 @@ def test_texts_without_id_repeats_and_empty(spark):
                                "doc_id long, text string")
     found = simhash_dedup.near_texts(df).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 3), (3, 3), (3, 3), (5, 3)]
-    assert sorted(str(r.doc_id) for r in simhash_dedup.one_of_each(df).collect()) == ["3", "3", "None", "None"]
     assert simhash_dedup.near_texts(df.where(F.lit(False))).collect() == []
 
 
+def test_links_over_rows_without_id_and_repeated_ids(spark, monkeypatch):
+    """Prints 0, 7 and 63 are linked through the one that has no id; ids are nodes."""
+    ship(spark)
+    given = {"zero": 0, "seven": 7, "most": 63, "far": 0xFFFF << 40, "other": 0xFF << 8}
+    rows = [(1, "zero"), (None, "seven"), (2, "most"), (5, "far"), (3, "far"), (5, "other"), (7, "other"), (None, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = spark.createDataFrame([(i, given[t]) for i, t in rows], "doc_id long, print long")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda *_: prints)
+    found = sorted((r.doc_id or 0, r.component_id) for r in simhash_dedup.near_texts(df).collect())
+    assert found == [(0, 1), (0, 3), (1, 1), (2, 1), (3, 3), (5, 3), (5, 3), (7, 3)]
+
+
 def test_one_row_of_each_component(spark):
     """Repeated rows, rows without id, and an id with two texts."""
     ship(spark)

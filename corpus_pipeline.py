@@ -1,7 +1,9 @@
 """A corpus made ready for training: filters, near copies, leaks, then packing.
 
 Each stage takes what its predecessor kept, whole, as rows of ``documents``; the
-last returns the placed pieces.
+last returns the placed pieces.  Null and repeated ids and null or empty texts are
+rows like any other; columns of their own, whatever their names, stay as they are;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,28 +14,34 @@ from pyspark.sql import functions as F
 from lorekeep.llm import decontamination, language, packing, simhash_dedup, toxicity
 from lorekeep.llm.queries import table
 from lorekeep.llm.ship import ship
-from lorekeep.llm.tables import stored
+from lorekeep.llm.tables import free_name, stored
 from lorekeep.llm.tokens import tokenizer_path
 
+#: Languages of a training corpus, by code: those whose family is known.
+LANGUAGES = sorted(code for codes in language.FAMILIES.values() for code in codes)
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, does not call toxic."""
     ship(spark)
     model = toxicity.learn_from_labels(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = free_name(docs.columns, "score"), free_name(docs.columns, "predicted")
+    return toxicity.score(docs, model, names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those with a letter at least.
+    """Documents in one of the languages of the corpus, by the machines' prediction.
 
-    Where no language could be learned, all texts with a letter stay as well.
+    Texts without a letter go, and so do texts that read like a label that is no
+    language of ``LANGUAGES``.  Where no language could be learned, all texts with
+    a letter stay.
     """
     ship(spark)
     model = language.learn(docs)
     if not model.languages:
         return language.with_letters(docs)
-    found = language.predict(docs, model)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    names = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+    return language.predict(docs, model, names).where(F.col(names[0]).isin(LANGUAGES)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

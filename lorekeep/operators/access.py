@@ -114,15 +114,19 @@ def decide(
     members: DataFrame,
     self_id: str,
 ) -> DataFrame:
-    """Routed events with an ``allowed`` flag.
+    """Routed events with an ``allowed`` flag, by rules and people as they are now."""
+    open_channels = written(allowed_channels(rules, channels))
+    return decide_by(events, open_channels, written(permitted_users(rules, users, open_channels, members)), self_id)
+
+
+def decide_by(events: DataFrame, open_channels: DataFrame, permitted: DataFrame, self_id: str) -> DataFrame:
+    """Routed events with an ``allowed`` flag, by open channels and permitted users.
 
     The sender must be another, permitted user.  A message must be ordinary talk
     and either direct or a mention in an allowed channel; commands and button
     presses may come from anywhere.  Under a rule for everyone no channel is an
     allowed one, so of the messages only direct ones are answered then.
     """
-    open_channels = written(allowed_channels(rules, channels))
-    permitted = written(permitted_users(rules, users, open_channels, members))
     heard = F.coalesce(F.col("heard"), F.lit(False))
     addressed = (
         F.col("route").isin("command", "button")

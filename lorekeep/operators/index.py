@@ -4,6 +4,7 @@
 ``postings``   shard, key, field, term, tf, dl, first_of_field
 ``terms``      field, term, df, cf
 ``fields``     field, n_docs, n_terms, n_postings, avgdl (one row per field)
+``heavy``      the terms with most postings, a bounded number of them
 =============  ==============================================================
 
 Postings are sharded by document: ``shard`` is a hash of the key, and the table
@@ -17,12 +18,19 @@ is bucketed by it and sorted by term inside.  Two things follow.
 
 The width of it all is the number of buckets, as one task writes or reads one
 bucket.  It grows with the number of documents unless it is given.
+
+An index is a base and additions, each a segment with tables of its own.  An
+update writes a segment: postings of new and changed documents, the keys it
+replaces, and what it adds to and takes from the statistics, which are sums.
+Segments hold different documents, so each is searched in place.  When the
+additions are many or large beside the base, they are merged into a new base.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +38,14 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import term_counts, with_field_length
 from lorekeep.operators.joins import broadcast_if_small, written
+from lorekeep.operators.segments import Segment, all_of, live, write_gone
 
 SHARDS_PER_BUCKET = 4
 DOCUMENTS_PER_BUCKET = 50_000
 MIN_DOCUMENTS_PER_BUCKET = 250
 MAX_BUCKETS = 100_000
+#: Heaviest terms that a segment names, and shards up to which a scan is told which buckets to read.
+HEAVY_TERMS, MAX_PUSHED_SHARDS = 1_000, 200
 
 
 def shard_of(key: Column, buckets: int) -> Column:
@@ -51,13 +62,12 @@ def bucket_count(documents: int, parallelism: int) -> int:
 
 
 def field_statistics(postings: DataFrame) -> DataFrame:
-    """Documents, terms and average length of each field, over the whole corpus."""
-    sums = postings.groupBy("field").agg(
+    """Documents, terms and postings of each field."""
+    return postings.groupBy("field").agg(
         F.sum(F.col("first_of_field").cast("bigint")).alias("n_docs"),
         F.sum("tf").alias("n_terms"),
         F.count("*").alias("n_postings"),
     )
-    return sums.withColumn("avgdl", F.col("n_terms") / F.col("n_docs"))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -67,25 +77,50 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """A written index: where it is, the table of its postings, its document key."""
+    """A written index: its segments, the tables of their postings, its document key."""
 
     spark: SparkSession
     path: str
-    table: str
     key: str
     buckets: int
+    columns: tuple[tuple[str, str], ...]
+    segments: tuple[Segment, ...]
+    tables: tuple[str, ...]
+
+    @property
+    def parts(self) -> list[DataFrame]:
+        """Live postings of each segment, in their buckets."""
+        return live(self.spark, self.segments, self.key, lambda i: self.spark.table(self.tables[i]))
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return all_of(self.parts)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{s.path}/{name}" for s in self.segments])
+
+    def term_rows(self, narrow: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Statistics of terms, narrowed where they are read, added up over the segments."""
+        rows = narrow(self._read("terms"))
+        if len(self.segments) == 1:
+            return rows
+        sums = rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return sums.filter("df > 0")
 
     @property
     def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.term_rows()
 
     @property
     def fields(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/fields")
+        sums = self._read("fields").groupBy("field").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_terms", "n_postings")])
+        return sums.filter("n_docs > 0").withColumn("avgdl", F.col("n_terms") / F.col("n_docs"))
+
+    @property
+    def heavy(self) -> list[str]:
+        """Terms with very many postings, the heaviest first; at most HEAVY_TERMS for each segment."""
+        rows = self._read("heavy").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(HEAVY_TERMS)
+        return [r["term"] for r in rows.collect()]
 
     @property
     def lengths(self) -> DataFrame:
@@ -106,12 +141,14 @@ def _write_postings(postings: DataFrame, table: str, path: str, buckets: int) ->
     )
 
 
-def _write_statistics(postings: DataFrame, path: str) -> None:
-    field_statistics(postings).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-    (
-        term_statistics(postings).sortWithinPartitions("term")
-        .write.mode("overwrite").parquet(f"{path}/terms")
-    )
+def _write_statistics(terms: DataFrame, fields: DataFrame, path: str) -> int:
+    """Write what a segment adds to the statistics; returns the postings it has more than before."""
+    spark = terms.sparkSession
+    fields.coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    counted = spark.read.schema(terms.schema).parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("n"))
+    counted.orderBy(F.desc("n"), "term").limit(HEAVY_TERMS).coalesce(1).write.mode("overwrite").parquet(f"{path}/heavy")
+    return spark.read.schema(fields.schema).parquet(f"{path}/fields").agg(F.sum("n_postings")).first()[0] or 0
 
 
 def _analysed(documents: DataFrame, key: str, title: str, content: str, buckets: int) -> DataFrame:
@@ -136,55 +173,102 @@ def build_index(
     """
     spark = documents.sparkSession
     buckets = buckets or bucket_count(documents.count(), spark.sparkContext.defaultParallelism)
-    index = Index(spark, path, _new_table_name(), key, buckets)
-    return _write(index, _analysed(documents, key, title, content, buckets))
+    return _write_base(spark, _analysed(documents, key, title, content, buckets), path, key, buckets)
+
+
+def _write_base(spark: SparkSession, postings: DataFrame, path: str, key: str, buckets: int) -> Index:
+    table = _new_table_name()
+    _write_postings(postings, table, path, buckets)
+    written_ = spark.table(table)
+    rows = _write_statistics(term_statistics(written_), field_statistics(written_), path)
+    none = spark.createDataFrame([], f"`{key}` {dict(written_.dtypes)[key]}")
+    return _with_meta(spark, path, key, buckets, postings, (Segment(path, rows, *write_gone(none, path)),), (table,))
+
+
+def _with_meta(
+    spark: SparkSession, path: str, key: str, buckets: int, postings: DataFrame, segments: tuple[Segment, ...], tables: tuple[str, ...]
+) -> Index:
+    # Without postings there is no file that could tell their columns.
+    columns = tuple((c.name, c.dataType.simpleString()) for c in postings.schema)
+    meta = json.dumps({"key": key, "buckets": buckets, "columns": columns, "segments": [s.as_list() for s in segments]})
+    line = spark.range(1).select(F.lit(meta).alias("value")).coalesce(1)
+    line.write.mode("overwrite").text(f"{path}/meta")
+    return Index(spark, path, key, buckets, columns, segments, tables)
 
 
 def update_index(
     index: Index, changed: DataFrame, path: str, title: str = "title", content: str = "content",
     removed: DataFrame | None = None,
 ) -> Index:
-    """A copy of the index at a new ``path`` with new and changed documents in it.
+    """The index with new and changed documents, as one more segment at ``path``.
 
-    Only ``changed`` is analysed.  The other postings are copied bucket by bucket
-    without a shuffle, as long as the changed keys are few enough to be broadcast.
-    Documents whose keys are in ``removed`` are left out.
+    Only ``changed`` is analysed, and what is written follows it: its postings,
+    the replaced keys, and the changes of the statistics.  For these the replaced
+    documents' postings are looked up in the buckets of their shards.  Documents
+    whose keys are in ``removed`` are taken out.  The index given stays as it is.
     """
-    added = _analysed(changed, index.key, title, content, index.buckets)
+    spark = index.spark
+    added = _analysed(changed, index.key, title, content, index.buckets).select(*[c for c, _ in index.columns])
+    table = _new_table_name()
+    _write_postings(added, table, path, index.buckets)
     keys = changed.select(index.key)
     keys = keys if removed is None else keys.unionByName(removed.select(index.key))
-    replaced = broadcast_if_small(written(keys.distinct()))
-    kept = index.postings.join(replaced, index.key, "left_anti").select(*index.postings.columns)
-    updated = Index(index.spark, path, _new_table_name(), index.key, index.buckets)
-    return _write(updated, kept.unionByName(added.select(*kept.columns)))
-
-
-def _write(index: Index, postings: DataFrame) -> Index:
-    _write_postings(postings, index.table, index.path, index.buckets)
-    _write_statistics(index.postings, index.path)
-    # Without postings there is no file that could tell their columns.
-    columns = [[c.name, c.dataType.simpleString()] for c in postings.schema]
-    meta = json.dumps({"key": index.key, "buckets": index.buckets, "columns": columns})
-    line = index.spark.range(1).select(F.lit(meta).alias("value")).coalesce(1)
-    line.write.mode("overwrite").text(f"{index.path}/meta")
-    return index
+    gone = write_gone(keys, path)
+    replaced = spark.read.schema(keys.schema).parquet(f"{path}/gone")
+    old = written(_of_keys(index, replaced).select("field", "term", "tf", "first_of_field"))
+    parts = [(spark.table(table).select("field", "term", "tf", "first_of_field"), 1), (old, -1)]
+    terms = all_of([term_statistics(rows).select("field", "term", (F.col("df") * n).alias("df"), (F.col("cf") * n).alias("cf")) for rows, n in parts])
+    terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df <> 0 OR cf <> 0")
+    counts = ("n_docs", "n_terms", "n_postings")
+    fields = all_of([field_statistics(rows).select("field", *[(F.col(c) * n).alias(c) for c in counts]) for rows, n in parts])
+    fields = fields.groupBy("field").agg(*[F.sum(c).alias(c) for c in counts])
+    _write_statistics(terms, fields, path)
+    segments = (*index.segments, Segment(path, spark.table(table).count(), *gone))
+    return _with_meta(spark, path, index.key, index.buckets, added, segments, (*index.tables, table))
+
+
+def _of_keys(index: Index, keys: DataFrame) -> DataFrame:
+    """Live postings of some documents; if they lie in few shards, other buckets are not read."""
+    shards = [r[0] for r in keys.select(shard_of(F.col(index.key), index.buckets)).distinct().limit(MAX_PUSHED_SHARDS + 1).collect()]
+    postings = index.postings
+    if len(shards) <= MAX_PUSHED_SHARDS:
+        postings = all_of([part.filter(F.col("shard").isin(shards)) for part in index.parts])
+    return postings.join(broadcast_if_small(keys), index.key, "left_semi")
+
+
+def merge_segments(index: Index, path: str) -> Index:
+    """The index with all its segments as one new base at ``path``; nothing is analysed."""
+    return _write_base(index.spark, index.postings, path, index.key, index.buckets)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """An index that an earlier session wrote."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    index = Index(spark, path, _new_table_name(), meta["key"], meta["buckets"])
     ddl = ", ".join(f"`{name}` {kind}" for name, kind in meta["columns"])
-    spark.sql(
-        f"CREATE TABLE {index.table} ({ddl}) USING parquet "
-        f"CLUSTERED BY (shard) SORTED BY (term) INTO {index.buckets} BUCKETS LOCATION '{path}/postings'"
-    )
-    return index
+    segments, tables = tuple(Segment(*s) for s in meta["segments"]), []
+    for segment in segments:
+        tables.append(_new_table_name())
+        spark.sql(
+            f"CREATE TABLE {tables[-1]} ({ddl}) USING parquet "
+            f"CLUSTERED BY (shard) SORTED BY (term) INTO {meta['buckets']} BUCKETS LOCATION '{segment.path}/postings'"
+        )
+    columns = tuple((name, kind) for name, kind in meta["columns"])
+    return Index(spark, path, meta["key"], meta["buckets"], columns, segments, tuple(tables))
+
+
+def close_index(index: Index) -> None:
+    """Forget the session's names of the tables; their files stay."""
+    for table in index.tables:
+        index.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def clear_index(index: Index) -> None:
     """Leave every table of the index readable and without rows."""
-    empty = index.spark.createDataFrame([], index.postings.schema)
-    index.spark.sql(f"DROP TABLE {index.table}")
-    _write_postings(empty, index.table, index.path, index.buckets)
-    _write_statistics(empty, index.path)
+    spark = index.spark
+    empty = spark.createDataFrame([], ", ".join(f"`{name}` {kind}" for name, kind in index.columns))
+    gone = spark.createDataFrame([], f"`{index.key}` {dict(index.columns)[index.key]}")
+    for segment, table in zip(index.segments, index.tables, strict=True):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _write_postings(empty, table, segment.path, index.buckets)
+        _write_statistics(term_statistics(empty), field_statistics(empty), segment.path)
+        write_gone(gone, segment.path)

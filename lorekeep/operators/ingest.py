@@ -214,9 +214,11 @@ def upsert(stored: DataFrame, writes: DataFrame, key: str = "id", version: str =
 
 
 def split_rejects(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents fit for the index, and the others with the reason."""
+    """Documents fit for the index, and the others with the reason; one they come with is kept."""
+    given = F.col("reason") if "reason" in documents.columns else F.lit(None).cast("string")
     reason = (
-        F.when(F.col("id").isNull(), "missing id")
+        F.when(given.isNotNull(), given)
+        .when(F.col("id").isNull(), "missing id")
         .when(F.col("content").isNull(), "missing content")
         .when(F.col("updated_on").isNull(), "missing date")
     )

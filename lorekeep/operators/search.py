@@ -3,8 +3,9 @@
 The plan for a table of queries: analyse the texts, look up the statistics of
 their terms, meet the postings of those terms bucket by bucket, add up BM25 per
 document, keep the best field, and number the hits of each query.  Postings are
-bucketed by shards of documents, so all of that happens in place; only each
-shard's best rows are shuffled, to be ranked against those of other shards.
+bucketed by shards of documents, so all of that happens in place, segment by
+segment; only each shard's best rows are shuffled, to be ranked against those of
+other shards.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators.analysis import term_counts
 from lorekeep.operators.index import Index
 from lorekeep.operators.joins import broadcast_if_small, written
+from lorekeep.operators.segments import all_of
 
 # Ranking constants of the reference behaviour.
 K1 = 1.2
@@ -22,7 +24,7 @@ B = 0.75
 TITLE_BOOST = 3.0
 PAGE_SIZE = 5
 
-#: Terms for which a scan is told to skip what cannot hold them.
+#: Ranges of terms that a scan is told, at most.
 MAX_PUSHED_TERMS = 500
 #: Groups of shards whose best rows are ranked together before all of them are.
 SHARD_GROUPS = 64
@@ -35,16 +37,35 @@ def _any_of(tests: list[Column]) -> Column:
     return tests[0] if len(tests) == 1 else _any_of(tests[:half]) | _any_of(tests[half:])
 
 
-def _having_terms(table: DataFrame, terms: DataFrame) -> DataFrame:
-    """Narrow an index table, sorted by term, to a list of terms.
+def term_ranges(terms: DataFrame, heavy: list[str]) -> list[tuple[str, str]]:
+    """Ranges of terms that hold all of the given ones, MAX_PUSHED_TERMS of them at most.
 
-    Equalities reach the files one by one, where a list of more than ten values
-    would reach them as its least and greatest; longer lists are left to the join.
+    Up to so many terms are a range each.  Of more, those between two heavy terms
+    that are not asked for make one range, from their first to their last, so
+    however many are asked for, the longest runs of other postings are left out.
     """
-    few = [row[0] for row in terms.select("term").distinct().limit(MAX_PUSHED_TERMS + 1).collect()]
-    if not 0 < len(few) <= MAX_PUSHED_TERMS:
-        return table
-    return table.filter(_any_of([F.col("term") == term for term in few]))
+    terms = terms.select("term").distinct()
+    few = [row[0] for row in terms.limit(MAX_PUSHED_TERMS + 1).collect()]
+    if len(few) <= MAX_PUSHED_TERMS:
+        return [(term, term) for term in sorted(few)]
+    asked = {r[0] for r in terms.filter(F.col("term").isin(heavy)).collect()} if heavy else set()
+    holes = sorted([term for term in heavy if term not in asked][: MAX_PUSHED_TERMS - 1])
+    before = F.size(F.filter(F.array(*[F.lit(h) for h in holes]), lambda h: h < F.col("term"))) if holes else F.lit(0)
+    ranges = terms.groupBy(before.alias("at")).agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    return sorted((r["low"], r["high"]) for r in ranges.collect())
+
+
+def _within(table: DataFrame, ranges: list[tuple[str, str]]) -> DataFrame:
+    """Narrow an index table, sorted by term, to ranges of terms.
+
+    The tests reach the files one by one, where a list of more than ten values
+    would reach them as its least and greatest, and pages without a match are
+    not read.
+    """
+    if not ranges:
+        return table.filter(F.lit(False))
+    term = F.col("term")
+    return table.filter(_any_of([term == low if low == high else term.between(low, high) for low, high in ranges]))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -56,45 +77,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def weighted_terms(terms: DataFrame, index: Index) -> DataFrame:
     """Query terms known to the index, with weight and length norm of BM25."""
     asked = written(terms)
+    ranges = term_ranges(asked, index.heavy)
     # Two rows, one for each field.
     fields = F.broadcast(index.fields.select("field", "n_docs", "avgdl"))
-    known = broadcast_if_small(asked).join(_having_terms(index.terms, asked), ["field", "term"]).join(fields, "field")
+    known = broadcast_if_small(asked).join(index.term_rows(lambda rows: _within(rows, ranges)), ["field", "term"]).join(fields, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return written(known.select(QUERY, "field", "term", (F.col("qtf") * idf).alias("weight"), "avgdl"))
 
 
-def contributions(queries: DataFrame, index: Index) -> DataFrame:
-    """What each matched posting adds to its document's score for its field.
+def contributions(queries: DataFrame, index: Index) -> list[DataFrame]:
+    """What each matched posting adds to its document's score for its field, for each segment of the index.
 
     Rows stay in the bucket of their shard when the terms are few enough to be
     broadcast; beyond that the join is Spark's to shuffle and to split.
     """
     weighted = weighted_terms(query_terms(queries), index)
-    postings = _having_terms(index.postings, weighted)
-    matched = broadcast_if_small(weighted).join(postings, ["field", "term"])
+    ranges = term_ranges(weighted, index.heavy)
+    wanted = broadcast_if_small(weighted)
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    return matched.select(QUERY, "shard", index.key, "field", "term", gain.alias("gain"))
+    return [
+        wanted.join(_within(postings, ranges), ["field", "term"]).select(
+            QUERY, "shard", index.key, "field", "term", gain.alias("gain")
+        )
+        for postings in index.parts
+    ]
 
 
 def match_documents(queries: DataFrame, index: Index) -> DataFrame:
     """Documents holding any term of the query in any field."""
-    hits = contributions(queries, index).groupBy(QUERY, "shard", index.key)
-    return hits.agg(F.count("*").alias("matched_terms")).drop("shard")
+    hits = [part.groupBy(QUERY, "shard", index.key) for part in contributions(queries, index)]
+    return all_of([part.agg(F.count("*").alias("matched_terms")).drop("shard") for part in hits])
 
 
 def field_scores(queries: DataFrame, index: Index) -> DataFrame:
     """BM25 of each matched document per field, not boosted."""
-    hits = contributions(queries, index).groupBy(QUERY, "shard", index.key, "field")
-    return hits.agg(F.round(F.sum("gain"), 6).alias("score")).drop("shard")
+    hits = [part.groupBy(QUERY, "shard", index.key, "field") for part in contributions(queries, index)]
+    return all_of([part.agg(F.round(F.sum("gain"), 6).alias("score")).drop("shard") for part in hits])
 
 
-def ranked(queries: DataFrame, index: Index) -> DataFrame:
-    """Every hit with its score: the better of boosted title and content."""
+def ranked_parts(queries: DataFrame, index: Index) -> list[DataFrame]:
+    """Every hit with its score, the better of boosted title and content, for each segment of the index."""
     title = F.sum(F.when(F.col("field") == "title", F.col("gain"))) * TITLE_BOOST
     content = F.sum(F.when(F.col("field") == "content", F.col("gain")))
-    hits = contributions(queries, index).groupBy(QUERY, "shard", index.key)
-    return hits.agg(F.round(F.greatest(title, content), 6).alias("score"))
+    score = F.round(F.greatest(title, content), 6).alias("score")
+    return [part.groupBy(QUERY, "shard", index.key).agg(score) for part in contributions(queries, index)]
+
+
+def ranked(queries: DataFrame, index: Index) -> DataFrame:
+    return all_of(ranked_parts(queries, index))
 
 
 def totals(queries: DataFrame, index: Index) -> DataFrame:
@@ -102,25 +133,34 @@ def totals(queries: DataFrame, index: Index) -> DataFrame:
     return match_documents(queries, index).groupBy(QUERY).agg(F.count("*").alias("total"))
 
 
-def top_hits(hits: DataFrame, key: str, upto: Column) -> DataFrame:
-    """Number the hits of each query by score and keep ranks to ``upto``.
+def top_hits(parts: list[DataFrame], key: str, upto: Column) -> DataFrame:
+    """Number the hits of each query by score and keep ranks to ``upto``; adds the number of all hits.
 
-    First within each shard, then within groups of shards, then over the few
-    rows that these let through; each limit is applied below its sort.  Hits are
-    counted apart, in place, so that no count keeps a whole shard's hits; that
-    gives the exact totals.
+    Each shard of each segment is sorted in place and read once: one row per
+    query and shard has the number of its hits and the best of them.  Only these
+    rows are written and ranked further, in groups of shards and then against
+    each other, so postings are read and scored one time.
     """
     order = [F.desc("score"), F.asc(key)]
 
     def first(rows: DataFrame, *by: str) -> DataFrame:
         ranks = F.row_number().over(Window.partitionBy(QUERY, *by).orderBy(*order))
-        return rows.withColumn("rank", ranks).filter(F.col("rank") <= upto)
-
-    shards = hits.groupBy(QUERY, "shard").agg(F.count("*").alias("n"))
-    counts = shards.groupBy(QUERY).agg(F.sum("n").alias("total"))
-    grouped = first(hits, "shard").withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(SHARD_GROUPS)))
+        return rows.withColumn("rank", ranks).filter(F.col("rank") <= F.col("upto"))
+
+    def best_of(hits: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(QUERY, "shard").orderBy(*order))
+        placed = hits.withColumn("upto", upto.cast("int")).withColumn("place", place)
+        kept = F.when(F.col("place") <= F.col("upto"), F.struct("score", key))
+        return placed.groupBy(QUERY, "shard").agg(
+            F.count("*").alias("n"), F.max("upto").alias("upto"), F.collect_list(kept).alias("best")
+        )
+
+    shards = written(all_of([best_of(hits) for hits in parts]))
+    totals = shards.groupBy(QUERY).agg(F.sum("n").alias("total"))
+    rows = shards.select(QUERY, "shard", "upto", F.explode("best").alias("b")).select(QUERY, "shard", "upto", "b.score", f"b.{key}")
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(SHARD_GROUPS)))
     best = first(first(grouped, "group"))
-    return best.join(counts, QUERY).withColumn("rank", F.col("rank").cast("long")).drop("shard", "group")
+    return best.join(totals, QUERY).withColumn("rank", F.col("rank").cast("long")).drop("shard", "group", "upto")
 
 
 def search(queries: DataFrame, index: Index, start: int | Column = 0, size: int | Column = PAGE_SIZE) -> DataFrame:
@@ -128,16 +168,18 @@ def search(queries: DataFrame, index: Index, start: int | Column = 0, size: int
 
     ``start`` and ``size`` are numbers, or columns of ``queries``.
     """
-    hits = ranked(queries, index)
+    parts = ranked_parts(queries, index)
     if isinstance(start, int) and isinstance(size, int):
-        first, last = F.lit(start), F.lit(start + size)
-    else:
-        start, size = (F.lit(n) if isinstance(n, int) else n for n in (start, size))
-        bounds = queries.select(QUERY, start.alias("page_start"), (start + size).alias("page_end"))
-        hits = hits.join(broadcast_if_small(bounds), QUERY)
-        first, last = F.col("page_start"), F.col("page_end")
-    page = top_hits(hits, index.key, last).filter(F.col("rank") > first)
-    return page.select(QUERY, "rank", index.key, "score", "total")
+        return _page(top_hits(parts, index.key, F.lit(start + size)), index.key, F.lit(start))
+    start, size = (F.lit(n) if isinstance(n, int) else n for n in (start, size))
+    bounds = written(queries.select(QUERY, start.alias("page_start"), (start + size).alias("page_end")))
+    few = broadcast_if_small(bounds)
+    hits = top_hits([part.join(few, QUERY) for part in parts], index.key, F.col("page_end"))
+    return _page(hits.join(few, QUERY), index.key, F.col("page_start"))
+
+
+def _page(hits: DataFrame, key: str, first: Column) -> DataFrame:
+    return hits.filter(F.col("rank") > first).select(QUERY, "rank", key, "score", "total")
 
 
 def search_results(page: DataFrame, documents: DataFrame, key: str, url: Column) -> DataFrame:

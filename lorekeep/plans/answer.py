@@ -14,6 +14,7 @@ from lorekeep.operators.joins import broadcast_if_small, written
 from lorekeep.operators.reply import CONFUSED, can_be_run, new_page_value, replies, result_rows, shown_rows
 from lorekeep.operators.search import QUERY, query_terms, search, search_results
 from lorekeep.plans.build import Library
+from lorekeep.plans.directory import Directory
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ def answer_queries(queries: DataFrame, library: Library, base: str) -> Answers:
     return Answers(replies(queries, found, base), result_rows(found))
 
 
-def answer_events(events: DataFrame, chat: Chat, library: Library, base: str) -> Answers:
+def answer_events(events: DataFrame, chat: Chat | Directory, library: Library, base: str) -> Answers:
     """Replies to chat events (event_id, kind, channel_id, ts, user_id, subtype, text, actions).
 
     The text of a button press is the query it was shown for, its actions say

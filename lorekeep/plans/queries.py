@@ -14,8 +14,10 @@ from lorekeep.functions.urls import document_url
 from lorekeep.operators import access, analysis, highlight, index, ingest, metadata, reply, search
 from lorekeep.operators.joins import written
 from lorekeep.plans import answer, build
+from lorekeep.plans.directory import Directory, publish_directory
 from lorekeep.sources.shared import new_table_path
 from lorekeep.sources.tables import BASE_URL, BOT, Tables
+from lorekeep.streaming.library import DROP_SCHEMA, read_drops, start_ingest
 from lorekeep.streaming.replies import read_events, start_replies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,19 +226,8 @@ def _(t):
     return built.fields.join(vocabulary, "field").withColumn("avgdl", F.round("avgdl", 6))
 
 
-@query("incremental_build")
-def _(t):
-    """What a library holds after a first build and two rounds of edits.
-
-    First without Spanish and with German drafts, then with all files and the
-    German ones as they are, then without the files in French.
-    """
-    files, place = files_with_html(t), new_table_path(t.spark, "library")
-    german = F.col("lang") == "de"
-    drafts = files.filter("lang <> 'es'").withColumn("text", F.when(german, F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")))
-    for state in (drafts, files, files.filter("lang <> 'fr'")):
-        kept = build.update_library(state, t["commits"], place)
-    _, manifest = build.open_library(t.spark, place)
+def library_facts(kept: build.Library, manifest: DataFrame) -> DataFrame:
+    """Documents, manifest and field statistics of a library as rows of one table."""
     fields = kept.index.fields.select("field", "n_docs", F.col("n_terms").cast("long").alias("n_terms"), "n_postings")
     facts = kept.documents.select(
         F.lit("document").alias("fact"), "id", F.sha1("content").alias("digest"), F.lit(0).cast("long").alias("n")
@@ -247,6 +238,55 @@ def _(t):
     return facts
 
 
+def as_draft(files: DataFrame) -> DataFrame:
+    german = F.col("lang") == "de"
+    return files.withColumn("text", F.when(german, F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")))
+
+
+@query("incremental_build")
+def _(t):
+    """What a library holds after a first build and two rounds of edits.
+
+    First without Spanish and with German drafts, then with all files and the
+    German ones as they are, then without the files in French.
+    """
+    files, place = files_with_html(t), new_table_path(t.spark, "library")
+    for state in (as_draft(files.filter("lang <> 'es'")), files, files.filter("lang <> 'fr'")):
+        build.update_library(state, t["commits"], place)
+    return library_facts(*build.open_library(t.spark, place))
+
+
+@query("stream_library")
+def _(t):
+    """The same through a stream of drops, the last of them run a second time.
+
+    First without Spanish, with German drafts and half of the commits, then the
+    Spanish and German files and the other commits, then the French ones removed.
+    """
+    files, place = files_with_html(t), new_table_path(t.spark, "stream-library")
+
+    def drop(name: str, *parts: DataFrame) -> None:
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        columns = [f.split()[0] for f in DROP_SCHEMA.split(", ")]
+        kinds = dict(f.split() for f in DROP_SCHEMA.split(", "))
+        rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+        rows.coalesce(1).write.mode("append").parquet(f"{place}/drops")
+        for _ in range(1 + (name == "last")):
+            start_ingest(read_drops(t.spark, f"{place}/drops"), f"{place}/library", "drops", f"{place}/state").awaitTermination()
+
+    def as_files(rows: DataFrame, seq: int) -> DataFrame:
+        return rows.select(F.lit("file").alias("kind"), "path", F.lit(seq).cast("long").alias("seq"), "text", "html")
+
+    commits = t["commits"].withColumn("kind", F.lit("commit")).withColumn("authored_at", F.col("authored_at").cast("string"))
+    drop("first", as_files(as_draft(files.filter("lang <> 'es'")), 1), commits.filter("seq % 2 = 0"))
+    drop("second", as_files(files.filter("lang IN ('es', 'de')"), 2), commits.filter("seq % 2 = 1"))
+    removed = files.filter("lang = 'fr'").select(F.lit("removed").alias("kind"), "path", F.lit(3).cast("long").alias("seq"))
+    drop("last", removed)
+    return library_facts(*build.open_library(t.spark, f"{place}/library"))
+
+
 @query("clear_index")
 def _(t):
     built = _fresh_library(t).index
@@ -572,8 +612,8 @@ def events(t: Tables) -> DataFrame:
     )
 
 
-def answer_batch(t: Tables, batch: DataFrame) -> answer.Answers:
-    return answer.answer_events(batch, answer.Chat(rules(t), *directory(t), BOT), library(t), BASE_URL)
+def answer_batch(t: Tables, batch: DataFrame, chat: answer.Chat | Directory | None = None) -> answer.Answers:
+    return answer.answer_events(batch, chat or answer.Chat(rules(t), *directory(t), BOT), library(t), BASE_URL)
 
 
 @query("message_replies")
@@ -596,11 +636,16 @@ def _(t):
 
 @query("stream_replies")
 def _(t):
-    """The same replies through a stream over files of events, some of them delivered twice."""
+    """The same replies through a stream over files of events, some of them delivered twice.
+
+    Each batch is decided by a published version of the directory.
+    """
     place = new_table_path(t.spark, "stream")
     again = events(t).filter("event_id % 3 = 0")
     events(t).unionByName(again).repartition(3).write.parquet(f"{place}/in")
     stream = read_events(t.spark, f"{place}/in", files_per_batch=1)
-    started = start_replies(stream, lambda batch: answer_batch(t, batch), f"{place}/out", f"{place}/state")
+    publish_directory(rules(t), *directory(t), BOT, f"{place}/directory")
+    answered = lambda batch, version: answer_batch(t, batch, version)
+    started = start_replies(stream, answered, f"{place}/out", f"{place}/state", directory=f"{place}/directory")
     started.awaitTermination()
     return t.spark.read.parquet(f"{place}/out/heads").drop("batch").withColumn("buttons", F.to_json("buttons"))

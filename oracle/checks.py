@@ -521,3 +521,4 @@ CHECKS["event_replies"] = CHECKS["stream_replies"] = statement(f"""
 CHECKS["event_reply_rows"] = statement(
     "SELECT query_id AS event_id, rank, title, link, footer, color, ts FROM {reply_rows}", **EVENTS
 )
+CHECKS["stream_library"] = CHECKS["incremental_build"]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.urls import document_url
 from lorekeep.operators import highlight, search
-from lorekeep.operators.index import bucket_count, build_index, clear_index, open_index, update_index
+from lorekeep.operators.index import bucket_count, build_index, clear_index, merge_segments, open_index, update_index
+from lorekeep.operators.segments import to_be_merged
 
 from tests import plain
 
@@ -106,7 +107,15 @@ def test_many_terms_and_large_batches_take_the_other_paths(index, queries, monke
     assert pages(search.search(queries, index)) == want
 
 
-def test_a_search_shuffles_only_the_shortlist(index, queries, spark):
+def test_a_search_shuffles_only_the_shortlist(index, queries, spark, monkeypatch):
+    """Postings are read once and ranked in place; what is moved is the best of each shard."""
+    kept, plans = search.written, []
+
+    def recorded(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return kept(rows)
+
+    monkeypatch.setattr(search, "written", recorded)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = search.search(queries, index)._jdf.queryExecution().executedPlan().toString()
@@ -115,7 +124,9 @@ def test_a_search_shuffles_only_the_shortlist(index, queries, spark):
     # The best of each shard by group, those of each group by query, and the counts.
     moved = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?(?:, (\w+)#)?", plan)
     assert sorted(moved) == [("query_id", ""), ("query_id", ""), ("query_id", "group")]
-    assert plan.count("WindowGroupLimit") >= 3
+    ranking = [p for p in plans if "row_number" in p]
+    assert len(ranking) == 1 and ranking[0].count("FileScan parquet") == 2  # postings, and the weighted terms
+    assert "Exchange hashpartitioning" not in ranking[0] and "postings" not in plan
 
 
 def test_rows_read_follow_the_terms_asked_for(spark, tmp_path, monkeypatch):
@@ -127,7 +138,7 @@ def test_rows_read_follow_the_terms_asked_for(spark, tmp_path, monkeypatch):
     read = []
     for n in (5, 50, 500):
         terms = spark.range(n).select(F.lpad((F.col("id") * (400_000 // n)).cast("string"), 8, "0").alias("term"))
-        narrowed = search._having_terms(spark.read.parquet(path), terms)
+        narrowed = search._within(spark.read.parquet(path), search.term_ranges(terms, []))
         assert narrowed.count() == n
         plan = narrowed._jdf.queryExecution().executedPlan()
         plan.execute().count()
@@ -135,6 +146,58 @@ def test_rows_read_follow_the_terms_asked_for(spark, tmp_path, monkeypatch):
     assert read[0] < read[1] < 400_000 / 2 and read[0] < 20_000
 
 
+def test_rows_read_of_very_many_terms_leave_out_the_heavy_ones(spark, tmp_path):
+    """Beyond the terms that are told one by one, ranges between heavy terms that nobody asks for are read."""
+    words = spark.range(60_000).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("term"), F.lit(1).alias("n"))
+    heavy = [f"{i:08d}" for i in range(500, 60_000, 6000)]
+    rows = words.withColumn("n", F.when(F.col("term").isin(heavy), 20_000).otherwise(1))
+    rows = rows.select("term", F.explode(F.sequence(F.lit(1), "n")).alias("tf")).orderBy("term")
+    path, read = str(tmp_path / "heavy"), []
+    rows.coalesce(1).write.option("parquet.block.size", 64 << 10).option("parquet.page.row.count.limit", 500).parquet(path)
+    for n in (50, 500, 5000):
+        terms = words.filter(F.col("term").cast("int") % (60_000 // n) == 7).select("term")
+        ranges = search.term_ranges(terms, heavy)
+        assert len(ranges) <= search.MAX_PUSHED_TERMS
+        narrowed = search._within(spark.read.parquet(path), ranges)
+        assert narrowed.join(terms, "term").count() == n
+        plan = narrowed._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        read.append(plan.collectLeaves().head().metrics().apply("numOutputRows").value())
+    assert read[0] < read[1] < read[2] < 0.5 * 260_000
+    # A heavy term that is asked for is read.
+    asked = words.select("term").unionByName(spark.createDataFrame([(heavy[3],)], "term string"))
+    ranges = search.term_ranges(asked.filter(~F.col("term").isin([*heavy[:3], *heavy[4:]])), heavy)
+    assert any(low <= heavy[3] <= high for low, high in ranges) and not any(low <= heavy[2] <= high for low, high in ranges)
+
+
+def test_what_an_update_writes_follows_the_change(spark, tmp_path, queries):
+    """Bytes of a new segment beside those of the base, and searches over many segments and over the merged one."""
+    docs = spark.range(4000).selectExpr(
+        "id doc_id", "concat('page ', id) title",
+        "concat_ws(' ', transform(sequence(1, 60), i -> concat('word', pmod(xxhash64(id, i), 5000)))) content",
+    )
+    size = lambda path: sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    now = build_index(docs, str(tmp_path / "base"), "doc_id", buckets=2)
+    base = size(tmp_path / "base")
+    whole = docs
+    for i in range(3):
+        changed = docs.filter(F.col("doc_id") % 400 == i).withColumn("content", F.concat("content", F.lit(f" fresh{i}")))
+        removed = docs.filter(F.col("doc_id") == 100 + i).select("doc_id")
+        now = update_index(now, changed, str(tmp_path / f"seg-{i}"), removed=removed)
+        whole = whole.join(changed.unionByName(docs.filter(F.col("doc_id") == 100 + i)).select("doc_id"), "doc_id", "left_anti")
+        whole = whole.select(*docs.columns).unionByName(changed)
+        assert size(tmp_path / f"seg-{i}") < 0.1 * base
+    assert len(now.segments) == 4 and not to_be_merged(now.segments)
+    rebuilt = build_index(whole, str(tmp_path / "whole"), "doc_id", buckets=2)
+    asked = spark.createDataFrame([(1, "fresh1 word7"), (2, "page 100"), (3, "word1 word2 word3")], "query_id long, text string")
+    merged = merge_segments(now, str(tmp_path / "merged"))
+    assert len(merged.segments) == 1
+    for other in (now, open_index(spark, now.path), merged):
+        assert sorted(other.terms.collect()) == sorted(rebuilt.terms.collect())
+        assert sorted(other.fields.collect()) == sorted(rebuilt.fields.collect())
+        assert pages(search.search(asked, other, 0, 20)) == pages(search.search(asked, rebuilt, 0, 20))
+
+
 def test_index_opens_again_and_clears(corpus, queries, tmp_path, spark):
     built = build_index(corpus, str(tmp_path), "doc_id")
     want = pages(search.search(queries, built))

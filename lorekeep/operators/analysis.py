@@ -86,13 +86,3 @@ def word_counts(rows: DataFrame, text: str) -> DataFrame:
         rows.select(F.explode(tokens(F.lower(F.col(text)))).alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"))
     )
-
-
-def analyse_positions(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """Every content word in place: key, pos, word in its own case, term.
-
-    Stop words stay, as they are part of a shown passage; they match nothing
-    because no query term is one.
-    """
-    words = rows.select(key, F.posexplode(tokens(strip_html(F.col(content)))).alias("pos", "word"))
-    return with_stem(words.withColumn("token", F.lower("word")), "token", "term").drop("token")

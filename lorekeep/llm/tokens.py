@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled together; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 6_000_000
 #: Bytes of distinct pieces, and their number, kept from block to block in a worker.
-CACHED_BYTES, CACHED_PIECES = 4_000_000, 120_000
+CACHED_BYTES, CACHED_PIECES = 12_000_000, 300_000
 #: Longer pieces are not kept.
 CACHED_LENGTH = 64
 
@@ -173,15 +173,16 @@ def id_store(path: str) -> PieceStore:
     return PieceStore(lambda pieces: encode_pieces(pieces, path))
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Bytes, offsets and first row of runs of texts of about BLOCK_BYTES; a null is empty."""
+def blocks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Bytes, offsets and first row of runs of texts of about so many bytes, else BLOCK_BYTES; a null is empty."""
+    size = size or BLOCK_BYTES
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     start = texts.offset
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[start : start + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, len(texts))
         yield data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], row
         row = end

@@ -36,6 +36,8 @@ POSITIVES, UNLABELLED = 4_000, 16_000
 #: many standard deviations more often than in unlabelled ones.
 LEAST_TEXTS, LEAST_RATIO, LEAST_SURPRISE = 3, 4.0, 4.0
 STEPS, RATE, SHRINK = 600, 0.05, 1e-4
+#: Bytes of text whose features are found together; a longer text is taken alone.
+TOGETHER = 1_000_000
 #: Used where labels do not give the share of toxic texts.
 DEFAULT_PRIOR = 0.1
 #: Base of a model without features at most; a chance of just under a half.
@@ -84,7 +86,7 @@ def hashed(value: np.ndarray, kind: int) -> np.ndarray:
 def distinct_features(texts: pa.Array, wanted: np.ndarray | None = None) -> list[np.ndarray]:
     """Distinct features of each text; only wanted ones where a mask is given."""
     out: list[np.ndarray] = []
-    for data, offsets, _ in blocks(texts):
+    for data, offsets, _ in blocks(texts, TOGETHER):
         pairs = []
         for owner, feature in features(data, offsets) if len(data) else ():
             if wanted is not None:

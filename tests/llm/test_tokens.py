@@ -1,16 +1,18 @@
 """Token files, token counts and packing against the tokenizers library itself."""
 
+import os
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorekeep.llm import packing, token_counts, token_files
+from lorekeep.llm import packing, token_counts, token_files, tokens
 from lorekeep.llm.ship import ship
 from lorekeep.llm.tokens import encoded, tokenizer, tokenizer_path
 from lorekeep.sources.shared import new_table_path
@@ -86,6 +88,65 @@ def test_token_files_round_trip(spark):
     assert "tokens:array" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_token_files_split_equal_ids_and_follow_the_written_order(spark):
+    """Rows with one id, or none, are spread over tasks; starts do not hang on the names or number of files."""
+    path, place = tokenizer_path(FILES[0]), new_table_path(spark, "many-files")
+    texts = [f"text {i % 7} " * (i % 5) for i in range(600)]
+    rows = [(None if i < 400 else 5 if i < 500 else i, t) for i, t in enumerate(texts)]
+    ship(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_tokens(df, place, path, 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(place)
+    assert files.where("doc_id IS NULL").select("part").distinct().count() > 2
+    found = sorted(token_files.read_tokens(spark, place).collect(), key=lambda r: r.start)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    assert [r.doc_id or -1 for r in found] == sorted(r.doc_id or -1 for r in found)
+    got = sorted((r.doc_id or -1, tuple(r.tokens)) for r in found)
+    assert got == sorted((i or -1, tuple(library(t, path, 2))) for i, t in rows)
+
+
+def test_token_files_are_encoded_as_stated(spark, tmp_path):
+    """Dictionary pages for the ids, deltas for the numbers, and a page index."""
+    path, place = tokenizer_path(FILES[0]), str(tmp_path / "files")
+    token_files.write_tokens(documents(spark, ["some words of text " * 50] * 300).coalesce(1), place, path, 2)
+    names = [n for n in os.listdir(place) if n.endswith(".parquet")]
+    meta = pq.ParquetFile(f"{place}/{names[0]}").metadata
+    group = meta.row_group(0)
+    found = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    ids = next(c for n, c in found.items() if n.startswith("tokens"))
+    assert any("DICTIONARY" in e for e in ids.encodings) and ids.has_offset_index and ids.has_column_index
+    for name in ("doc_id", "n_tokens", "before_in_part"):
+        assert "DELTA_BINARY_PACKED" in found[name].encodings and found[name].has_column_index
+
+
+def test_a_store_of_pieces_stays_bounded(monkeypatch):
+    """Whatever is read, long pieces and ever new ones, only so many short pieces and their values are kept."""
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 500)
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 6000)
+    seen = []
+
+    def compute(pieces):
+        seen.append(len(pieces))
+        lengths = np.array([len(p) for p in pieces])
+        return np.concatenate([np.frombuffer(p, np.uint8) for p in pieces]).astype(np.uint32), lengths
+
+    store = tokens.PieceStore(compute)
+    for i in range(60):
+        pieces = [f"p{(i * 37 + k) % 900}".encode() for k in range(100)] + [f"{i}-{k}".encode() * 40 for k in range(50)]
+        flat, lengths, rows = store.values(pieces)
+        starts = np.cumsum(lengths) - lengths
+        assert all(bytes(flat[starts[r] : starts[r] + lengths[r]].astype(np.uint8)) == p for p, r in zip(pieces, rows))
+        assert len(store.slots) <= 500 and store.kept_bytes <= 6000
+        assert len(store.lengths) == len(store.slots) and len(store.flat) == store.lengths.sum() <= 6000
+    assert len(store.slots) > 100 and sum(seen) < 60 * 150
+
+
 def test_empty_tables(spark):
     none = documents(spark, []).limit(0)
     path = new_table_path(spark, "test-tokens")

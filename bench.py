@@ -8,7 +8,9 @@ import time
 
 from pyspark.sql import SparkSession
 
+from lorekeep.operators.index import update_index
 from lorekeep.plans.queries import QUERIES, corpus, library
+from lorekeep.sources.shared import new_table_path
 from lorekeep.sources.tables import Tables
 
 HEADLINES = [
@@ -45,6 +47,10 @@ def main() -> None:
 
     # Documents and index of the whole corpus, which the searches then read.
     timed("index_build", lambda: library(tables))
+    # One document of a hundred, as a segment of its own.
+    built = library(tables).index
+    changed = corpus(tables).filter("doc_id % 100 = 0").select("doc_id", "title", "content")
+    timed("index_update_1_percent", lambda: update_index(built, changed, new_table_path(spark, "bench-update")))
     for name in HEADLINES:
         timed(name, lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
     print(

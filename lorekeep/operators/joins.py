@@ -54,6 +54,11 @@ def broadcast_if_small(rows: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> Dat
     they are.  Derived rows should be ``written`` first, or measuring computes
     them twice.
     """
+    return F.broadcast(rows) if is_small(rows, limit) else rows
+
+
+def is_small(rows: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether rows have been measured to be few and short enough for a broadcast."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))) + F.lit(ROW_BYTES))
     n, total = rows.limit(MAX_BROADCAST_ROWS + 1).agg(F.count("*"), size).first()
-    return F.broadcast(rows) if n <= MAX_BROADCAST_ROWS and (total or 0) <= limit else rows
+    return n <= MAX_BROADCAST_ROWS and (total or 0) <= limit

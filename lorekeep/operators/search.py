@@ -10,12 +10,14 @@ other shards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import term_counts
 from lorekeep.operators.index import Index
-from lorekeep.operators.joins import broadcast_if_small, written
+from lorekeep.operators.joins import MAX_BROADCAST_BYTES, broadcast_if_small, is_small, written
 from lorekeep.operators.segments import all_of
 
 # Ranking constants of the reference behaviour.
@@ -37,7 +39,7 @@ def _any_of(tests: list[Column]) -> Column:
     return tests[0] if len(tests) == 1 else _any_of(tests[:half]) | _any_of(tests[half:])
 
 
-def term_ranges(terms: DataFrame, heavy: list[str]) -> list[tuple[str, str]]:
+def term_ranges(terms: DataFrame, heavy_terms: Callable[[], list[str]]) -> list[tuple[str, str]]:
     """Ranges of terms that hold all of the given ones, MAX_PUSHED_TERMS of them at most.
 
     Up to so many terms are a range each.  Of more, those between two heavy terms
@@ -48,6 +50,7 @@ def term_ranges(terms: DataFrame, heavy: list[str]) -> list[tuple[str, str]]:
     few = [row[0] for row in terms.limit(MAX_PUSHED_TERMS + 1).collect()]
     if len(few) <= MAX_PUSHED_TERMS:
         return [(term, term) for term in sorted(few)]
+    heavy = heavy_terms()
     asked = {r[0] for r in terms.filter(F.col("term").isin(heavy)).collect()} if heavy else set()
     holes = sorted([term for term in heavy if term not in asked][: MAX_PUSHED_TERMS - 1])
     before = F.size(F.filter(F.array(*[F.lit(h) for h in holes]), lambda h: h < F.col("term"))) if holes else F.lit(0)
@@ -74,15 +77,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return term_counts(texts, QUERY).withColumnRenamed("tf", "qtf")
 
 
-def weighted_terms(terms: DataFrame, index: Index) -> DataFrame:
-    """Query terms known to the index, with weight and length norm of BM25."""
+def weighted_terms(terms: DataFrame, index: Index) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Query terms known to the index, with weight and length norm of BM25, and the ranges they lie in.
+
+    The rows are marked for a broadcast if the terms asked for are measured to be few.
+    """
     asked = written(terms)
-    ranges = term_ranges(asked, index.heavy)
+    ranges = term_ranges(asked, lambda: index.heavy)
+    marked = F.broadcast if is_small(asked, MAX_BROADCAST_BYTES // 2) else lambda rows: rows
     # Two rows, one for each field.
     fields = F.broadcast(index.fields.select("field", "n_docs", "avgdl"))
-    known = broadcast_if_small(asked).join(index.term_rows(lambda rows: _within(rows, ranges)), ["field", "term"]).join(fields, "field")
+    known = marked(asked).join(index.term_rows(lambda rows: _within(rows, ranges)), ["field", "term"]).join(fields, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return written(known.select(QUERY, "field", "term", (F.col("qtf") * idf).alias("weight"), "avgdl"))
+    return marked(written(known.select(QUERY, "field", "term", (F.col("qtf") * idf).alias("weight"), "avgdl"))), ranges
 
 
 def contributions(queries: DataFrame, index: Index) -> list[DataFrame]:
@@ -91,9 +98,7 @@ def contributions(queries: DataFrame, index: Index) -> list[DataFrame]:
     Rows stay in the bucket of their shard when the terms are few enough to be
     broadcast; beyond that the join is Spark's to shuffle and to split.
     """
-    weighted = weighted_terms(query_terms(queries), index)
-    ranges = term_ranges(weighted, index.heavy)
-    wanted = broadcast_if_small(weighted)
+    wanted, ranges = weighted_terms(query_terms(queries), index)
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return [

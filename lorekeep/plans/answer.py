@@ -31,12 +31,13 @@ class Chat:
         return access.decide(events, self.rules, self.users, self.channels, self.members, self.bot)
 
 
-def find(queries: DataFrame, library: Library, base: str) -> DataFrame:
-    """Result rows of queries (query_id, text, page), the page cumulative."""
+def find(queries: DataFrame, library: Library, base: str, highlighted: bool = False) -> DataFrame:
+    """Result rows of queries (query_id, text, page), the page cumulative; on request with their ``highlight``."""
     runnable = queries.filter(can_be_run(F.col("text"), F.col("page")))
     page = search(runnable, library.index, 0, shown_rows(F.col("page")))
     url = document_url(base, F.col("file_name"))
-    return search_results(page, library.documents, library.index.key, url)
+    found = search_results(page, library.documents, library.index.key, url)
+    return with_highlights(written(found), runnable, library) if highlighted else found
 
 
 def with_highlights(results: DataFrame, queries: DataFrame, library: Library, passages: int | None = FRAGMENTS) -> DataFrame:
@@ -47,7 +48,7 @@ def with_highlights(results: DataFrame, queries: DataFrame, library: Library, pa
     return results.join(highlights(page, found, key), [QUERY, key], "left")
 
 
-def find_shared(queries: DataFrame, library: Library, base: str) -> DataFrame:
+def find_shared(queries: DataFrame, library: Library, base: str, highlighted: bool = False) -> DataFrame:
     """The same, ranking each distinct text once for all who ask for it.
 
     A text is ranked down to the last row anyone wants of it; a text asked for
@@ -59,7 +60,7 @@ def find_shared(queries: DataFrame, library: Library, base: str) -> DataFrame:
     distinct = runnable.groupBy(digest).agg(F.first("text").alias("text"), F.max("page").alias("page"))
     # The ids are fixed by being written before anything reads them.
     texts = written(distinct.withColumn(QUERY, F.monotonically_increasing_id()))
-    found = written(find(texts, library, base)).withColumnRenamed(QUERY, "text_id")
+    found = written(find(texts, library, base, highlighted)).withColumnRenamed(QUERY, "text_id")
     named = broadcast_if_small(texts.select("digest", F.col(QUERY).alias("text_id")))
     asked = runnable.select(QUERY, digest, "page").join(named, "digest")
     return asked.join(broadcast_if_small(found), "text_id").filter(F.col("rank") <= shown_rows(F.col("page"))).drop(
@@ -75,10 +76,13 @@ class Answers:
     rows: DataFrame
 
 
-def answer_queries(queries: DataFrame, library: Library, base: str) -> Answers:
-    """Replies to queries (query_id, text, page, user_id)."""
-    found = written(find_shared(queries, library, base))
-    return Answers(replies(queries, found, base), result_rows(found))
+def answer_queries(queries: DataFrame, library: Library, base: str, highlighted: bool = False) -> Answers:
+    """Replies to queries (query_id, text, page, user_id); on request, result rows carry their ``highlight``."""
+    found = written(find_shared(queries, library, base, highlighted))
+    rows = result_rows(found)
+    if highlighted:
+        rows = rows.join(found.select(QUERY, "rank", "highlight"), [QUERY, "rank"])
+    return Answers(replies(queries, found, base), rows)
 
 
 def answer_events(events: DataFrame, chat: Chat | Directory, library: Library, base: str) -> Answers:

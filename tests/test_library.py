@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.plans import build, versions
+from lorekeep.plans.answer import answer_queries
 from lorekeep.plans.build import apply_drop, build_library, clear_library, current_version, documents_of, open_library, update_library
 from lorekeep.sources.files import read_document_files
 from lorekeep.streaming.library import DROP_SCHEMA, read_drops, start_ingest
@@ -177,6 +178,17 @@ def test_old_commits_are_not_read_again(spark, tmp_path):
     assert narrowed.count() == 0
 
 
+def test_answers_carry_their_highlights_on_request(spark, tmp_path):
+    texts = {"a-b.md": "the quick dogs run", "c.md": "no animals here"}
+    commits = spark.createDataFrame([commit(p, i) for i, p in enumerate(texts)], COMMITS)
+    library = build_library(files_of(spark, texts), commits, str(tmp_path / "lib"), buckets=2)
+    queries = spark.createDataFrame([(1, "dog", 0, None), (2, "c", 0, None)], "query_id long, text string, page int, user_id string")
+    answers = answer_queries(queries, library, "http://h/w/", highlighted=True)
+    got = {r.query_id: (r.title, r.highlight) for r in answers.rows.collect()}
+    assert got == {1: ("a b", "the quick *dogs* run\n"), 2: ("c", None)}
+    assert "highlight" not in answer_queries(queries, library, "http://h/w/").rows.columns
+
+
 def test_the_reason_of_a_file_reaches_the_rejects(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"\xff\xfe")
     (tmp_path / "b.md").write_text("fine")

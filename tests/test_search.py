@@ -104,6 +104,7 @@ def test_many_terms_and_large_batches_take_the_other_paths(index, queries, monke
     want = pages(search.search(queries, index))
     monkeypatch.setattr(search, "MAX_PUSHED_TERMS", 0)
     monkeypatch.setattr(search, "broadcast_if_small", lambda rows: rows)
+    monkeypatch.setattr(search, "is_small", lambda rows, limit: False)
     assert pages(search.search(queries, index)) == want
 
 
@@ -138,7 +139,7 @@ def test_rows_read_follow_the_terms_asked_for(spark, tmp_path, monkeypatch):
     read = []
     for n in (5, 50, 500):
         terms = spark.range(n).select(F.lpad((F.col("id") * (400_000 // n)).cast("string"), 8, "0").alias("term"))
-        narrowed = search._within(spark.read.parquet(path), search.term_ranges(terms, []))
+        narrowed = search._within(spark.read.parquet(path), search.term_ranges(terms, list))
         assert narrowed.count() == n
         plan = narrowed._jdf.queryExecution().executedPlan()
         plan.execute().count()
@@ -156,7 +157,7 @@ def test_rows_read_of_very_many_terms_leave_out_the_heavy_ones(spark, tmp_path):
     rows.coalesce(1).write.option("parquet.block.size", 64 << 10).option("parquet.page.row.count.limit", 500).parquet(path)
     for n in (50, 500, 5000):
         terms = words.filter(F.col("term").cast("int") % (60_000 // n) == 7).select("term")
-        ranges = search.term_ranges(terms, heavy)
+        ranges = search.term_ranges(terms, lambda: heavy)
         assert len(ranges) <= search.MAX_PUSHED_TERMS
         narrowed = search._within(spark.read.parquet(path), ranges)
         assert narrowed.join(terms, "term").count() == n
@@ -166,7 +167,7 @@ def test_rows_read_of_very_many_terms_leave_out_the_heavy_ones(spark, tmp_path):
     assert read[0] < read[1] < read[2] < 0.5 * 260_000
     # A heavy term that is asked for is read.
     asked = words.select("term").unionByName(spark.createDataFrame([(heavy[3],)], "term string"))
-    ranges = search.term_ranges(asked.filter(~F.col("term").isin([*heavy[:3], *heavy[4:]])), heavy)
+    ranges = search.term_ranges(asked.filter(~F.col("term").isin([*heavy[:3], *heavy[4:]])), lambda: heavy)
     assert any(low <= heavy[3] <= high for low, high in ranges) and not any(low <= heavy[2] <= high for low, high in ranges)
 
 

@@ -26,7 +26,7 @@ from lorekeep.llm.tables import stored
 #: Tables, hashes in a bucket, and buckets of a vector in each table beside its own.
 #: A pair at the threshold shares no bucket with a chance of well below 1e-6, at 64
 #: and at 768 dimensions (see the tests for the measured chance in one table).
-TABLES, HASHES, PROBES = 12, 3, 3
+TABLES, HASHES, PROBES = 10, 3, 3
 #: Rounds of signs and transforms in one rotation.
 ROUNDS = 3
 SEED = 20

@@ -141,31 +141,27 @@ def totals(queries: DataFrame, index: Index) -> DataFrame:
 def top_hits(parts: list[DataFrame], key: str, upto: Column) -> DataFrame:
     """Number the hits of each query by score and keep ranks to ``upto``; adds the number of all hits.
 
-    Each shard of each segment is sorted in place and read once: one row per
-    query and shard has the number of its hits and the best of them.  Only these
-    rows are written and ranked further, in groups of shards and then against
-    each other, so postings are read and scored one time.
+    Each shard of each segment is read and sorted once, in place: its best hits
+    of a query are kept with the number of all of them, which holds no more rows
+    together than a shard has documents.  Only what is kept is written and ranked
+    further, in groups of shards and then against each other, so postings are
+    read and scored one time.
     """
     order = [F.desc("score"), F.asc(key)]
 
-    def first(rows: DataFrame, *by: str) -> DataFrame:
-        ranks = F.row_number().over(Window.partitionBy(QUERY, *by).orderBy(*order))
-        return rows.withColumn("rank", ranks).filter(F.col("rank") <= F.col("upto"))
+    def ranks(*by: str) -> Column:
+        return F.row_number().over(Window.partitionBy(QUERY, *by).orderBy(*order))
 
     def best_of(hits: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(QUERY, "shard").orderBy(*order))
-        placed = hits.withColumn("upto", upto.cast("int")).withColumn("place", place)
-        kept = F.when(F.col("place") <= F.col("upto"), F.struct("score", key))
-        return placed.groupBy(QUERY, "shard").agg(
-            F.count("*").alias("n"), F.max("upto").alias("upto"), F.collect_list(kept).alias("best")
-        )
+        counted = F.count("*").over(Window.partitionBy(QUERY, "shard"))
+        placed = hits.withColumns({"upto": upto.cast("int"), "place": ranks("shard")}).withColumn("n", counted)
+        return placed.filter(F.col("place") <= F.greatest("upto", F.lit(1))).select(QUERY, "shard", key, "score", "upto", "place", "n")
 
     shards = written(all_of([best_of(hits) for hits in parts]))
-    totals = shards.groupBy(QUERY).agg(F.sum("n").alias("total"))
-    rows = shards.select(QUERY, "shard", "upto", F.explode("best").alias("b")).select(QUERY, "shard", "upto", "b.score", f"b.{key}")
-    grouped = rows.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(SHARD_GROUPS)))
-    best = first(first(grouped, "group"))
-    return best.join(totals, QUERY).withColumn("rank", F.col("rank").cast("long")).drop("shard", "group", "upto")
+    totals = shards.filter("place = 1").groupBy(QUERY).agg(F.sum("n").alias("total"))
+    grouped = shards.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(SHARD_GROUPS)))
+    best = grouped.withColumn("rank", ranks("group")).filter("rank <= upto").withColumn("rank", ranks()).filter("rank <= upto")
+    return best.join(totals, QUERY).select(QUERY, F.col("rank").cast("long").alias("rank"), key, "score", "total")
 
 
 def search(queries: DataFrame, index: Index, start: int | Column = 0, size: int | Column = PAGE_SIZE) -> DataFrame:

@@ -62,10 +62,10 @@ def test_sharding(spark, seed):
     assert largest <= sum(ordered) / 4 + max(ordered)
 
 
-@pytest.mark.parametrize("sizes", [
-    [10] * 200 + [1000], [1000] + [10] * 200, [10] * 100 + [1000] + [10] * 100, [5] * 6, [6, 6, 6, 10], [1, 10, 8, 8], [7], [3, 900, 3, 500, 3, 3],
+@pytest.mark.parametrize(("sizes", "shards"), [
+    ([10] * 200 + [1000], 8), ([10] * 100 + [1000] + [10] * 100, 8), ([1000] + [10] * 200, 4), ([5] * 6, 4), ([1, 10, 8, 8], 4),
+    ([3, 900, 3, 500, 3, 3], 8), ([6, 6, 6, 10], 3),
 ])
-@pytest.mark.parametrize("shards", [4, 8])
 def test_large_groups_leave_the_rest_to_the_other_shards(spark, sizes, shards):
     """Near equal, at most the smallest capacity, and none empty while there are groups."""
     ends = list(itertools.accumulate(sizes))

@@ -21,7 +21,7 @@ from lorekeep.operators.ingest import (
     split_rejects,
     stem,
 )
-from lorekeep.operators.joins import broadcast_if_small, written
+from lorekeep.operators.joins import broadcast_if_small, scratch, written
 from lorekeep.operators.metadata import decode_metadata, last_change
 from lorekeep.operators.segments import Segment, all_of, live, to_be_merged, write_gone
 from lorekeep.plans import versions
@@ -82,9 +82,10 @@ def write_documents(documents: DataFrame, path: str) -> DataFrame:
 
 def build_library(files: DataFrame, commits: DataFrame, path: str, buckets: int | None = None) -> Library:
     """The whole batch job: files with path, text and html; commits by path."""
-    accepted, _ = documents_of(files, commits)
-    documents = write_documents(accepted, f"{path}/documents")
-    return Library(build_index(documents, f"{path}/index", "id", buckets=buckets), documents)
+    with scratch(files.sparkSession):
+        accepted, _ = documents_of(files, commits)
+        documents = write_documents(accepted, f"{path}/documents")
+        return Library(build_index(documents, f"{path}/index", "id", buckets=buckets), documents)
 
 
 # ------------------------------------------------------- keeping a library current
@@ -198,10 +199,13 @@ def _extend(
         # Claimed by number: a version that was published meanwhile has it.
         if (versions.current(spark, path) or versions.Version(0, {})).number != (state.version.number if state else 0):
             raise versions.Taken(number)
-        state = _open(spark, versions.publish(spark, path, number, content))
+        published = versions.publish(spark, path, number, content)
     except versions.Taken:
         versions.delete(spark, folder)
         raise
+    # The session's names of the tables so far; the new version has its own.
+    close_index(index)
+    state = _open(spark, published)
     return Library(state.index, state.documents)
 
 
@@ -225,11 +229,15 @@ def _base(spark: SparkSession, folder: str, rows: int) -> dict:
     return {name: [part.as_list()] for name, part in parts.items()} | {"folders": [folder]}
 
 
-def _again(work: Callable[[], Library]) -> Library:
-    """Do the work on the current version, and again on the next one whenever another writer was first."""
+def _again(spark: SparkSession, work: Callable[[], Library]) -> Library:
+    """Do the work on the current version, and again on the next one whenever another writer was first.
+
+    What is written on the way is deleted; the library's own tables are not among it.
+    """
     for _ in range(ATTEMPTS):
         try:
-            return work()
+            with scratch(spark):
+                return work()
         except versions.Taken:
             continue
     raise RuntimeError(f"{ATTEMPTS} times another writer published first")
@@ -248,7 +256,7 @@ def update_library(files: DataFrame, commits: DataFrame, path: str, buckets: int
     published if nothing changed.  Files without text or complete metadata are
     looked at again each time.
     """
-    return _again(lambda: _update(files, commits, path, buckets))
+    return _again(files.sparkSession, lambda: _update(files, commits, path, buckets))
 
 
 def _update(files: DataFrame, commits: DataFrame, path: str, buckets: int | None) -> Library:
@@ -269,7 +277,8 @@ def _update(files: DataFrame, commits: DataFrame, path: str, buckets: int | None
     known = spark.createDataFrame([], MANIFEST) if state is None else state.manifest
     beside = known.select("path", "body", F.col("length").alias("was_length"), F.col("modified").alias("was_modified"))
     same = F.col("body").isNotNull() & (F.col("length") == F.col("was_length")) & (F.col("modified") == F.col("was_modified"))
-    suspects = written(listed.join(beside, "path", "left").filter(~F.coalesce(same, F.lit(False))).select("path", "body", *(c for c in ("length", "modified"))))
+    differ = listed.join(beside, "path", "left").filter(~F.coalesce(same, F.lit(False)))
+    suspects = written(differ.select("path", "body", "length", "modified"))
     texts = sources.select("path", "text", "html", *(["modificationTime"] if timed else []))
     if timed:
         # Reaches the listing of files: older ones are not opened.
@@ -288,11 +297,13 @@ def _update(files: DataFrame, commits: DataFrame, path: str, buckets: int | None
     gone = known.select("path").join(gone, "path", "left").filter(F.col("there").isNull()).select("path")
     # Files that are no longer text are no documents either.
     unreadable = suspects.filter(F.col("body").isNotNull()).select("path").join(read.select("path"), "path", "left_anti")
+    replaced = new.filter(F.col("body").isNotNull()).select("path")
     if state is not None:
-        # Documents whose latest change is new, with the text they have.
+        # Documents whose latest change is new, with the text they have; if that change is incomplete, they go.
         renewed = known.select("path").join(broadcast_if_small(changes.select("path")), "path", "left_semi")
         renewed = renewed.join(new.select("path"), "path", "left_anti").join(gone.unionByName(unreadable), "path", "left_anti")
         renewed = written(renewed)
+        replaced = replaced.unionByName(renewed)
         held = state.documents.select(F.col("file_name").alias("path"), F.col("content").alias("text"), "html")
         held = held.join(broadcast_if_small(renewed), "path", "left_semi")
         fresh = fresh.unionByName(assemble_documents(held, _metadata_of(state, changes, renewed)))
@@ -305,7 +316,7 @@ def _update(files: DataFrame, commits: DataFrame, path: str, buckets: int | None
         )
     entries = entries.select("path", document_id(F.col("path")).alias("id"), "body", "length", "modified")
     accepted = fresh.select(F.col("file_name").alias("path"))
-    leaving = written(gone.unionByName(unreadable).unionByName(accepted).unionByName(new.filter(F.col("body").isNotNull()).select("path")).distinct())
+    leaving = written(all_of([gone, unreadable, accepted, replaced]).distinct())
     if state is not None and leaving.isEmpty() and changes.isEmpty() and touched.isEmpty():
         return Library(state.index, state.documents)
     # A document that stays as it is may get a new entry.
@@ -329,7 +340,7 @@ def apply_drop(
     other kinds, or without path, change nothing.  Running a batch again
     publishes nothing.
     """
-    return _again(lambda: _apply(drop, path, stream, batch_id, buckets))
+    return _again(drop.sparkSession, lambda: _apply(drop, path, stream, batch_id, buckets))
 
 
 def _apply(drop: DataFrame, path: str, stream: str, batch_id: int, buckets: int | None) -> Library:
@@ -396,4 +407,4 @@ def clear_library(spark: SparkSession, path: str) -> Library:
             raise
         return Library(cleared.index, cleared.documents)
 
-    return _again(work)
+    return _again(spark, work)

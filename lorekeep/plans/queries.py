@@ -272,7 +272,7 @@ def _(t):
         columns = [f.split()[0] for f in DROP_SCHEMA.split(", ")]
         kinds = dict(f.split() for f in DROP_SCHEMA.split(", "))
         rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
-        rows.coalesce(1).write.mode("append").parquet(f"{place}/drops")
+        rows.write.mode("append").parquet(f"{place}/drops")
         for _ in range(1 + (name == "last")):
             start_ingest(read_drops(t.spark, f"{place}/drops"), f"{place}/library", "drops", f"{place}/state").awaitTermination()
 
@@ -340,14 +340,21 @@ def _(t):
     return with_stem(analysis.word_counts(t["documents"], "text"), "token", "term").select("token", "term")
 
 
+def corpus_terms(t: Tables) -> DataFrame:
+    """Terms of every document, counted in tasks of a bounded share of the text."""
+    rows, size = t["wiki_files"].agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    tasks = index.bucket_count(rows, t.spark.sparkContext.defaultParallelism, size or 0)
+    return analysis.term_counts(corpus(t), "doc_id", partitions=tasks)
+
+
 @query("analyze_content")
 def _(t):
-    return analysis.term_counts(corpus(t), "doc_id").filter("field = 'content'").select("doc_id", "term", "tf")
+    return corpus_terms(t).filter("field = 'content'").select("doc_id", "term", "tf")
 
 
 @query("analyze_title")
 def _(t):
-    return analysis.term_counts(corpus(t), "doc_id").filter("field = 'title'").select("doc_id", "term", "tf")
+    return corpus_terms(t).filter("field = 'title'").select("doc_id", "term", "tf")
 
 
 # ----------------------------------------------------------------------- index

@@ -1,5 +1,6 @@
 """What a task, a scan and a scratch table hold must not grow beyond their bounds."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import search
@@ -24,7 +25,7 @@ def test_postings_meet_few_tests_however_many_terms_are_asked_for(spark, tmp_pat
     index = build_index(corpus(spark, 60, 200), str(tmp_path / "ix"), "doc_id", buckets=2)
     text = " ".join(f"word{i}" for i in range(400))
     queries = spark.createDataFrame([(1, text), (2, "page 7")], "query_id long, text string")
-    _, ranges = search.weighted_terms(search.query_terms(queries), index)
+    _, ranges, _ = search.weighted_terms(search.query_terms(queries), index)
     assert len(ranges) <= search.SCANNED_RANGES
     got = {(r.query_id, r.doc_id) for r in search.ranked(queries, index).collect()}
     held = index.postings.filter("field = 'content'").select("doc_id", "term")
@@ -38,6 +39,28 @@ def test_terms_that_the_index_lacks_do_not_count_for_the_broadcast(spark, tmp_pa
     unknown = spark.range(2000).selectExpr("id + 10 AS query_id", "concat('unheard', id) AS text")
     queries = unknown.union(spark.createDataFrame([(1, "word5 word6")], "query_id long, text string"))
     monkeypatch.setattr("lorekeep.operators.joins.MAX_BROADCAST_ROWS", 1000)
-    wanted, _ = search.weighted_terms(search.query_terms(queries), index)
+    wanted, _, _ = search.weighted_terms(search.query_terms(queries), index)
     assert "strategy=broadcast" in wanted._jdf.queryExecution().analyzed().toString()
     assert {r.query_id for r in search.totals(queries, index).collect()} == {1}
+
+
+def test_a_large_batch_in_arrays_ranks_as_rows_do(spark, tmp_path, monkeypatch):
+    docs = corpus(spark, 120, 30).withColumn("doc_id", F.col("doc_id").cast("string"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "word3 page", "word4 word5")], "doc_id string, title string, content string"))
+    index = build_index(docs, str(tmp_path / "ix"), "doc_id", buckets=2)
+    rows = [(i, f"word{i} word{i * 7 % 3000} page {i % 120} word{i}") for i in range(1, 90)]
+    rows += [(500, "page"), (500, "page"), (None, "word3"), (600, None), (601, "unheard")]
+    queries = spark.createDataFrame(rows, "query_id long, text string")
+
+    def found(*page):
+        return sorted(map(tuple, search.search(queries, index, *page).collect()), key=str)
+
+    for page in [(2, 4), (F.coalesce(F.col("query_id") % 3, F.lit(0)), F.lit(6))]:
+        want = found(*page)
+        with monkeypatch.context() as few:
+            few.setattr(search, "MAX_JOINED_POSTINGS", 0)
+            few.setattr("lorekeep.operators.dense.MAX_BROADCAST_BYTES", 9_000)
+            got = found(*page)
+        assert len(got) == len(want) > 100
+        for r, w in zip(got, want, strict=True):
+            assert r[:3] + r[4:] == w[:3] + w[4:] and r[3] == pytest.approx(w[3], abs=2e-6)

@@ -82,7 +82,8 @@ def read_tokens(spark: SparkSession, path: str, with_tokens: bool = True) -> Dat
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_start"))
-    rows = files.join(F.broadcast(starts), "part")
+    # Every part has a start; the left join adds no test of its own to what reaches the files.
+    rows = files.join(F.broadcast(starts), "part", "left")
     columns = ["doc_id", (F.col("_start") + F.col("before_in_part")).alias("start"), "n_tokens"]
     return rows.select(*columns, *(["tokens"] if with_tokens else []))
 

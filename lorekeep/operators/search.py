@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.analysis import term_counts
 from lorekeep.operators.dense import best_hits
-from lorekeep.operators.index import Index
+from lorekeep.operators.index import Index, bucket_count
 from lorekeep.operators.joins import MAX_BROADCAST_BYTES, broadcast_if_small, is_small, written
 from lorekeep.operators.segments import all_of
 
@@ -81,23 +81,33 @@ def _within(table: DataFrame, ranges: list[tuple[str, str]]) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """Terms of each query text per field, with how often they are asked for."""
+    """Terms of each query text per field, with how often they are asked for.
+
+    They are counted in tasks of a bounded share of the queries, however many there are.
+    """
     texts = queries.select(QUERY, F.col("text").alias("title"), F.col("text").alias("content"))
-    return term_counts(texts, QUERY).withColumnRenamed("tf", "qtf")
+    rows, size = texts.agg(F.count("*"), F.sum(F.octet_length("content"))).first()
+    tasks = bucket_count(rows, queries.sparkSession.sparkContext.defaultParallelism, size or 0)
+    return term_counts(texts, QUERY, partitions=tasks).withColumnRenamed("tf", "qtf")
 
 
 def weighted_terms(terms: DataFrame, index: Index) -> tuple[DataFrame, list[tuple[str, str]], int]:
     """Query terms known to the index, with weight and length norm of BM25, the ranges they lie in, and the postings they meet.
 
     The rows are marked for a broadcast if those that are known are measured to be few,
-    however many are asked for.
+    however many are asked for.  Of very many, each term meets the statistics once, so
+    one that nearly every query asks for is not gathered in one task.
     """
     asked = written(terms)
     ranges = term_ranges(asked, lambda: index.heavy, SCANNED_RANGES)
-    marked = F.broadcast if is_small(asked, MAX_BROADCAST_BYTES // 2) else lambda rows: rows
+    statistics = index.term_rows(lambda rows: _within(rows, ranges))
+    if is_small(asked, MAX_BROADCAST_BYTES // 2):
+        known = F.broadcast(asked).join(statistics, ["field", "term"])
+    else:
+        found = written(asked.select("field", "term").distinct().join(statistics, ["field", "term"]))
+        known = asked.join(broadcast_if_small(found), ["field", "term"])
     # Two rows, one for each field.
-    fields = F.broadcast(index.fields.select("field", "n_docs", "avgdl"))
-    known = marked(asked).join(index.term_rows(lambda rows: _within(rows, ranges)), ["field", "term"]).join(fields, "field")
+    known = known.join(F.broadcast(index.fields.select("field", "n_docs", "avgdl")), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = written(known.select(QUERY, "field", "term", (F.col("qtf") * idf).alias("weight"), "avgdl", "df"))
     met = known.agg(F.sum("df")).first()[0] or 0

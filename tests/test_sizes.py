@@ -44,6 +44,13 @@ def test_terms_that_the_index_lacks_do_not_count_for_the_broadcast(spark, tmp_pa
     assert {r.query_id for r in search.totals(queries, index).collect()} == {1}
 
 
+def test_many_queries_are_analysed_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr("lorekeep.operators.index.DOCUMENTS_PER_BUCKET", 50)
+    queries = spark.range(1000).selectExpr("id AS query_id", "concat('customer ', id) AS text")
+    tasks = search.query_terms(queries).groupBy(F.spark_partition_id()).agg(F.countDistinct("query_id").alias("n")).collect()
+    assert sum(r.n for r in tasks) == 1000 and len(tasks) > 15
+
+
 def test_a_large_batch_in_arrays_ranks_as_rows_do(spark, tmp_path, monkeypatch):
     docs = corpus(spark, 120, 30).withColumn("doc_id", F.col("doc_id").cast("string"))
     docs = docs.unionByName(spark.createDataFrame([(None, "word3 page", "word4 word5")], "doc_id string, title string, content string"))

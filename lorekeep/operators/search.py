@@ -208,7 +208,9 @@ def search(queries: DataFrame, index: Index, start: int | Column = 0, size: int
         few, upto, first = None, F.lit(start + size), F.lit(start)
     else:
         start, size = (F.lit(n) if isinstance(n, int) else n for n in (start, size))
-        bounds = written(queries.select(QUERY, start.alias("page_start"), (start + size).alias("page_end")))
+        # Only queries with a known term have hits, however many are asked.
+        bounds = queries.select(QUERY, start.alias("page_start"), (start + size).alias("page_end"))
+        bounds = written(bounds.join(wanted.select(QUERY), QUERY, "left_semi"))
         few, upto, first = broadcast_if_small(bounds), F.col("page_end"), F.col("page_start")
     if met > MAX_JOINED_POSTINGS:
         hits = _ranked_of_shards(_best_in_arrays(wanted, ranges, index, few, upto), index.key)

@@ -51,6 +51,24 @@ def test_many_queries_are_analysed_in_bounded_tasks(spark, monkeypatch):
     assert sum(r.n for r in tasks) == 1000 and len(tasks) > 15
 
 
+def test_many_unknown_queries_leave_few_rows_to_be_joined(spark, tmp_path, monkeypatch):
+    """A term that all ask for meets the statistics once; only queries with a known term have a page."""
+    index = build_index(corpus(spark, 60, 50), str(tmp_path / "ix"), "doc_id", buckets=2)
+    unknown = spark.range(2000).selectExpr("id + 10 AS query_id", "concat('customer unheard', id) AS text")
+    queries = unknown.union(spark.createDataFrame([(1, "word5 word6"), (None, "word5")], "query_id long, text string"))
+    want = sorted(map(tuple, search.search(queries.filter("query_id = 1"), index, F.lit(0), F.lit(7)).collect()))
+    monkeypatch.setattr("lorekeep.operators.joins.MAX_BROADCAST_ROWS", 1000)
+    joined, broadcast = {}, search.broadcast_if_small
+
+    def counted(rows):
+        joined["page" if "page_end" in rows.columns else "weight" if "weight" in rows.columns else "df"] = rows.count()
+        return broadcast(rows)
+
+    monkeypatch.setattr(search, "broadcast_if_small", counted)
+    assert sorted(map(tuple, search.search(queries, index, F.lit(0), F.lit(7)).collect())) == want and len(want) > 1
+    assert joined == {"df": 2, "weight": 3, "page": 1}
+
+
 def test_a_large_batch_in_arrays_ranks_as_rows_do(spark, tmp_path, monkeypatch):
     docs = corpus(spark, 120, 30).withColumn("doc_id", F.col("doc_id").cast("string"))
     docs = docs.unionByName(spark.createDataFrame([(None, "word3 page", "word4 word5")], "doc_id string, title string, content string"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import centroids, prefix_trie, string_sort, suffix_dedup
 from lorekeep.llm.ship import ship
+from lorekeep.sources.shared import shared_folder
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -156,6 +158,16 @@ def test_repeats_of_nothing(spark):
     assert suffix_dedup.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_repeats_leave_no_anchors_and_runs_on_disk(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "lorekeep"
+    before = set(folder.glob("*"))
+    rows = [(i, f"{i} " * 30 + "one passage that all texts have in common " * 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.digests(docs, 60, 20).collect())) == plain_removal(rows, 60)
+    kinds = {path.name.rsplit("-", 1)[0] for path in set(folder.glob("*")) - before}
+    assert "repeat-hits" in kinds and kinds.isdisjoint({"repeat-anchors", "string-runs", "passing"})
+
+
 def test_merge_gives_order_and_prefixes_without_comparing_them():
     rnd = random.Random(5)
     strings = [(bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(30))), (i, 0)) for i in range(500)]

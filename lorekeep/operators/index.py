@@ -29,9 +29,10 @@ additions are many or large beside the base, they are merged into a new base.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,9 +182,13 @@ def build_index(
     return _write_base(spark, _analysed(documents, key, title, content, buckets), path, key, buckets)
 
 
-def _write_base(spark: SparkSession, postings: DataFrame, path: str, key: str, buckets: int) -> Index:
+def _write_base(
+    spark: SparkSession, postings: DataFrame, path: str, key: str, buckets: int,
+    reading: contextlib.AbstractContextManager | None = None,
+) -> Index:
     table = _new_table_name()
-    _write_postings(postings, table, path, buckets)
+    with reading or contextlib.nullcontext():
+        _write_postings(postings, table, path, buckets)
     written_ = spark.table(table)
     rows = _write_statistics(term_statistics(written_), field_statistics(written_), path)
     none = spark.createDataFrame([], f"`{key}` {dict(written_.dtypes)[key]}")
@@ -241,9 +246,25 @@ def _of_keys(index: Index, keys: DataFrame) -> DataFrame:
     return postings.join(broadcast_if_small(keys), index.key, "left_semi")
 
 
+@contextlib.contextmanager
+def _read_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Tables are read bucket by bucket even where no aggregate or join asks for it."""
+    setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def merge_segments(index: Index, path: str) -> Index:
-    """The index with all its segments as one new base at ``path``; nothing is analysed."""
-    return _write_base(index.spark, index.postings, path, index.key, index.buckets)
+    """The index with all its segments as one new base at ``path``; nothing is analysed.
+
+    A task reads, sorts and writes one bucket, as in a build, so what it holds
+    follows the bucket and not the share of all postings that a scan would give it.
+    """
+    return _write_base(index.spark, index.postings, path, index.key, index.buckets, _read_by_bucket(index.spark))
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

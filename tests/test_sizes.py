@@ -1,10 +1,13 @@
 """What a task, a scan and a scratch table hold must not grow beyond their bounds."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import search
-from lorekeep.operators.index import BYTES_PER_BUCKET, bucket_count, build_index
+from lorekeep.operators.index import BYTES_PER_BUCKET, bucket_count, build_index, merge_segments, update_index
 
 
 def corpus(spark, n, words):
@@ -21,6 +24,23 @@ def test_buckets_follow_the_bytes_of_the_texts(spark, tmp_path, monkeypatch):
     assert build_index(corpus(spark, 100, 100), str(tmp_path / "ix"), "doc_id").buckets > 10
 
 
+def test_segments_are_merged_bucket_by_bucket(spark, tmp_path):
+    """No task of a merge sorts more than a bucket, however many of them a scan would read together."""
+    index = build_index(corpus(spark, 300, 20), str(tmp_path / "ix"), "doc_id", buckets=40)
+    changed = corpus(spark, 100, 5).withColumn("content", F.concat("content", F.lit(" revised")))
+    now = update_index(index, changed, str(tmp_path / "up"))
+    merged = merge_segments(now, str(tmp_path / "merged"))
+    buckets = {}
+    for name in os.listdir(tmp_path / "merged" / "postings"):
+        if name.endswith(".parquet"):
+            task, bucket = re.match(r"part-(\d+)-.*_(\d+)\.", name).groups()
+            buckets.setdefault(task, set()).add(bucket)
+    assert len(set().union(*buckets.values())) > 30 and all(len(b) == 1 for b in buckets.values())
+    columns = sorted(now.postings.columns)
+    assert sorted(merged.postings.select(columns).collect()) == sorted(now.postings.select(columns).collect())
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+
+
 def test_postings_meet_few_tests_however_many_terms_are_asked_for(spark, tmp_path):
     index = build_index(corpus(spark, 60, 200), str(tmp_path / "ix"), "doc_id", buckets=2)
     text = " ".join(f"word{i}" for i in range(400))

@@ -136,13 +136,28 @@ def _new_table_name() -> str:
     return f"lorekeep_postings_{uuid.uuid4().hex}"
 
 
-def _write_postings(postings: DataFrame, table: str, path: str, buckets: int) -> None:
-    (
-        postings.write.mode("overwrite")
-        .bucketBy(buckets, "shard").sortBy("term")
-        .option("path", f"{path}/postings").format("parquet")
-        .saveAsTable(table)
-    )
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _write_postings(postings: DataFrame, table: str, path: str, buckets: int, placed: bool = False) -> None:
+    """Write postings by bucket, in the order of their terms.
+
+    Those that are ``placed`` come with one bucket a task, which is sorted by term
+    alone.  For others the writer sorts by bucket and term, and works out the
+    buckets of two rows each time that it compares them.
+    """
+    writer = (postings.sortWithinPartitions("term") if placed else postings).write.mode("overwrite").bucketBy(buckets, "shard")
+    writer = (writer if placed else writer.sortBy("term")).option("path", f"{path}/postings").format("parquet")
+    # With a writer for each bucket, of which a task has one, rows are taken in the order they are in.
+    with _setting(postings.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "1" if placed else "0"):
+        writer.saveAsTable(table)
 
 
 def _write_statistics(terms: DataFrame, fields: DataFrame, path: str) -> int:
@@ -179,16 +194,16 @@ def build_index(
     if not buckets:
         rows, size = documents.agg(F.count("*"), F.sum(F.octet_length(content))).first()
         buckets = bucket_count(rows, spark.sparkContext.defaultParallelism, size or 0)
-    return _write_base(spark, _analysed(documents, key, title, content, buckets), path, key, buckets)
+    return _write_base(spark, _analysed(documents, key, title, content, buckets), path, key, buckets, placed=True)
 
 
 def _write_base(
     spark: SparkSession, postings: DataFrame, path: str, key: str, buckets: int,
-    reading: contextlib.AbstractContextManager | None = None,
+    reading: contextlib.AbstractContextManager | None = None, placed: bool = False,
 ) -> Index:
     table = _new_table_name()
     with reading or contextlib.nullcontext():
-        _write_postings(postings, table, path, buckets)
+        _write_postings(postings, table, path, buckets, placed)
     written_ = spark.table(table)
     rows = _write_statistics(term_statistics(written_), field_statistics(written_), path)
     none = spark.createDataFrame([], f"`{key}` {dict(written_.dtypes)[key]}")
@@ -220,7 +235,7 @@ def update_index(
     spark = index.spark
     added = _analysed(changed, index.key, title, content, index.buckets).select(*[c for c, _ in index.columns])
     table = _new_table_name()
-    _write_postings(added, table, path, index.buckets)
+    _write_postings(added, table, path, index.buckets, placed=True)
     keys = changed.select(index.key)
     keys = keys if removed is None else keys.unionByName(removed.select(index.key))
     gone = write_gone(keys, path)
@@ -246,16 +261,9 @@ def _of_keys(index: Index, keys: DataFrame) -> DataFrame:
     return postings.join(broadcast_if_small(keys), index.key, "left_semi")
 
 
-@contextlib.contextmanager
-def _read_by_bucket(spark: SparkSession) -> Iterator[None]:
+def _read_by_bucket(spark: SparkSession) -> contextlib.AbstractContextManager:
     """Tables are read bucket by bucket even where no aggregate or join asks for it."""
-    setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    return _setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
 
 
 def merge_segments(index: Index, path: str) -> Index:
@@ -276,7 +284,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         tables.append(_new_table_name())
         spark.sql(
             f"CREATE TABLE {tables[-1]} ({ddl}) USING parquet "
-            f"CLUSTERED BY (shard) SORTED BY (term) INTO {meta['buckets']} BUCKETS LOCATION '{segment.path}/postings'"
+            f"CLUSTERED BY (shard) INTO {meta['buckets']} BUCKETS LOCATION '{segment.path}/postings'"
         )
     columns = tuple((name, kind) for name, kind in meta["columns"])
     return Index(spark, path, meta["key"], meta["buckets"], columns, segments, tuple(tables))

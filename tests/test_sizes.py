@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import index as index_module
 from lorekeep.operators import search
 from lorekeep.operators.index import BYTES_PER_BUCKET, bucket_count, build_index, merge_segments, update_index
 
@@ -24,6 +25,35 @@ def test_buckets_follow_the_bytes_of_the_texts(spark, tmp_path, monkeypatch):
     assert build_index(corpus(spark, 100, 100), str(tmp_path / "ix"), "doc_id").buckets > 10
 
 
+def test_postings_are_sorted_by_their_terms_alone(spark, tmp_path):
+    """A task has one bucket, so its rows are not compared by their buckets; files are in order, and whole."""
+    index = build_index(corpus(spark, 300, 20), str(tmp_path / "ix"), "doc_id", buckets=6)
+    now = update_index(index, corpus(spark, 400, 5).filter("doc_id >= 200"), str(tmp_path / "up"))
+    for place, n in (("ix", 300), ("up", 200)):
+        rows = spark.read.parquet(str(tmp_path / place / "postings")).selectExpr(
+            "doc_id", "term", "pmod(hash(shard), 6) AS bucket", "input_file_name() AS file", "_metadata.row_index AS at"
+        ).collect()
+        assert {r.doc_id for r in rows} == set(range(400 - n, 400) if place == "up" else range(n))
+        assert {int(re.search(r"_(\d+)\.", r.file).group(1)) - r.bucket for r in rows} == {0}
+        files = {r.file: [] for r in rows}
+        assert len(files) == 6
+        for r in sorted(rows, key=lambda r: r["at"]):
+            files[r.file].append(r.term)
+        assert all(terms == sorted(terms) and len(set(terms)) > 5 for terms in files.values())
+    sorts = []
+    writing = index_module._write_postings
+
+    def seen(postings, *args, **kwargs):
+        sorts.append(kwargs.get("placed", args[3] if len(args) > 3 else False))
+        writing(postings, *args, **kwargs)
+
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(index_module, "_write_postings", seen)
+        merge_segments(update_index(now, corpus(spark, 10, 5), str(tmp_path / "again")), str(tmp_path / "merged"))
+    assert sorts == [True, False]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_segments_are_merged_bucket_by_bucket(spark, tmp_path):
     """No task of a merge sorts more than a bucket, however many of them a scan would read together."""
     index = build_index(corpus(spark, 300, 20), str(tmp_path / "ix"), "doc_id", buckets=40)

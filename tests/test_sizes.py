@@ -2,10 +2,14 @@
 
 import os
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import dense
 from lorekeep.operators import index as index_module
 from lorekeep.operators import search
 from lorekeep.operators.index import BYTES_PER_BUCKET, bucket_count, build_index, merge_segments, update_index
@@ -139,3 +143,72 @@ def test_a_large_batch_in_arrays_ranks_as_rows_do(spark, tmp_path, monkeypatch):
         assert len(got) == len(want) > 100
         for r, w in zip(got, want, strict=True):
             assert r[:3] + r[4:] == w[:3] + w[4:] and r[3] == pytest.approx(w[3], abs=2e-6)
+
+
+def test_a_large_batch_leaves_rows_by_tasks_and_not_by_shards(spark):
+    """400 documents in 100 shards, all of them hits of each query: the best come by task, the numbers are those of all."""
+    postings = spark.range(400).selectExpr(
+        "CAST(id % 100 AS INT) AS shard", "id AS doc_id", "'content' AS field", "'word' AS term", "id % 7 + 1 AS tf", "10 AS dl"
+    )
+    wanted = spark.range(30).selectExpr("id AS query_id", "'content' AS field", "'word' AS term", "1.0D + id AS weight", "10.0D AS avgdl")
+    limits = spark.range(30).selectExpr("id AS query_id", "2 AS upto")
+    (best,) = dense.best_hits(wanted, limits, [postings], 25, "doc_id", "query_id", 1.2, 0.75, 3.0)
+    rows = best.collect()
+    assert len(rows) <= 30 * 2 * spark.sparkContext.defaultParallelism
+    for q in range(30):
+        assert sum(r["n"] for r in rows if r["query_id"] == q and r["place"] == 1) == 400
+        top = sorted((-r["score"], r["doc_id"]) for r in rows if r["query_id"] == q)[:2]
+        assert [d for _, d in top] == [6, 13] and top[0][0] == pytest.approx(-(1 + q) * 7 * 2.2 / 8.2, abs=2e-6)
+
+
+@pytest.mark.parametrize("upto", [1, 7, 5000])
+@pytest.mark.parametrize("share", [2, 50])
+def test_documents_left_out_early_are_none_of_the_best(monkeypatch, upto, share):
+    """Every hit is counted and the best are found, whatever a chunk and a task hold; equal scores go by key."""
+    monkeypatch.setattr(dense, "CHUNK_POSTINGS", 3000)
+    monkeypatch.setattr(dense, "DENSE_SHARE", share)
+    random = np.random.default_rng(7)
+    n, terms, asking, boost = 900, np.arange(60) * 10, 40, 3.0
+    chance = 0.9 * random.random(len(terms)) ** 3 + 0.002
+    held = random.random((n, len(terms))) < chance
+    gains = np.where(held, random.integers(1, 9, held.shape) / 4, 0.0)
+    in_title = np.arange(len(terms)) >= 57
+    weights = np.where(random.random((asking, len(terms))) < 0.3, np.log(1 / chance), 0.0)
+    weights[: asking // 2, in_title] = 0
+    weights[3] = 0
+    doc, term = np.nonzero(held)
+    keys = np.array([f"k{i * 7919 % n:04d}" for i in range(n)], object)
+    keys[5] = None
+    mixed = random.permutation(len(doc))
+    make = dense._by_document("key")
+    batches = []
+    for shard in range(3):
+        own = mixed[doc[mixed] % 3 == shard]
+        postings = pa.table({
+            "shard": pa.array(np.full(len(own), shard, np.int32)), "key": pa.array(keys[doc[own]], pa.string()),
+            "term_no": pa.array(terms[term[own]]), "gain": pa.array(gains[doc[own], term[own]]),
+        })
+        rows = make(postings)
+        assert rows.num_rows == len(np.unique(doc[own]))
+        batches += rows.to_batches(100)
+    by_query, of_term = np.nonzero(weights)
+    first = np.searchsorted(by_query, np.arange(asking + 1))
+    block = (pa.array(np.arange(asking)), np.full(asking, upto), terms, in_title, first, of_term, weights[by_query, of_term])
+    run = dense._best_of_documents(SimpleNamespace(value=block), "key", "query_id", boost)
+    found = pa.Table.from_batches(list(run(iter(batches)))).to_pylist()
+    got = [[r for r in found if r["query_id"] == q] for q in range(asking)]
+    for q in range(asking):
+        content = gains[:, ~in_title] @ weights[q, ~in_title]
+        score = np.maximum(content, gains[:, in_title] @ weights[q, in_title] * boost)
+        score = np.floor(score * 1e6 + 0.5) / 1e6
+        hits = sorted(np.flatnonzero(score), key=lambda i: (-score[i], keys[i] or ""))
+        assert [r["key"] for r in got[q]] == [keys[i] for i in hits[:upto]]
+        assert [r["score"] for r in got[q]] == pytest.approx([score[i] for i in hits[:upto]], abs=2e-6)
+        assert [r["place"] for r in got[q]] == list(range(1, len(got[q]) + 1)) and {r["n"] for r in got[q]} <= {len(hits)}
+    assert got[3] == [] and sum(map(len, got)) > 30
+    # A task that keeps too much hands it on, and begins anew.
+    monkeypatch.setattr(dense, "KEPT_HITS", 0)
+    parts = pa.Table.from_batches(list(run(iter(batches)))).to_pylist()
+    assert len(parts) > len(found) or upto == 5000
+    count = lambda rows, q: sum(r["n"] for r in rows if r["query_id"] == q and r["place"] == 1)
+    assert all(count(parts, q) == count(found, q) for q in range(asking))

@@ -42,8 +42,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.reset(before)
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` has made so far in the innermost ``scratch``; none of them may be needed again."""
+    if path := _SCRATCH.get():
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def broadcast_if_small(rows: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:

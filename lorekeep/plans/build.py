@@ -21,7 +21,7 @@ from lorekeep.operators.ingest import (
     split_rejects,
     stem,
 )
-from lorekeep.operators.joins import broadcast_if_small, scratch, written
+from lorekeep.operators.joins import broadcast_if_small, clear_scratch, scratch, written
 from lorekeep.operators.metadata import decode_metadata, last_change
 from lorekeep.operators.segments import Segment, all_of, live, to_be_merged, write_gone
 from lorekeep.plans import versions
@@ -166,25 +166,30 @@ def _as_changes(commits: DataFrame) -> DataFrame:
 
 
 def _extend(
-    spark: SparkSession, path: str, state: State | None, fresh: DataFrame, manifest: DataFrame, waiting: DataFrame,
+    spark: SparkSession, path: str, state: State | None, fresh: DataFrame, beside: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
     gone: DataFrame, changes: DataFrame, facts: dict, buckets: int | None, renewed: DataFrame | None = None,
 ) -> Library:
     """Write a segment and publish the version that ends with it; raises ``versions.Taken`` if that comes too late.
 
     What is written follows the change, unless the segments are to be merged.
-    ``gone`` has the ids of documents that are replaced or removed, ``renewed``
-    those of further entries of the manifest that are replaced.
+    ``beside`` gives the manifest and the sources that wait, from the written
+    documents.  ``gone`` has the ids of documents that are replaced or removed,
+    ``renewed`` those of further entries of the manifest that are replaced.  The
+    scratch tables that all of these come from are deleted before the index is made.
     """
     number = versions.next_number(spark, path)
     folder = f"{path}/segment-{number}-{uuid.uuid4().hex}"
     try:
         documents = write_documents(fresh, f"{folder}/documents")
+        manifest, waiting = beside(documents)
         manifest.write.parquet(f"{folder}/entries/manifest")
         waiting.write.parquet(f"{folder}/waiting")
         changes.write.parquet(f"{folder}/changes")
         segments = (Segment(folder, documents.count(), *write_gone(gone, folder)),)
         replaced = gone if renewed is None else gone.unionByName(renewed)
         entries = (Segment(f"{folder}/entries", segments[0].rows, *write_gone(replaced, f"{folder}/entries")),)
+        gone = spark.read.schema(gone.schema).parquet(f"{folder}/gone")
+        clear_scratch(spark)
         if state is None:
             index = build_index(documents, f"{folder}/index", "id", buckets=buckets)
         else:
@@ -325,7 +330,7 @@ def _update(files: DataFrame, commits: DataFrame, path: str, buckets: int | None
     renewed_ids = touched.select(document_id(F.col("path")).alias("id"))
     none = spark.createDataFrame([], WAITING)
     facts = {"commits_upto": upto, "batches": version.content.get("batches", {}) if version else {}}
-    return _extend(spark, path, state, fresh, entries, none, ids, changes, facts, buckets, renewed_ids)
+    return _extend(spark, path, state, fresh, lambda _: (entries, none), ids, changes, facts, buckets, renewed_ids)
 
 
 def apply_drop(
@@ -358,31 +363,33 @@ def _apply(drop: DataFrame, path: str, stream: str, batch_id: int, buckets: int
     incoming = written(filter_hidden(scan_documents(last.select("path", "r.*"))))
     names = incoming.select("path").unionByName(changes.select("path")).distinct()
     stems = written(names.select(stem(F.col("path")).alias("stem")).distinct())
-    sources = incoming.filter("kind = 'file'").select("path", "text", "html")
+    sources, old = incoming.filter("kind = 'file'").select("path", "text", "html"), incoming.select("path")
     if state is not None:
         held = state.documents.select(F.col("file_name").alias("path"), F.col("content").alias("text"), "html")
         held = held.unionByName(state.waiting.select("path", "text", "html")).withColumn("stem", stem(F.col("path")))
         held = held.join(broadcast_if_small(stems), "stem", "left_semi").drop("stem")
-        held = written(held)
-        sources = sources.unionByName(held.join(incoming.select("path"), "path", "left_anti"))
-    sources = written(sources)
+        old = old.unionByName(written(held.select("path")))
+        # Of what is replaced no text is written.
+        sources = sources.unionByName(written(held.join(incoming.select("path"), "path", "left_anti")))
     winners = resolve_stems(sources).select("path", "text", "html")
     metadata = _metadata_of(state, changes, winners.select("path"))
-    fresh = written(split_rejects(assemble_documents(winners, metadata))[0])
-    waiting = sources.join(fresh.select(F.col("file_name").alias("path")), "path", "left_anti")
-    waiting = waiting.select(document_id(F.col("path")).alias("id"), "path", "text", "html")
-    entries = fresh.select(
-        F.col("file_name").alias("path"), "id", content_hash(F.col("content"), F.col("html")).alias("body"),
-        F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified"),
-    )
-    old = incoming.select("path") if state is None else incoming.select("path").unionByName(held.select("path"))
+    fresh = split_rejects(assemble_documents(winners, metadata))[0]
+
+    def beside(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        waiting = sources.join(documents.select(F.col("file_name").alias("path")), "path", "left_anti")
+        waiting = waiting.select(document_id(F.col("path")).alias("id"), "path", "text", "html")
+        return documents.select(
+            F.col("file_name").alias("path"), "id", content_hash(F.col("content"), F.col("html")).alias("body"),
+            F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified"),
+        ), waiting
+
     gone = old.select(document_id(F.col("path")).alias("id"))
     upto = changes.agg(F.max("seq")).first()[0]
     before = version.content.get("commits_upto") if version else None
     facts = {
         "commits_upto": max((x for x in (upto, before) if x is not None), default=None), "batches": batches | {stream: batch_id},
     }
-    return _extend(spark, path, state, fresh, entries, waiting, gone, changes, facts, buckets)
+    return _extend(spark, path, state, fresh, beside, gone, changes, facts, buckets)
 
 
 def clear_library(spark: SparkSession, path: str) -> Library:

@@ -13,7 +13,7 @@ from lorekeep.functions.text import strip_html
 from lorekeep.functions.urls import document_url
 from lorekeep.operators import access, analysis, highlight, index, ingest, metadata, reply, search
 from lorekeep.operators.joins import written
-from lorekeep.plans import answer, build
+from lorekeep.plans import answer, build, versions
 from lorekeep.plans.directory import Directory, publish_directory
 from lorekeep.sources.shared import new_table_path
 from lorekeep.sources.tables import BASE_URL, BOT, Tables
@@ -275,6 +275,8 @@ def _(t):
         rows.write.mode("append").parquet(f"{place}/drops")
         for _ in range(1 + (name == "last")):
             start_ingest(read_drops(t.spark, f"{place}/drops"), f"{place}/library", "drops", f"{place}/state").awaitTermination()
+        # Nobody writes or reads now, so segments that were merged can go.
+        versions.keep_last(t.spark, f"{place}/library", 1)
 
     def as_files(rows: DataFrame, seq: int) -> DataFrame:
         return rows.select(F.lit("file").alias("kind"), "path", F.lit(seq).cast("long").alias("seq"), "text", "html")

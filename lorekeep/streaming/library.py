@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lorekeep.operators.joins import scratch, written
 from lorekeep.plans.build import apply_drop
 
 DROP_SCHEMA = (
@@ -34,8 +33,8 @@ def start_ingest(
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        with scratch(batch.sparkSession):
-            apply_drop(written(batch), path, stream, batch_id, buckets)
+        # Read where it lies, once for its commits and once for its files: a copy would be as large as the drop.
+        apply_drop(batch, path, stream, batch_id, buckets)
 
     writer = drops.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint)
     trigger = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

@@ -9,6 +9,7 @@ from lorekeep.plans import build, versions
 from lorekeep.plans.answer import answer_queries
 from lorekeep.plans.build import apply_drop, build_library, clear_library, current_version, documents_of, open_library, update_library
 from lorekeep.sources.files import read_document_files
+from lorekeep.sources.shared import shared_folder
 from lorekeep.streaming.library import DROP_SCHEMA, read_drops, start_ingest
 
 FILES = "path string, text string, html string"
@@ -116,6 +117,38 @@ def plans_of_written(monkeypatch):
     return plans
 
 
+def test_what_a_drop_writes_on_the_way_is_gone_before_the_index_is_made(spark, tmp_path, monkeypatch):
+    """A drop is not copied, and the texts of an update are in its segment alone while postings are written."""
+    place, left, copied = str(tmp_path / "lib"), [], []
+    folder = os.path.join(shared_folder(spark).removeprefix("file:"), "lorekeep")
+
+    def seen(make):
+        def run(*args, **kwargs):
+            left.extend(f for name in os.listdir(folder) if name.startswith("scratch-") for _, _, files in os.walk(f"{folder}/{name}") for f in files)
+            return make(*args, **kwargs)
+
+        return run
+
+    def counted(rows, write=build.written):
+        copied.extend(rows.select("path").collect() if "text" in rows.columns else [])
+        return write(rows)
+
+    monkeypatch.setattr(build, "build_index", seen(build.build_index))
+    monkeypatch.setattr(build, "update_index", seen(build.update_index))
+    monkeypatch.setattr(build, "written", counted)
+    for n in range(2):
+        rows = [("file", f"{c}.md", n, f"text {n}", "<p>", None, None, None) for c in "abcd"[2 * n :]]
+        rows += [("commit", f"{c}.md", n, None, None, *commit("", 0)[2:]) for c in "abcd"[2 * n :]]
+        rows += [("file", "a.org", 5, "waits", "<p>", None, None, None)] if n else []
+        spark.createDataFrame(rows, DROP_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start_ingest(read_drops(spark, str(tmp_path / "in")), place, "drops", str(tmp_path / "state"), buckets=2).awaitTermination()
+    library, manifest = open_library(spark, place)
+    assert texts_of(library) == {"a.md": ("text 0", "ann"), "b.md": ("text 0", "ann"), "c.md": ("text 1", "ann"), "d.md": ("text 1", "ann")}
+    assert left == [] and manifest.count() == 4 and library.index.postings.filter("field = 'title'").count() == 4
+    # Four files, then three and of those held the one that another format of its stem may win over.
+    assert sorted(r.path for r in copied) == sorted(["a.md", "b.md", "c.md", "d.md", "c.md", "d.md", "a.org", "a.md"])
+
+
 def test_only_files_that_look_different_are_read(spark, tmp_path, monkeypatch):
     """Length and time tell which files to read; the scan of texts is told the earliest time of these."""
     folder, place = tmp_path / "wiki", str(tmp_path / "lib")
